@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import normal, poisson
+from ..functions.draws import normal, with_poisson
 
 
 def observation_noise(
@@ -24,7 +24,8 @@ def observation_noise(
         noisy = F.greatest(x + z * F.greatest(x, F.lit(1.0)), F.lit(0.0))
     elif model == "poisson":
         rate = x if scale >= 1.0 - 1e-12 else x * F.lit(float(scale))
-        noisy = poisson(rate, seed, "noise", *keys, family=family).cast("double")
+        drawn = with_poisson(counts, "x_obs", rate, seed, "noise", keys, family=family)
+        return drawn.withColumn("x_obs", F.col("x_obs").cast("double"))
     else:
         raise ValueError(f"unknown noise model: {model}")
     return counts.withColumn("x_obs", noisy)

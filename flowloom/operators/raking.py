@@ -14,12 +14,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .vectors import check_vector_size, map_batches, to_lists, to_matrix
 
-_ROW, _COL, _SAMPLE = W.partitionBy("sample_id", "o"), W.partitionBy("sample_id", "d"), W.partitionBy("sample_id")
+def _row() -> WindowSpec:
+    return W.partitionBy("sample_id", "o")
+
+
+def _col() -> WindowSpec:
+    return W.partitionBy("sample_id", "d")
+
+
+def _sample() -> WindowSpec:
+    return W.partitionBy("sample_id")
 
 
 def _with_targets(cells: DataFrame, row_target: DataFrame, col_target: DataFrame) -> DataFrame:
@@ -52,12 +62,12 @@ def _iterate(state: DataFrame, tol: float) -> DataFrame:
     scaled_rows = state.withColumn(
         "flow", F.when(active & (F.col("rs") > 0), F.col("flow") * F.col("tr") / F.col("rs")).otherwise(F.col("flow"))
     )
-    scaled = scaled_rows.withColumn("cs", F.sum("flow").over(_COL)).withColumn(
+    scaled = scaled_rows.withColumn("cs", F.sum("flow").over(_col())).withColumn(
         "flow", F.when(active & (F.col("cs") > 0), F.col("flow") * F.col("tc") / F.col("cs")).otherwise(F.col("flow"))
     )
-    summed = scaled.withColumn("rs", F.sum("flow").over(_ROW))
+    summed = scaled.withColumn("rs", F.sum("flow").over(_row()))
     col_error = F.when(F.col("cs") > 0, 0.0).otherwise(F.abs("tc"))
-    error = F.max(F.greatest(F.abs(F.col("rs") - F.col("tr")), col_error, F.col("unmet"))).over(_SAMPLE)
+    error = F.max(F.greatest(F.abs(F.col("rs") - F.col("tr")), col_error, F.col("unmet"))).over(_sample())
     return (
         summed.withColumn("e", error)
         .withColumn("iterations", F.col("iterations") + active.cast("int"))
@@ -97,7 +107,7 @@ def rake(
         steps = min(chunk, max_iter - done)
         if colocate:
             state = state.repartition("sample_id")
-        state = state.withColumn("rs", F.sum("flow").over(_ROW))
+        state = state.withColumn("rs", F.sum("flow").over(_row()))
         for _ in range(steps):
             state = _iterate(state, tol)
         done += steps

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import gamma, normal, uniform
+from ..functions.draws import normal, uniform, with_gamma
 from ..functions.scalars import distance_impedance
 from ..session import join_small
 from .reshape import od_pairs
@@ -170,7 +170,7 @@ def type_centres(samples: DataFrame, zones: DataFrame, n_zones: int, latent: int
     )
 
 
-def memberships(centres: DataFrame, zones: DataFrame, n_zones: int) -> DataFrame:
+def memberships(centres: DataFrame, zones: DataFrame, n_zones: int, carry: tuple = ()) -> DataFrame:
     """``sample_id, zone, t, m``: row softmax of -dist^2 / temperature.
 
     The temperature is a quarter of the sample's median squared distance, at
@@ -178,12 +178,12 @@ def memberships(centres: DataFrame, zones: DataFrame, n_zones: int) -> DataFrame
     """
     listed = centres.withColumn("zone", F.explode(F.sequence(F.lit(1), F.lit(n_zones))))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    d2 = join_small(listed, zones, "zone").select("sample_id", "zone", "t", (dx * dx + dy * dy).alias("d2"))
+    d2 = join_small(listed, zones, "zone").select("sample_id", "zone", "t", *carry, (dx * dx + dy * dy).alias("d2"))
     by_sample, by_row = W.partitionBy("sample_id"), W.partitionBy("sample_id", "zone")
     temp = F.greatest(F.median("d2").over(by_sample) * 0.25, F.lit(1.0))
     logit = d2.withColumn("z", -F.col("d2") / temp)
     e = logit.withColumn("e", F.exp(F.col("z") - F.max("z").over(by_row)))
-    return e.select("sample_id", "zone", "t", (F.col("e") / F.greatest(F.sum("e").over(by_row), F.lit(1e-15))).alias("m"))
+    return e.select("sample_id", "zone", "t", *carry, (F.col("e") / F.greatest(F.sum("e").over(by_row), F.lit(1e-15))).alias("m"))
 
 
 def zone_factors(member: DataFrame, intensities: DataFrame) -> DataFrame:
@@ -198,12 +198,10 @@ def zone_factors(member: DataFrame, intensities: DataFrame) -> DataFrame:
 def type_intensities(samples: DataFrame, latent: int, seed: int, shape: float = 2.0, scale: float = 1.0) -> DataFrame:
     t = F.explode(F.sequence(F.lit(0), F.lit(latent - 1))).alias("t")
     keys = (F.col("sample_id"), F.col("t"))
-    return samples.select("sample_id", t).select(
-        "sample_id",
-        "t",
-        gamma(seed, "prod", *keys, shape=shape, scale=scale, family="xx").alias("prod"),
-        gamma(seed, "attr", *keys, shape=shape, scale=scale, family="xx").alias("attr"),
-    )
+    out = samples.select("sample_id", t)
+    for name in ("prod", "attr"):
+        out = with_gamma(out, name, seed, name, keys, shape=shape, scale=scale, family="xx")
+    return out
 
 
 def latent_factors(

@@ -7,12 +7,18 @@ use the long-form operators instead.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# The batch functions are small; sending them by value means executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 #: Entries per vector up to which batches of rows are handled in one task (128 zones).
 MAX_VECTOR_CELLS = 16_384
 #: Entries of an operator matrix that may be shipped to every task (128 MB of doubles).
