@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import routing, tables  # noqa: F401
+from . import priors, raking, routing, tables  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

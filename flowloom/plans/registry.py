@@ -22,10 +22,11 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def query(name: str, sql: str | None = None, parts: Iterable[str] = (), digits: dict[str, int] | str = ()) -> Callable:
+def query(name: str, sql: str | None = None, parts: Iterable[str] = (), digits: dict[str, int] | str = (), extra: Iterable[str] = ()) -> Callable:
     """Register a query.
 
-    ``parts`` names the SQL building blocks the text refers to. ``digits`` lists
+    ``parts`` names the SQL building blocks the text refers to, ``extra`` holds CTE
+    texts of this query alone. ``digits`` lists
     the computed DOUBLE columns, which are rounded alike on both sides.
     """
     places = {c: 6 for c in digits.split()} if isinstance(digits, str) else dict(digits)
@@ -42,7 +43,7 @@ def query(name: str, sql: str | None = None, parts: Iterable[str] = (), digits:
         if sql is not None:
             rounded = ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c, n in places.items())
             body = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if places else sql
-            text = with_parts(parts) + body
+            text = with_parts(parts, extra) + body
         REGISTRY[name] = Entry(run, text)
         return fn
 

@@ -129,8 +129,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_parts(names: Iterable[str]) -> str:
-    """WITH clause holding the named parts and all they build on."""
+def with_parts(names: Iterable[str], extra: Iterable[str] = ()) -> str:
+    """WITH clause holding the named parts, all they build on, and further CTE texts."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -141,7 +141,8 @@ def with_parts(names: Iterable[str]) -> str:
 
     for n in names:
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(PARTS[n][1] for n in order) + "\n" if order else ""
+    texts = [PARTS[n][1] for n in order] + list(extra)
+    return "WITH RECURSIVE " + ",\n".join(texts) + "\n" if texts else ""
 
 
 def uniform_sql(seed: int, stream: str, *keys: str) -> str:
@@ -153,3 +154,19 @@ def uniform_sql(seed: int, stream: str, *keys: str) -> str:
 def normal_sql(seed: int, stream: str, *keys: str) -> str:
     u1, u2 = uniform_sql(seed, stream + ".r", *keys), uniform_sql(seed, stream + ".a", *keys)
     return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
+
+
+def ipf_sql(start: str, iterations: int) -> list[str]:
+    """CTEs ``ipf1 .. ipfN`` scaling ``start(sample_id, o, d, flow, tr, tc)``."""
+    out, before = [], start
+    for t in range(1, iterations + 1):
+        out.append(
+            f"""ipf{t}r AS (SELECT sample_id, o, d, tr, tc, CASE WHEN rs > 0 THEN flow * tr / rs ELSE flow END AS flow
+            FROM (SELECT *, sum(flow) OVER (PARTITION BY sample_id, o) AS rs FROM {before}))"""
+        )
+        out.append(
+            f"""ipf{t} AS (SELECT sample_id, o, d, tr, tc, CASE WHEN cs > 0 THEN flow * tc / cs ELSE flow END AS flow
+            FROM (SELECT *, sum(flow) OVER (PARTITION BY sample_id, d) AS cs FROM ipf{t}r))"""
+        )
+        before = f"ipf{t}"
+    return out
