@@ -37,21 +37,25 @@ def with_od_index(cells: DataFrame, n_zones: int) -> DataFrame:
     return cells.withColumn("od_index", od_index(n_zones))
 
 
-def flatten(cells: DataFrame, n_zones: int, value: str = "flow") -> DataFrame:
-    """Cell table to vector table.
+def pack(rows: DataFrame, index: Column, value: str, size: int, name: str = "y") -> DataFrame:
+    """``sample_id, name``: long rows to dense vectors of ``size`` entries.
 
-    Only stored cells are shuffled; the zeros between them are filled in per
-    row. A row holds at most ``n_zones ** 2`` entries by the data model.
+    Only stored entries are shuffled; the zeros between them are filled in per
+    row. A row holds at most ``size`` entries by the data model.
     """
-    size = n_zones * n_zones
-    entry = F.struct(od_index(n_zones).alias("i"), F.col(value).alias("v"))
-    packed = cells.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    entry = F.struct(index.alias("i"), F.col(value).alias("v"))
+    packed = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     before = lambda pos: F.when(pos == 0, F.lit(-1)).otherwise(F.get("e", pos - 1)["i"])
     runs = F.transform(
         "e", lambda x, pos: F.concat(F.array_repeat(F.lit(0.0), x["i"] - before(pos) - 1), F.array(x["v"]))
     )
     tail = F.array_repeat(F.lit(0.0), F.lit(size - 1) - F.element_at("e", -1)["i"])
-    return packed.select("sample_id", F.concat(F.flatten(runs), tail).alias("y"))
+    return packed.select("sample_id", F.concat(F.flatten(runs), tail).alias(name))
+
+
+def flatten(cells: DataFrame, n_zones: int, value: str = "flow") -> DataFrame:
+    """Cell table to vector table."""
+    return pack(cells, od_index(n_zones), value, n_zones * n_zones)
 
 
 def unflatten(vectors: DataFrame, n_zones: int, vector: str = "y", value: str = "flow", keep: tuple = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import priors, raking, routing, statistics, tables  # noqa: F401
+from . import estimation, priors, raking, routing, statistics, tables  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
