@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import corr_from_sums
 from ..session import join_small, materialise, scratch_path
 from .metrics import _against_base
+from .reshape import od_index
 from .sampling import row_numbers
 from .stats import pair_distances
 from .vectors import check_vector_size, to_matrix
@@ -77,9 +78,9 @@ def reason_counts(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def auto_threshold(cells: DataFrame, fraction: float = 0.35, n_pairs: int = 2_000, seed: int = 42) -> DataFrame:
+def auto_threshold(cells: DataFrame, n_zones: int, fraction: float = 0.35, n_pairs: int = 2_000, seed: int = 42) -> DataFrame:
     """One row: a fraction of the median distance of drawn pairs, 0 without pairs."""
-    d = pair_distances(cells, ["o", "d"], "flow", n_pairs, seed, "euclid")
+    d = pair_distances(cells, od_index(n_zones), n_zones * n_zones, "flow", n_pairs, seed, "euclid")
     return d.agg(F.coalesce(F.lit(float(fraction)) * F.median("distance"), F.lit(0.0)).alias("threshold"))
 
 
@@ -221,7 +222,7 @@ def filter_stats(reasons: DataFrame, decisions: DataFrame, selected: DataFrame,
     ``decisions`` comes from ``select_diverse``; ``selected`` holds the accepted cells.
     """
     n = decisions.filter("accepted").count()
-    d = pair_distances(selected, ["o", "d"], "flow", n_pairs, seed, "euclid").agg(
+    d = pair_distances(selected, od_index(n_zones), n_zones * n_zones, "flow", n_pairs, seed, "euclid").agg(
         F.avg("distance").alias("mean_d"), F.min("distance").alias("min_d")
     )
     size = F.lit(float(n))

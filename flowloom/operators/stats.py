@@ -15,9 +15,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small
+from ..session import join_small, materialise
 from .gram import gram_matrix
-from .sampling import sample_features, sample_pairs, sample_rows
+from .reshape import od_index, pack
+from .sampling import row_numbers, sample_features, sample_pairs, sample_rows
 
 
 def _moments(value: str, n: Column) -> tuple[Column, Column]:
@@ -46,54 +47,49 @@ def feature_stats(rows: DataFrame, feature: str, value: str, n_samples: int) ->
 
 def positions(rows: DataFrame) -> DataFrame:
     """``sample_id, pos``: contiguous positions from 0, for pair draws."""
-    from .sampling import row_numbers
-
     ranked = row_numbers(rows.select("sample_id").distinct(), ["sample_id"], "n")
     return ranked.select("sample_id", (F.col("n") - 1).cast("int").alias("pos"))
 
 
 def pair_distances(
-    rows: DataFrame, feature: list[str], value: str, n_pairs: int = 10_000, seed: int = 42, norm: str = "mean", n_features: int = 1
+    rows: DataFrame, index: Column, width: int, value: str, n_pairs: int = 10_000, seed: int = 42, norm: str = "mean"
 ) -> DataFrame:
     """``pair_id, distance`` of randomly drawn sample pairs.
 
-    ``norm``: mean or sum of absolute differences, or Euclidean. Each drawn
-    sample's entries are listed once with a plus and once with a minus sign and
-    summed per feature, so no outer join is needed and the partial sums are
-    taken before the shuffle.
+    ``index`` numbers the ``width`` features from 0. ``norm``: mean or sum of
+    absolute differences, or Euclidean. Only the drawn samples are packed into
+    vectors (at most two per pair), so the cost beyond one filtered scan is set
+    by the number of pairs and not by the table.
     """
     if norm not in ("mean", "sum", "euclid"):
         raise ValueError(f"unknown norm: {norm}")
     at = positions(rows)
     n = at.count()
-    drawn = sample_pairs(rows.sparkSession, n, n_pairs, seed)
-    sides = drawn.select("pair_id", F.explode(F.array(
-        F.struct(F.col("i").alias("pos"), F.lit(1.0).alias("sign")), F.struct(F.col("j").alias("pos"), F.lit(-1.0).alias("sign"))
-    )).alias("s")).select("pair_id", "s.pos", "s.sign")
-    wanted = join_small(at, sides, "pos").select("sample_id", "pair_id", "sign")
-    per_cell = (
-        join_small(rows.select("sample_id", *feature, value), wanted, "sample_id")
-        .groupBy("pair_id", *feature)
-        .agg(F.sum(F.col("sign") * F.col(value)).alias("diff"))
-    )
-    size = {"mean": F.sum(F.abs("diff")) / F.lit(float(n_features)), "sum": F.sum(F.abs("diff")),
-            "euclid": F.sqrt(F.sum(F.col("diff") * F.col("diff")))}[norm]
-    return per_cell.groupBy("pair_id").agg(size.alias("distance"))
-
-
-def mean_pair_distance(rows: DataFrame, feature: list[str], value: str, **args) -> DataFrame:
+    drawn = materialise(sample_pairs(rows.sparkSession, n, n_pairs, seed), "pairs")
+    ends = drawn.select(F.explode(F.array("i", "j")).alias("pos")).distinct()
+    wanted = join_small(at, ends, "pos")
+    packed = materialise(pack(join_small(rows, wanted.select("sample_id"), "sample_id"), index, value, width), "vectors")
+    vectors = wanted.join(packed, "sample_id").select("pos", "y")
+    a, b = vectors.select(F.col("pos").alias("i"), F.col("y").alias("a")), vectors.select(F.col("pos").alias("j"), F.col("y").alias("b"))
+    gap = F.zip_with("a", "b", (lambda x, y: (x - y) * (x - y)) if norm == "euclid" else (lambda x, y: F.abs(x - y)))
+    total = F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v)
+    size = {"mean": total / F.lit(float(width)), "sum": total, "euclid": F.sqrt(total)}[norm]
+    return drawn.join(a, "i").join(b, "j").select("pair_id", size.alias("distance"))
+
+
+def mean_pair_distance(rows: DataFrame, index: Column, width: int, value: str, **args) -> DataFrame:
     """Mean, minimum and maximum over the drawn pairs; 0 when there is no pair."""
     zero = F.lit(0.0)
-    return pair_distances(rows, feature, value, **args).agg(
+    return pair_distances(rows, index, width, value, **args).agg(
         F.coalesce(F.avg("distance"), zero).alias("mean_distance"),
         F.coalesce(F.min("distance"), zero).alias("min_distance"),
         F.coalesce(F.max("distance"), zero).alias("max_distance"),
     )
 
 
-def diversity_comparison(od: DataFrame, counts: DataFrame, n_cells: int, n_turns: int, n_pairs: int = 10_000, seed: int = 42) -> DataFrame:
-    a = mean_pair_distance(od, ["o", "d"], "flow", n_pairs=n_pairs, seed=seed, n_features=n_cells)
-    b = mean_pair_distance(counts, ["turn_id"], "x", n_pairs=n_pairs, seed=seed, n_features=n_turns)
+def diversity_comparison(od: DataFrame, counts: DataFrame, n_zones: int, n_turns: int, n_pairs: int = 10_000, seed: int = 42) -> DataFrame:
+    a = mean_pair_distance(od, od_index(n_zones), n_zones * n_zones, "flow", n_pairs=n_pairs, seed=seed)
+    b = mean_pair_distance(counts, F.col("turn_id"), n_turns, "x", n_pairs=n_pairs, seed=seed)
     return a.select(F.col("mean_distance").alias("mean_pairwise_od_distance"),
                     b.select("mean_distance").scalar().alias("mean_pairwise_turning_distance"))
 
@@ -180,7 +176,7 @@ def cell_variation(cells: DataFrame, n_samples: int, n_cells: int) -> DataFrame:
 def evaluate_dataset(cells: DataFrame, n_samples: int, n_zones: int, n_pairs: int = 10_000, seed: int = 42) -> DataFrame:
     """Distance, variation and demand spread of a batch as one row."""
     n_cells = n_zones * n_zones
-    d = mean_pair_distance(cells, ["o", "d"], "flow", n_pairs=n_pairs, seed=seed, n_features=n_cells)
+    d = mean_pair_distance(cells, od_index(n_zones), n_cells, "flow", n_pairs=n_pairs, seed=seed)
     v = cell_variation(cells, n_samples, n_cells)
     return v.select(
         F.lit(n_samples).alias("num_samples"),

@@ -11,7 +11,7 @@ from ..operators import scenarios as SC
 from ..operators import spatial as SP
 from ..operators import stats as ST
 from ..operators.metrics import attractions, productions, table_metrics
-from ..operators.reshape import densify, flatten, unflatten
+from ..operators.reshape import densify, flatten, od_index, unflatten
 from ..session import materialise
 from ..sources import fixtures as fx
 from . import inputs
@@ -222,7 +222,7 @@ def grid_scores(spark, sf, alphas=(100.0, 500.0), perturbations=(0.1, 0.3), per_
     for c in configs.collect():  # a handful of grid points
         mine = F.col("config_id") == c["config_id"]
         own = cells.withColumn("config_id", config).filter(mine)
-        d = ST.mean_pair_distance(own, ["o", "d"], "flow", n_pairs=2_000, n_features=n * n)
+        d = ST.mean_pair_distance(own, od_index(n), n * n, "flow", n_pairs=2_000)
         evr = ST.explained_variance(made.withColumn("config_id", config).filter(mine), "y", 20)
         parts.append(
             d.select(

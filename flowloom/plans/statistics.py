@@ -8,7 +8,7 @@ from ..operators import information as I
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import stats as ST
-from ..operators.reshape import flatten, with_od_index
+from ..operators.reshape import flatten, od_index, with_od_index
 from ..session import materialise
 from ..sources import fixtures as fx
 from . import inputs
@@ -101,7 +101,7 @@ _MEAN, _SUM, _EUCLID = "avg(abs(x.v - y.v))", "sum(abs(x.v - y.v))", "sqrt(sum((
     [PAIR_DRAW, POSITIONS],
 )
 def _(spark, sf):
-    return Q.auto_threshold(od(spark, sf))
+    return Q.auto_threshold(od(spark, sf), inputs.n_zones(spark, sf))
 
 
 SCORES = """scores AS (SELECT sample_id, avg(abs(f.flow - m)) AS score FROM dense f
@@ -134,7 +134,7 @@ FROM walk w JOIN lists l ON l.rank = w.rank + 1 WHERE len(w.acc) < {TARGET})"""
 def decisions(spark, sf, block=512):
     n = inputs.n_zones(spark, sf)
     cells = materialise(od(spark, sf), "od")
-    tau = ST.pair_distances(cells, ["o", "d"], "flow", 10_000, 42, "euclid").agg(F.median("distance")).first()[0] * 0.95
+    tau = ST.pair_distances(cells, od_index(n), n * n, "flow", 10_000, 42, "euclid").agg(F.median("distance")).first()[0] * 0.95
     ranked = flatten(cells, n).join(scores(spark, sf).select("sample_id", "rank"), "sample_id")
     return Q.select_diverse(ranked, n, TARGET, tau, block)
 
@@ -344,12 +344,14 @@ def _pair_summary(rows: str, size: str) -> str:
 
 @query("a3_pair_distance_mean", _pair_summary(_OD_ROWS, _MEAN), ["dense"], "mean_distance min_distance max_distance", [PAIR_DRAW, POSITIONS])
 def _(spark, sf):
-    return ST.mean_pair_distance(od(spark, sf), ["o", "d"], "flow", n_features=inputs.n_zones(spark, sf) ** 2)
+    n = inputs.n_zones(spark, sf)
+    return ST.mean_pair_distance(od(spark, sf), od_index(n), n * n, "flow")
 
 
 @query("a3_pair_distance_sum", _pair_summary(_X_ROWS, _SUM), ["dense_counts"], {c: 4 for c in ("mean_distance", "min_distance", "max_distance")}, [PAIR_DRAW, POSITIONS])
 def _(spark, sf):
-    return ST.mean_pair_distance(materialise(inputs.counts(spark, sf), "counts"), ["turn_id"], "x", norm="sum")
+    x, m = materialise(inputs.counts(spark, sf), "counts"), inputs.turns(spark, sf).count()
+    return ST.mean_pair_distance(x, F.col("turn_id"), m, "x", norm="sum")
 
 
 @query(
@@ -363,7 +365,7 @@ def _(spark, sf):
 def _(spark, sf):
     n = inputs.n_zones(spark, sf)
     x = materialise(inputs.counts(spark, sf), "counts")
-    return ST.diversity_comparison(od(spark, sf), x, n * n, inputs.turns(spark, sf).count())
+    return ST.diversity_comparison(od(spark, sf), x, n, inputs.turns(spark, sf).count())
 
 
 VARYING = f"""picked AS (SELECT turn_id FROM (SELECT turn_id FROM dense_counts GROUP BY ALL HAVING stddev_pop(x) > 1e-9)
@@ -431,7 +433,8 @@ def _(spark, sf):
 def _(spark, sf):
     n, n_turns = n_samples(spark, sf), inputs.turns(spark, sf).count()
     x = materialise(inputs.counts(spark, sf), "counts")
-    d = ST.mean_pair_distance(od(spark, sf), ["o", "d"], "flow", n_features=inputs.n_zones(spark, sf) ** 2)
+    zones = inputs.n_zones(spark, sf)
+    d = ST.mean_pair_distance(od(spark, sf), od_index(zones), zones * zones, "flow")
     r = ST.correlation_summary(x, "turn_id", "x", n)
     means = ST.feature_stats(x, "turn_id", "x", n).agg(F.sum("mean") / F.lit(float(n_turns)))
     return d.select(
