@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import corr_from_sums
 from ..session import join_small, materialise, scratch_path
-from .metrics import _against_base
+from .metrics import base_sums, beside_base
 from .reshape import od_index
 from .sampling import row_numbers
 from .stats import pair_distances
@@ -42,13 +42,14 @@ def filter_features(cells: DataFrame, base: DataFrame, dist: DataFrame, n_zones:
     Sparsity and correlation run over all cells, the diagonal included.
     """
     n = F.lit(float(n_zones * n_zones))
-    pair = join_small(_against_base(cells, base), dist, ["o", "d"])
+    b1, b2 = base_sums(base)
+    pair = join_small(beside_base(cells, base), dist, ["o", "d"])
     s, b = F.col("s"), F.col("b")
     mass = F.sum("s")
     return pair.groupBy("sample_id").agg(
         F.sum(F.when(F.col("o") == F.col("d"), s).otherwise(0.0)).alias("diagonal"),
         (1.0 - F.count_if(s > 1e-12) / n).alias("sparsity"),
-        corr_from_sums(n, mass, F.sum("b"), F.sum(s * s), F.sum(b * b), F.sum(s * b), 1e-12).alias("correlation"),
+        corr_from_sums(n, mass, b1, F.sum(s * s), b2, F.sum(s * b), 1e-12).alias("correlation"),
         F.when(mass > 0, F.try_divide(F.sum(s * F.col("dist")), mass)).alias("trip_length"),
     )
 

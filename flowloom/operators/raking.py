@@ -179,9 +179,8 @@ def rake_vectors(vectors: DataFrame, n_zones: int, tol: float = 1e-3, max_iter:
 
     def run(batch):
         seed = to_matrix(batch.column("y"), n_zones * n_zones).reshape(-1, n_zones, n_zones)
-        flow, iterations, error = _balance(
-            seed, to_matrix(batch.column("row_target"), n_zones), to_matrix(batch.column("col_target"), n_zones), tol, max_iter
-        )
+        row_t, col_t = to_matrix(batch.column("row_target"), n_zones), to_matrix(batch.column("col_target"), n_zones)
+        flow, iterations, error = _balance(seed, row_t, col_t, tol, max_iter)
         return {
             "sample_id": batch.column("sample_id"),
             "y": to_lists(flow.reshape(len(flow), -1)),

@@ -1,9 +1,15 @@
 """Scenario generation: draws on every cell of every sample, then raking.
 
-One plan covers all samples. Samples come from ``spark.range``, whose known
-partitioning by ``sample_id`` carries through the explodes and broadcast joins,
-so the per-sample windows and group-bys below need no exchange. Cells become
-one vector row per sample just before raking.
+One plan covers all samples, and every draw is a function of (seed, sample, cell
+or position), so the result does not depend on partitioning.
+
+The base-table generator is a narrow map over a range of sample ids: Spark has
+no gamma sampler, so each Arrow batch draws and rakes its own samples, with
+nothing to join or shuffle. The first-principles generator builds its latent
+factors and gravity cells with joins and windows. Samples come from
+``spark.range``, whose known partitioning by ``sample_id`` carries through the
+explodes and broadcast joins, so the per-sample windows and group-bys need no
+exchange; cells become one vector row per sample just before raking.
 """
 
 from __future__ import annotations
@@ -129,8 +135,13 @@ def perturbed_seed(cells: DataFrame, seed: int, low: float = 0.8, high: float =
 # ---------------------------------------------------------------- whole-batch generators
 
 
-def _sample_ids(spark: SparkSession, n_samples: int, first: int = 0) -> DataFrame:
-    return spark.range(first, first + n_samples).withColumnRenamed("id", "sample_id")
+#: Samples per task, and per pass of the batch kernel (kept small for the CPU caches).
+_PER_TASK, _PER_PASS = 20_000, 256
+
+
+def _sample_ids(spark: SparkSession, n_samples: int) -> DataFrame:
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_samples // _PER_TASK))
+    return spark.range(0, n_samples, 1, tasks).withColumnRenamed("id", "sample_id")
 
 
 def _balanced(cells: DataFrame, n_zones: int, total: float, floor: float, tol: float, max_iter: int) -> DataFrame:
@@ -177,44 +188,67 @@ def _balanced(cells: DataFrame, n_zones: int, total: float, floor: float, tol: f
     return map_batches(packed, run, schema)
 
 
-def _base_rows(base_p: DataFrame, base: DataFrame) -> DataFrame:
-    """Prior cells with the base marginals on the diagonal ones."""
-    flow = base.filter(F.col("o") != F.col("d"))
-    prod = flow.groupBy("o").agg(F.sum("flow").alias("prod"))
-    attr = flow.groupBy(F.col("d")).agg(F.sum("flow").alias("attr"))
-    diag = F.col("o") == F.col("d")
-    zero = F.lit(0.0)
-    return (
-        base_p.select("o", "d", "p")
-        .join(prod, "o", "left")
-        .join(attr, "d", "left")
-        .select(
-            "o",
-            "d",
-            "p",
-            F.when(diag, F.coalesce("prod", zero)).alias("prod"),
-            F.when(diag, F.coalesce("attr", zero)).alias("attr"),
-        )
-    )
+def _base_vectors(base: DataFrame, base_p: DataFrame, n_zones: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prior, productions and attractions as arrays: zone-system sized, checked."""
+    check_vector_size(n_zones * n_zones)
+    prior, flow = np.zeros((n_zones, n_zones)), np.zeros((n_zones, n_zones))
+    for table, out, value in ((base_p, prior, "p"), (base, flow, "flow")):
+        cells = table.filter(F.col("o") != F.col("d")).select("o", "d", value).toPandas()
+        out[cells["o"].to_numpy() - 1, cells["d"].to_numpy() - 1] = cells[value].to_numpy()
+    if flow.sum() <= 0:
+        raise ValueError("base table has no demand")
+    return prior.reshape(-1), flow.sum(axis=1), flow.sum(axis=0)
 
 
-def _base_cells(samples: DataFrame, rows: DataFrame, n_zones: int, alpha, delta, seed: int, shape: float, scale: float, apply_gamma: bool) -> DataFrame:
-    listed = samples.withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(n_zones))))
-    cells = join_small(listed, rows, "o")
-    keys = (F.col("sample_id"), F.col("o"), F.col("d"))
-    drawn = with_log_gamma(cells, "z", F.when(F.col("o") != F.col("d"), alpha * F.col("p")), seed, "dirichlet", keys)
-    if apply_gamma:
-        drawn = with_gamma(drawn, "_w", seed, "weight", keys, shape=shape, scale=scale, family="xx")
-        drawn = drawn.withColumn("z", F.col("z") + F.log("_w"))
-    shock = lambda s: 1.0 + delta * (2.0 * uniform(seed, s, F.col("sample_id"), F.col("o"), family="xx") - 1.0)
-    return drawn.select(
-        "sample_id",
-        od_index(n_zones).alias("od_index"),
-        "z",
-        F.when(F.col("o") == F.col("d"), F.col("o")).alias("zone"),
-        (F.col("prod") * shock("row")).alias("pt"),
-        (F.col("attr") * shock("col")).alias("at"),
-    )
+def _draw_around(
+    samples: DataFrame, vectors: tuple, n_zones: int, seed: int, shape: float, scale: float, apply_gamma: bool,
+    floor: float, tol: float, max_iter: int,
+) -> DataFrame:
+    """Dirichlet and gamma draws, shocked marginals and raking per Arrow batch.
+
+    ``samples(sample_id, alpha, delta)``. Each sample has its own counter-based
+    generator keyed by (seed, sample_id). Gamma draws are kept as logarithms.
+    """
+    prior, prod, attr = vectors
+    support = np.flatnonzero(prior > 0)
+    p, total = prior[support], float(prod.sum())
+
+    def draw(sample: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.Generator(np.random.Philox(key=[seed, sample]))
+        a = alpha * p
+        z = np.log(rng.standard_gamma(a + 1.0)) + np.log(1.0 - rng.random(len(p))) / a
+        if apply_gamma:
+            z += np.log(np.maximum(rng.gamma(shape, scale, len(p)), 1e-30))
+        return z, rng.uniform(-1.0, 1.0, 2 * n_zones)
+
+    def run(batch):
+        ids = batch.column("sample_id").to_numpy()
+        alphas, deltas = batch.column("alpha").to_numpy(), batch.column("delta").to_numpy()
+        flows, iterations, errors = [], [], []
+        for start in range(0, len(ids), _PER_PASS):
+            part = slice(start, start + _PER_PASS)
+            drawn = [draw(int(i), a) for i, a in zip(ids[part], alphas[part])]
+            z = np.array([d[0] for d in drawn])
+            weight = np.exp(z - z.max(axis=1, keepdims=True))
+            seeded = np.zeros((len(z), n_zones * n_zones))
+            seeded[:, support] = weight / weight.sum(axis=1, keepdims=True) * total + floor
+            shock = 1.0 + deltas[part, None] * np.array([d[1] for d in drawn])
+            targets = [prod * shock[:, :n_zones], attr * shock[:, n_zones:]]
+            targets = [t / t.sum(axis=1, keepdims=True) * total for t in targets]
+            out = _balance(seeded.reshape(-1, n_zones, n_zones), *targets, tol, max_iter)
+            for held, got in zip((flows, iterations, errors), out):
+                held.append(got)
+        error = np.concatenate(errors)
+        return {
+            "sample_id": batch.column("sample_id"),
+            "y": to_lists(np.concatenate(flows).reshape(len(ids), -1)),
+            "iterations": np.concatenate(iterations).astype(np.int32),
+            "final_error": error,
+            "converged": error < tol,
+        }
+
+    schema = "sample_id bigint, y array<double>, iterations int, final_error double, converged boolean"
+    return map_batches(samples, run, schema)
 
 
 def generate_from_base(
@@ -240,12 +274,13 @@ def generate_from_base(
         raise ValueError("alpha must be positive")
     if not 0 <= perturbation < 1:
         raise ValueError("perturbation must be in [0, 1)")
-    total = base.filter(F.col("o") != F.col("d")).agg(F.sum("flow")).first()[0]
-    if not total or total <= 0:
-        raise ValueError("base table has no demand")
-    samples = _sample_ids(base.sparkSession, n_samples)
-    cells = _base_cells(samples, _base_rows(base_p, base), n_zones, F.lit(float(alpha)), F.lit(float(perturbation)), seed, shape, scale, apply_gamma)
-    return _balanced(cells, n_zones, total, floor, tol, max_iter)
+    if shape <= 0 or scale <= 0:
+        raise ValueError("gamma shape and scale must be positive")
+    samples = _sample_ids(base.sparkSession, n_samples).withColumns(
+        {"alpha": F.lit(float(alpha)), "delta": F.lit(float(perturbation))}
+    )
+    vectors = _base_vectors(base, base_p, n_zones)
+    return _draw_around(samples, vectors, n_zones, seed, shape, scale, apply_gamma, floor, tol, max_iter)
 
 
 def generate_grid(
@@ -268,15 +303,14 @@ def generate_grid(
     spark = base.sparkSession
     grid = [(i, float(a), float(p)) for i, (a, p) in enumerate((a, p) for a in alphas for p in perturbations)]
     configs = spark.createDataFrame(grid, "config_id int, alpha double, perturbation double")
-    total = base.filter(F.col("o") != F.col("d")).agg(F.sum("flow")).first()[0]
     pick = lambda i: F.element_at(F.array(*(F.lit(g[i]) for g in grid)), F.col("config_id") + 1)
     samples = (
         _sample_ids(spark, len(grid) * samples_per_config)
         .withColumn("config_id", F.floor(F.col("sample_id") / samples_per_config).cast("int"))
         .select("sample_id", pick(1).alias("alpha"), pick(2).alias("delta"))
     )
-    cells = _base_cells(samples, _base_rows(base_p, base), n_zones, F.col("alpha"), F.col("delta"), seed, 0.5, 1.0, True)
-    return _balanced(cells, n_zones, total, floor, tol, max_iter), configs
+    made = _draw_around(samples, _base_vectors(base, base_p, n_zones), n_zones, seed, 0.5, 1.0, True, floor, tol, max_iter)
+    return made, configs
 
 
 def generate_first_principles(

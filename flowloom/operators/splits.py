@@ -45,18 +45,18 @@ def leakage_report(splits: DataFrame, survey_id: int, fingerprint: str | None =
 def table_fingerprint(rows: DataFrame, columns: list) -> DataFrame:
     """``rows, sha256``: order-free fingerprint of a table.
 
-    Row digests are sorted and hashed within 256 buckets (their first byte), then
-    the bucket digests are hashed, so no task holds the whole table.
+    Row digests are grouped by their first six hex digits, sorted and hashed;
+    the group digests are grouped by four, two and no digits in turn. A group
+    then holds a sixteen-millionth of the rows, or at most 256 digests.
     """
-    digest = F.sha2(F.concat_ws("|", *columns), 256)
-    buckets = (
-        rows.select(digest.alias("h"))
-        .groupBy(F.substring("h", 1, 2).alias("b"))
-        .agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("bh"))
-    )
-    return buckets.agg(
-        F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "bh"))), ""), 256).alias("sha256")
-    )
+    level = rows.select(F.sha2(F.concat_ws("|", *columns), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for digits in (6, 4, 2, 0):
+        level = (
+            level.groupBy(F.substring("h", 1, digits).alias("p"))
+            .agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+            .select(F.concat("p", "d").alias("h"), "n")
+        )
+    return level.select(F.col("n").alias("rows"), F.col("h").alias("sha256"))
 
 
 def fit_scaler(rows: DataFrame, feature: str, value: str, n_samples: int) -> DataFrame:

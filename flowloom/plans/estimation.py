@@ -287,13 +287,15 @@ def _(spark, sf):
     return I.leakage_report(splits(spark, sf), 100_000)
 
 
-@query(
-    "i5_table_fingerprint",
-    """SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(concat(b, bh), '' ORDER BY concat(b, bh))) AS sha256 FROM (
-    SELECT substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM (
-    SELECT sha256(concat_ws('|', sample_id, o, d, CAST(flow AS BIGINT))) AS h FROM od_batch) GROUP BY ALL)""",
-    ["od_batch"],
-)
+def _digest_sql() -> str:
+    level = "SELECT sha256(concat_ws('|', sample_id, o, d, CAST(flow AS BIGINT))) AS h, 1 AS n FROM od_batch"
+    for digits in (6, 4, 2, 0):
+        level = f"""SELECT concat(p, sha256(string_agg(h, '' ORDER BY h))) AS h, sum(n) AS n
+        FROM (SELECT substr(h, 1, {digits}) AS p, h, n FROM ({level})) GROUP BY p"""
+    return f"SELECT CAST(n AS BIGINT) AS rows, h AS sha256 FROM ({level})"
+
+
+@query("i5_table_fingerprint", _digest_sql(), ["od_batch"])
 def _(spark, sf):
     return I.table_fingerprint(od(spark, sf), ["sample_id", "o", "d", F.col("flow").cast("bigint")])
 
