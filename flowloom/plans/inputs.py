@@ -1,7 +1,8 @@
-"""Network tables derived once per session and data folder.
+"""Small tables derived once per session and data folder.
 
-Route search is the only slow part of set-up and depends on the road network
-and the demanded pairs alone, so its result is written once and shared.
+Distances, the base table and the road network with its routes have the size of
+the zone system. They are written once and shared, which also gives the planner
+their true size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import assignment as A
 from ..operators import network as N
 from ..operators.reshape import od_pairs
+from ..operators.spatial import distances
 from ..session import materialise
 from ..sources import fixtures as fx
 from .sql_parts import K_PATHS, THETA
@@ -35,7 +37,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs routes are searched for: those with demand."""
-    return fx.base_od(spark, sf_dir).select("o", "d")
+    return base(spark, sf_dir).select("o", "d")
+
+
+def dist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone distances."""
+    return _once(spark, sf_dir, "dist", lambda: distances(fx.zones(spark, sf_dir), n_zones(spark, sf_dir)))
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base table, one row per demanded pair."""
+    return _once(spark, sf_dir, "base", lambda: fx.base_od(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .sql_parts import normal_sql, uniform_sql
 
 
 def dist(spark, sf):
-    return SP.distances(fx.zones(spark, sf), inputs.n_zones(spark, sf))
+    return inputs.dist(spark, sf)
 
 
 def factors(spark, sf):

@@ -120,7 +120,7 @@ def _(spark, sf):
 
 @query("n4_generate_from_base")
 def _(spark, sf):
-    base = materialise(fx.base_od(spark, sf), "base")
+    base = inputs.base(spark, sf)
     p = SP.base_probability(base, dist(spark, sf))
     # as many scenarios as the demand table has stored cells
     return SC.generate_from_base(base, p, inputs.n_zones(spark, sf), base.count()).select(
@@ -130,7 +130,7 @@ def _(spark, sf):
 
 @query("n5_generate_first_principles")
 def _(spark, sf):
-    base = materialise(fx.base_od(spark, sf), "base")
+    base = inputs.base(spark, sf)
     total = base.agg(F.sum("flow")).first()[0]
     made = SC.generate_first_principles(fx.zones(spark, sf), inputs.n_zones(spark, sf), base.count(), total)
     return made.select("sample_id", "iterations", "final_error", "converged", F.size("y").alias("cells"))
@@ -202,7 +202,7 @@ def _(spark, sf):
 def grid_scores(spark, sf, alphas=(100.0, 500.0), perturbations=(0.1, 0.3), per_config=100):
     """Generate and score every grid point; one row per configuration."""
     n = inputs.n_zones(spark, sf)
-    base = materialise(fx.base_od(spark, sf), "base")
+    base = inputs.base(spark, sf)
     p = SP.base_probability(base, dist(spark, sf))
     made, configs = SC.generate_grid(base, p, n, per_config, list(alphas), list(perturbations))
     made = materialise(made, "grid")

@@ -24,7 +24,7 @@ def od(spark, sf):
 def mean_base(spark, sf):
     """Base table for comparisons: flows of the average month."""
     n = n_samples(spark, sf)
-    return fx.base_od(spark, sf).withColumn("flow", F.col("flow") / F.lit(float(n)))
+    return inputs.base(spark, sf).withColumn("flow", F.col("flow") / F.lit(float(n)))
 
 
 def n_samples(spark, sf):
