@@ -176,7 +176,7 @@ def k_shortest_paths(
     """
     k = min(k, path_limit)
     links = materialise(_links(edges, metric), "links")
-    limits = links.agg(F.max("w").alias("top"), F.sum("w").alias("all")).first()
+    limits = links.agg(F.avg("w").alias("mean"), F.sum("w").alias("all")).first()
     reverse = links.select(F.col("next").alias("node"), F.col("node").alias("next"), "edge_id", "w")
     wanted = pairs.select("o", "d").filter(F.col("o") != F.col("d")).distinct()
     to_go = materialise(
@@ -185,7 +185,7 @@ def k_shortest_paths(
     )
     start = to_go.withColumn("o", F.expr("try_cast(substring(node, 2) AS int)")).select("o", "d", "rest")
     todo = materialise(wanted.join(start, ["o", "d"]), "budgets")
-    slack, kept = 2.0 * limits["top"], []
+    slack, kept = 3.5 * limits["mean"], []
     order = W.partitionBy("o", "d").orderBy("cost", "nodes")
     while True:
         found = _paths_within(links, to_go, todo.withColumn("budget", F.col("rest") + F.lit(slack)))

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .vectors import check_vector_size, map_batches, to_lists, to_matrix
 
+#: Iterations chained in one plan at most; deeper plans overflow the optimiser's stack.
+MAX_CHAIN = 12
+
+
 def _row() -> WindowSpec:
     return W.partitionBy("sample_id", "o")
 
@@ -104,7 +108,7 @@ def rake(
     )
     finished, done = [], 0
     while done < max_iter:
-        steps = min(chunk, max_iter - done)
+        steps = min(chunk, MAX_CHAIN, max_iter - done)
         if colocate:
             state = state.repartition("sample_id")
         state = state.withColumn("rs", F.sum("flow").over(_row()))
