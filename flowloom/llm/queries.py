@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from flowloom.llm.common import table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_dedup
+from flowloom.llm.mixing import mixture
+from flowloom.llm.language import identify
+from flowloom.llm.pii import personal_data
+from flowloom.llm.quality import classify
+from flowloom.llm.simhash import near_duplicates
+from flowloom.llm.token_files import write_tokens
+from flowloom.llm.tokens import length_histogram, vocabulary_path
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +73,64 @@ _TERMS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op4_mixing",
+    r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+               FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight FROM s),
+    -- Sources in the order in which a rising level meets their caps.
+    o AS (SELECT *, sum(3 * source_size) OVER q AS capped, sum(weight) OVER q AS gone,
+                 sum(source_size) OVER () AS whole, sum(weight) OVER () AS weights
+          FROM w WINDOW q AS (ORDER BY source_size / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+    -- The last of them that is capped: its cap is at most its share of what the earlier ones leave.
+    c AS (SELECT coalesce(max(capped), 0) AS capped, coalesce(max(gone), 0) AS gone FROM o
+          WHERE 3 * source_size * (weights - gone + weight) <= (whole - capped + 3 * source_size) * weight),
+    t AS (SELECT source, o.source_size,
+                 CASE WHEN o.gone <= c.gone THEN CAST(3 * o.source_size AS DOUBLE)
+                      ELSE CAST((whole - c.capped) * weight AS DOUBLE) / CAST(weights - c.gone AS DOUBLE) END AS target
+          FROM o, c),
+    r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                 CAST(('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:13]) AS BIGINT)
+                   / CAST(4503599627370496 AS DOUBLE) AS u
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM r
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
