@@ -50,28 +50,30 @@ _KEYWORDS = r"(?i)(mail|contact|phone|tel|call|fax|mobile|card|visa|payment|addr
 
 def _candidates(text: Column) -> Column:
     """Array of all proposals of a text: generator, number, piece before, match, context on both sides."""
-    out = []
-    for g, (_, test, pattern) in enumerate(GENERATORS):
-        pieces = F.split(text, pattern, -1)
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        around = F.transform(
-            pieces,
-            lambda p: F.struct(F.length(p).alias("size"), F.left(p, F.lit(CONTEXT)).alias("head"), F.right(p, F.lit(CONTEXT)).alias("tail")),
-        )
-        proposals = F.transform(
-            F.arrays_zip(found.alias("match"), around.alias("before"), F.slice(around, 2, 1 << 30).alias("after")),
-            lambda z, i, g=g: F.struct(
-                F.lit(g).alias("gen"),
-                i.alias("i"),
-                z["match"].alias("match"),
-                z["before"]["size"].alias("gap"),
-                z["before"]["tail"].alias("before"),
-                z["after"]["head"].alias("after"),
-            ),
+    none = F.array().cast("array<struct<gen:int,i:int,match:string,gap:int,before:string,after:string>>")
+    return F.concat(*[F.when(text.rlike(test), _proposals(text, g, pattern)).otherwise(none) for g, (_, test, pattern) in enumerate(GENERATORS)])
+
+
+def _proposals(text: Column, g: int, pattern: str) -> Column:
+    around = F.transform(
+        F.split(text, pattern, -1),
+        lambda p: F.struct(F.length(p).alias("size"), F.left(p, F.lit(CONTEXT)).alias("head"), F.right(p, F.lit(CONTEXT)).alias("tail")),
+    )
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sides = F.arrays_zip(found.alias("match"), around.alias("before"), F.slice(around, F.lit(2), F.size(around)).alias("after"))
+
+    def proposal(z: Column, i: Column) -> Column:
+        before, after = z["before"], z["after"]
+        return F.struct(
+            F.lit(g).alias("gen"),
+            i.alias("i"),
+            z["match"].alias("match"),
+            before["size"].alias("gap"),
+            before["tail"].alias("before"),
+            after["head"].alias("after"),
         )
-        proposals = F.filter(proposals, lambda c: c["match"].isNotNull())  # one piece more than matches
-        out.append(F.when(text.rlike(test), proposals).otherwise(F.filter(proposals, lambda c: F.lit(False))))
-    return F.concat(*out)
+
+    return F.filter(F.transform(sides, proposal), lambda c: c["match"].isNotNull())  # one piece more than matches
 
 
 def _luhn(digits: Column) -> Column:

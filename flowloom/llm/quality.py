@@ -53,17 +53,17 @@ class Heuristic:
         return BAD if x >= self.bad else GOOD if x <= self.good else NONE
 
 
+#: Values are in units of what a plain text should not exceed, but for the last.
 HEURISTICS = (
-    Heuristic("symbols", 0.20, 0.08, least=3),
-    Heuristic("capitals", 0.50, 0.20, least=3),
-    Heuristic("exclamations", 0.30, 0.05, least=5),
-    Heuristic("bars", 0.20, 0.05, least=5),
-    Heuristic("marked_words", 0.30, 0.08, least=5),
-    Heuristic("top_word", 0.30, 0.15, least=20),
-    Heuristic("repeated_triples", 0.50, 0.20, least=20),
-    Heuristic("repeated_lines", 0.50, 0.20, least=20),
+    Heuristic("marks", 1.0, 0.5, least=3),
+    Heuristic("capitals", 1.0, 0.5, least=3),
+    Heuristic("repetition", 1.0, 0.6, least=20),
+    Heuristic("repeated_lines", 1.0, 0.6, least=20),
+    Heuristic("long_words", 1.0, 0.6, least=3),
     Heuristic("function_words", 0.01, 0.05, up=False, least=30),
 )
+#: Heuristics that recognise one way of being bad each.
+ANCHORS = (0, 1, 2, 3)
 
 
 def statistics(text: bytes) -> tuple[list[float], int]:
@@ -83,14 +83,16 @@ def statistics(text: bytes) -> tuple[list[float], int]:
     triples = len(set(zip(words, words[1:], words[2:], strict=False)))
     lines = [x for x in text.split(b"\n") if x.strip()]
     return [
-        len(text.translate(None, _PLAIN)) / size,
-        upper / max(1, upper + lower),
-        text.count(b"!") / n,
-        text.count(b"|") / n,
-        marked / n,
-        max(counts.values()) / n,
-        1 - triples / max(1, n - 2) if n > 2 else 0.0,
-        1 - len(set(lines)) / len(lines),
+        max(
+            len(text.translate(None, _PLAIN)) / size / 0.2,
+            text.count(b"!") / n / 0.3,
+            text.count(b"|") / n / 0.2,
+            marked / n / 0.3,
+        ),
+        upper / max(1, upper + lower) / 0.5,
+        max(max(counts.values()) / n / 0.3, (1 - triples / max(1, n - 2)) / 0.5),
+        (1 - len(set(lines)) / len(lines)) / 0.5,
+        size / n / 20,
         common / n,
     ], n
 
@@ -111,39 +113,54 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Share of good documents and, per class and heuristic, the probabilities of its three votes."""
+    """Shares of the latent classes and how likely each heuristic's vote is in each of them.
 
-    good: float
-    table: np.ndarray  # class (bad, good) x heuristic x vote
+    Class 0 is good. Bad documents fail in different ways, so each heuristic in ANCHORS has a bad class of its own;
+    within a class votes are independent. ``table`` has class x heuristic x vote; bad and good votes sum to one, and no
+    vote has weight one, as it says nothing about the class.
+    """
+
+    share: np.ndarray
+    table: np.ndarray
+
+    def responsibilities(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability of each class, a row for each pattern."""
+        v = votes_of(patterns)
+        logs = np.log(self.table)[:, np.arange(v.shape[1])[None, :], v].sum(axis=2).T + np.log(self.share)
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a document with this pattern is good."""
-        v = votes_of(patterns)
-        logs = np.log(self.table)[:, np.arange(v.shape[1])[None, :], v].sum(axis=2)
-        logit = logs[1] - logs[0] + np.log(self.good / (1 - self.good))
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+        return self.responsibilities(patterns)[:, 0]
 
     def accuracies(self) -> dict[str, float]:
         """Of the votes that a heuristic casts, the share that agrees with the class."""
-        prior = np.array([1 - self.good, self.good])[:, None]
-        right = prior[0] * self.table[0, :, BAD] + prior[1] * self.table[1, :, GOOD]
-        cast = (prior * (1 - self.table[:, :, NONE])).sum(axis=0)
-        return {h.name: float(r / max(c, 1e-12)) for h, r, c in zip(HEURISTICS, right, cast, strict=True)}
+        right = self.share[0] * self.table[0, :, GOOD] + (self.share[1:, None] * self.table[1:, :, BAD]).sum(axis=0)
+        return {h.name: float(r) for h, r in zip(HEURISTICS, right, strict=True)}
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> LabelModel:
-    """EM over vote patterns; a document starts as bad if at least one heuristic says so."""
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
+    """EM over vote patterns. Prior beliefs count as some documents' votes: a heuristic seldom calls a good document
+    bad, and the heuristic that names a bad class seldom misses it."""
     v, counts = votes_of(patterns), np.asarray(counts, float)
-    p = np.where((v == BAD).any(axis=1), 0.1, 0.95)
+    total = counts.sum()
+    fires = np.stack([v[:, j] == BAD for j in ANCHORS], axis=1)
+    p = np.hstack([np.ones((len(v), 1)), np.full(fires.shape, 0.01)])
+    p[fires.any(axis=1), 0] = 0.1
+    p[:, 1:][fires] = 1.0
+    p /= p.sum(axis=1, keepdims=True)
+    bad0, good0 = np.ones((p.shape[1], v.shape[1])), np.ones((p.shape[1], v.shape[1]))
+    bad0[0], good0[0] = 0.005 * (0.2 * total + 2), 0.995 * (0.2 * total + 2)
+    for k, j in enumerate(ANCHORS, 1):
+        bad0[k, j], good0[k, j] = 0.95 * (0.01 * total + 2), 0.05 * (0.01 * total + 2)
     for _ in range(rounds):
-        table = np.empty((2, v.shape[1], 3))
-        for c, w in enumerate((counts * (1 - p), counts * p)):
-            for k in range(3):
-                table[c, :, k] = ((v == k) * w[:, None]).sum(axis=0) + smooth
-            table[c] /= table[c].sum(axis=1, keepdims=True)
-        good = float(np.clip((counts * p).sum() / max(counts.sum(), 1e-12), 1e-3, 1 - 1e-3))
-        model = LabelModel(good, table)
-        new = model.posterior(patterns)
+        w = p * counts[:, None]
+        bad, fine = w.T @ (v == BAD) + bad0, w.T @ (v == GOOD) + good0
+        table = np.ones((p.shape[1], v.shape[1], 3))
+        table[:, :, BAD], table[:, :, GOOD] = bad / (bad + fine), fine / (bad + fine)
+        model = LabelModel((w.sum(axis=0) + 1) / (total + p.shape[1]), table)
+        new = model.responsibilities(patterns)
         if np.abs(new - p).max(initial=0) < 1e-6:
             break
         p = new
@@ -151,23 +168,28 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
 
 
 def hashed(text: bytes, values: list[float], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: byte triples by the root of their share, and the statistics in tenths. Indices and values."""
+    """Hashed features: byte triples by the root of their share, and the fifths of its unit that a statistic reaches. Indices and values."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     tally = np.zeros(FEATURES, np.float32)
     if len(b) > 2:
         h = ((b[:-2] * np.uint32(65599) + b[1:-1]) * np.uint32(65599) + b[2:]) * np.uint32(2654435761)
         tally += np.sqrt(np.bincount(h >> np.uint32(20), minlength=FEATURES)[:FEATURES] / (len(b) - 2))
-    for k, x in enumerate(values if n else []):
-        tally[(k * 3571 + min(10, int(10 * x)) * 271 + 17) % FEATURES] += 0.5
+    for k, (h, x) in enumerate(zip(HEURISTICS, values, strict=True)):
+        reached = range(min(8, int(5 * x)) + 1) if n >= h.least else (11,)
+        for step in reached:
+            tally[(k * 3571 + step * 271 + 17) % FEATURES] += 1
     at = np.flatnonzero(tally)
     return at, tally[at]
 
 
-def _train(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels, classes weighted alike, by gradient descent with momentum; bias last."""
+def _train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels by gradient descent with momentum; bias last.
+
+    The rarer class gets more weight, by the root of the ratio.
+    """
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = y.mean() if len(y) else 0.5
-    weight = y / max(share, 1e-3) + (1 - y) / max(1 - share, 1e-3)
+    weight = y / max(share, 1e-3) ** 0.5 + (1 - y) / max(1 - share, 1e-3) ** 0.5
     weight = (weight / max(weight.sum(), 1e-9)).astype(np.float32)
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for _ in range(rounds):
@@ -227,12 +249,13 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, shards: i
     patterns, counts = pattern_counts(docs, text)
     total = int(counts.sum())
     if not total:
-        return Scorer(LabelModel(0.5, np.full((2, len(HEURISTICS), 3), 1 / 3)), np.zeros(FEATURES + 1, np.float32))
+        return Scorer(fit_label_model(np.array([0]), np.array([0])), np.zeros(FEATURES + 1, np.float32))
     labels = fit_label_model(patterns, counts)
     content = utf8(F.col(text))
     kept = docs.select(content.alias("text"), F.xxhash64(content).alias("h"))
     share = max(1, round(total / fit_rows))
     sample = kept.filter(F.pmod(F.shiftrightunsigned("h", 8), F.lit(share)) == 0).dropDuplicates(["h"])
+    shards = max(1, min(shards, total // 1000))
     sample = sample.select("text", F.pmod("h", F.lit(shards)).alias("shard"))
     models = sample.groupBy("shard").applyInArrow(_shard_trainer(labels), "n long, w array<float>").collect()
     n = sum(r["n"] for r in models)
