@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators import vectors  # noqa: F401  makes functions of this package travel by value
 from flowloom.session import materialise
 
 #: A word is a run of anything but ASCII white space. On UTF-8 bytes this is what ``bytes.split()`` yields.
@@ -20,6 +22,25 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast of a bounded object, sent with its class, so that executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(sent: Broadcast):
+    return cloudpickle.loads(sent.value)
+
+
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``_doc`` beside the named columns, so that no names can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[c.alias(k) for k, c in named.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` back from packed rows, those named in ``changed`` replaced."""
+    return rows.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import utf8
+from flowloom.llm.common import packed, share, shared, unpacked, utf8
 
 NGRAM = 10
 #: Bytes of benchmark text that one broadcast block holds at most; a larger benchmark is scanned in several blocks.
@@ -106,7 +106,7 @@ def _scanner(grams):
     """Arrow UDF that scans texts with a broadcast block of grams."""
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        block: Grams = grams.value
+        block: Grams = shared(grams)
         for batch in batches:
             out = []
             for text in batch:
@@ -145,7 +145,7 @@ def scan(
     names = []
     for i, blocks in _blocks(benchmark, item_id, item_text, block_bytes):
         block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).filter("item IS NOT NULL").collect()
-        grams = spark.sparkContext.broadcast(Grams([(r["item"], bytes(r["text"])) for r in block], n))
+        grams = share(spark, Grams([(r["item"], bytes(r["text"])) for r in block], n))
         names.append(f"_hit{i}")
         out = out.withColumn(names[-1], _scanner(grams)(utf8(F.col(text))))
     if len(names) == 1:
@@ -189,8 +189,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, doc_id:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the documents that hold a test window; columns, repeats and nulls stay as they are."""
-    hit = scan(docs.withColumn("_text", F.col(text)), benchmark, n, "_text", **kw)
-    return hit.filter(F.size("_hit.items") == 0).select(*docs.columns)
+    hit = scan(packed(docs, _text=F.col(text)), benchmark, n, "_text", **kw)
+    return unpacked(hit.filter(F.size("_hit.items") == 0), docs)
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -215,8 +215,6 @@ def _cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text: str = "text", **kw) -> DataFrame:
     """``docs`` with the hit passages cut out of the text; documents without a hit keep their text as it is."""
-    hit = scan(docs.withColumn("_text", F.col(text)), benchmark, n, "_text", **kw)
+    hit = scan(packed(docs, _text=F.col(text)), benchmark, n, "_text", **kw)
     cut = F.arrow_udf(_cut, T.StringType()).asNondeterministic()
-    return hit.withColumn("_text", cut(F.col("_text"), F.col("_hit"))).select(
-        *[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    )
+    return unpacked(hit.withColumn("_text", cut(F.col("_text"), F.col("_hit"))), docs, **{text: F.col("_text")})

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.llm.common import share, shared
+
 CELLS = 1 << 14
 GRAMS = (1, 2, 3)
 #: Languages that a model holds at most; a table has CELLS cells for each.
@@ -164,10 +166,10 @@ _GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sco
 
 def predict(texts: DataFrame, coder: Coder, text: str = "text", name: str = "_guess") -> DataFrame:
     """Add a struct ``name``: language, score, lead. Texts that are null or have no letter are ``und`` with score 0."""
-    model = texts.sparkSession.sparkContext.broadcast(coder)
+    model = share(texts.sparkSession, coder)
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: Coder = model.value
+        known: Coder = shared(model)
         for batch in batches:
             out = []
             for t in batch:

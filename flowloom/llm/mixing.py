@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import WORD, running
+from flowloom.llm.common import WORD, packed, running, unpacked
 from flowloom.session import materialise
 
 WEIGHTS = (1, 2, 3)
@@ -118,7 +118,7 @@ def mix(
     """``docs`` with each row as many times as the mixture takes it; columns stay as they are."""
     sized = docs.select(F.col(source).alias("source"), words_in(text).alias("size"))
     rates = _rates(sized, weights, most).select(F.col("source").alias("_s"), "source_size", "target")
-    kept = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source).alias("source"), F.col(doc_id).alias("_key"))
+    kept = packed(docs, source=F.col(source), _key=F.col(doc_id))
     mixed = _with_rates(kept, rates.withColumnRenamed("_s", "source"), seed).filter("_copies > 0")
     again = mixed.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i"))
-    return again.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+    return unpacked(again, docs)

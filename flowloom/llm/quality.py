@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import utf8
+from flowloom.llm.common import packed, share, shared, unpacked, utf8
 
 GOOD, BAD, NONE = 2, 0, 1
 #: Rows that the scorer is fitted on at most (a hash sample of about that size), and the models that are averaged.
@@ -267,10 +267,10 @@ _SCORE = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField(
 
 def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "_quality") -> DataFrame:
     """``docs`` with a struct ``name``: vote pattern, posterior of the label model, score of the scorer."""
-    model = docs.sparkSession.sparkContext.broadcast(scorer)
+    model = share(docs.sparkSession, scorer)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: Scorer = model.value
+        known: Scorer = shared(model)
         for batch in batches:
             found = [known.score(t.as_py()) for t in batch]
             p = np.array([f[0] for f in found], np.int32)
@@ -304,5 +304,5 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, **kw) -> DataFrame:
     """``docs`` without the documents whose score is below the threshold; columns stay as they are."""
-    scored = with_score(docs, fit(docs, text, **kw), text)
-    return scored.filter(F.col("_quality.score") >= threshold).select(*docs.columns)
+    scored = with_score(packed(docs, _text=F.col(text)), fit(docs, text, **kw), "_text")
+    return unpacked(scored.filter(F.col("_quality.score") >= threshold), docs)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowloom.llm.common import table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_dedup
+from flowloom.llm.lm import lm_scores
 from flowloom.llm.mixing import mixture
 from flowloom.llm.language import identify
 from flowloom.llm.pii import personal_data
@@ -126,6 +127,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
 
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import utf8
+from flowloom.llm.common import packed, unpacked, utf8
 from flowloom.llm.components import components
 from flowloom.session import materialise
 
@@ -142,6 +142,6 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id",
     stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     stays = materialise(stays, "kept")
     one = Window.partitionBy("_kept").orderBy("_kept")
-    named = docs.withColumn("_key", F.col(doc_id)).join(stays, F.col("_key") == F.col("_kept"))
-    first = named.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    named = packed(docs, _key=F.col(doc_id)).join(stays, F.col("_key") == F.col("_kept"))
+    first = unpacked(named.withColumn("_n", F.row_number().over(one)).filter("_n = 1"), docs)
     return first.unionByName(docs.filter(F.col(doc_id).isNull()))
