@@ -101,7 +101,7 @@ def with_log_gamma(
         return F.when(fits(x, log_v(x), log_u), log_v(x))
 
     rest = F.filter(F.transform(F.sequence(F.lit(quick), F.lit(tries - 1)), later), lambda g: g.isNotNull())
-    out = out.withColumn("_g", F.when(F.col("_g").isNull(), F.coalesce(F.get(rest, F.lit(0)), F.lit(0.0))).otherwise(F.col("_g")))
+    out = out.withColumn("_g", F.when(F.col("_g").isNull(), F.coalesce(F.get(rest, F.lit(0)), F.when(F.col("_shape").isNotNull(), F.raise_error(F.lit("no gamma draw within the tries; raise `tries`")).cast("double")))).otherwise(F.col("_g")))
     boost = F.log(uniform(seed, stream + ".b", *keys, family=family)) / F.col("_shape")
     drawn = F.log(d) + F.col("_g") + F.when(F.col("_shape") < 1.0, boost).otherwise(0.0)
     return out.select(*kept, drawn.alias(name))
@@ -168,7 +168,8 @@ def with_poisson(
     Small rates walk the inverse CDF. Large ones use Hoermann's transformed
     rejection (1993): a try is accepted with probability above 0.8, the first
     ``quick`` are compiled and the rest run as an array expression for the rows
-    refused so far; what 24 tries leave (below 1e-16) gets the rounded rate.
+    refused so far. A row that all 24 tries refuse (below 1e-16) is an error, as any
+    stand-in value would bend the distribution.
     """
     kept = df.columns
     r, a, b = F.col("_rate"), F.col("_a"), F.col("_b")
@@ -206,6 +207,6 @@ def with_poisson(
         return F.when(accepted(u, v, candidate(u)), candidate(u))
 
     rest = F.filter(F.transform(F.sequence(F.lit(quick), F.lit(tries - 1)), later), lambda k: k.isNotNull())
-    last = F.coalesce(F.get(rest, F.lit(0)), F.round("_rate").cast("long"))
+    last = F.coalesce(F.get(rest, F.lit(0)), F.raise_error(F.lit("no Poisson draw within the tries; raise `tries`")).cast("long"))
     out = out.withColumn("_k", F.when(F.col("_k").isNull(), last).otherwise(F.col("_k")))
     return out.select(*kept, F.col("_k").alias(name))

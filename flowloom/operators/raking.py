@@ -98,7 +98,8 @@ def rake(
 
     ``colocate`` hashes each sample to one task so that no iteration shuffles;
     turn it off for zone systems whose single table outgrows a task, where the
-    windows then shuffle by row and by column instead.
+    windows then shuffle by row and by column instead. ``chunk`` iterations are
+    chained in one plan, ``MAX_CHAIN`` at most; the results don't depend on it.
     """
     state = (
         _with_targets(cells, row_target, col_target)

@@ -3,7 +3,13 @@
 One plan covers all samples, and every draw is a function of (seed, sample, cell
 or position), so the result does not depend on partitioning.
 
-The base-table generator is a narrow map over a range of sample ids: Spark has
+Both generators come in two forms. The vector form holds a sample's table in one
+row, for zone systems up to ``MAX_VECTOR_CELLS``; the ``*_cells`` form composes
+the same steps cell by cell (Dirichlet draw, gamma weights, floor, shocked
+marginals, raking) for zone systems of any size. Draws differ between the forms,
+distributions don't.
+
+The base-table vector form is a narrow map over a range of sample ids: Spark has
 no gamma sampler, so each Arrow batch draws and rakes its own samples, with
 nothing to join or shuffle. The first-principles generator builds its latent
 factors and gravity cells with joins and windows. Samples come from
@@ -15,19 +21,20 @@ exchange; cells become one vector row per sample just before raking.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform, with_gamma, with_log_gamma
-from ..session import join_small
-from .raking import _balance
+from ..session import join_small, materialise
+from .raking import _balance, rake
 from .reshape import od_index
 from .spatial import (
     distances,
     gravity,
     impedance,
+    latent_factors,
     memberships,
     seed_to_probability,
     smooth_factors,
@@ -43,43 +50,55 @@ def _by_sample() -> WindowSpec:
 # ---------------------------------------------------------------- building blocks
 
 
-def reweight(cells: DataFrame, seed: int, shape: float = 0.5, scale: float = 1.0, normalise: bool = True, family: str = "md5") -> DataFrame:
+def _with_totals(cells: DataFrame, wide: bool, **totals: Column) -> DataFrame:
+    """Add aggregates over each sample as columns.
+
+    By window, or for tables that outgrow a task (``wide``) by partial sums and a
+    join, after writing the cells so that they aren't drawn twice.
+    """
+    if not wide:
+        return cells.withColumns({k: c.over(_by_sample()) for k, c in totals.items()})
+    kept = materialise(cells, "cells")
+    return kept.join(kept.groupBy("sample_id").agg(*[c.alias(k) for k, c in totals.items()]), "sample_id")
+
+
+def reweight(cells: DataFrame, seed: int, shape: float = 0.5, scale: float = 1.0, normalise: bool = True, family: str = "md5", wide: bool = False) -> DataFrame:
     """Multiply ``p`` by gamma weights; renormalise each sample to one unless told not to."""
     keys = (F.col("sample_id"), F.col("o"), F.col("d"))
     drawn = with_gamma(cells, "_w", seed, "weight", keys, shape=shape, scale=scale, family=family)
     weighted = drawn.withColumn("p", F.col("p") * F.col("_w")).drop("_w")
     if not normalise:
         return weighted
-    total = F.sum("p").over(_by_sample())
-    no_mass = F.raise_error(F.lit("reweighted probabilities have no mass")).cast("double")
-    return weighted.withColumn("p", F.when(total > 0, F.col("p") / total).otherwise(no_mass))
+    no_mass = F.raise_error(F.lit("no probability is left after the gamma weights")).cast("double")
+    summed = _with_totals(weighted, wide, _total=F.sum("p"))
+    return summed.withColumn("p", F.when(F.col("_total") > 0, F.col("p") / F.col("_total")).otherwise(no_mass)).drop("_total")
 
 
-def dirichlet(cells: DataFrame, alpha: float, seed: int, prior_floor: float = 0.0, concentration_floor: float = 0.0, family: str = "xx") -> DataFrame:
+def dirichlet(cells: DataFrame, alpha: float, seed: int, prior_floor: float = 0.0, concentration_floor: float = 0.0, family: str = "xx", wide: bool = False) -> DataFrame:
     """Replace ``p`` by a Dirichlet(alpha * p) draw per sample.
 
     Log-gamma draws are shifted by their maximum before the exponential, so tiny
     concentrations survive.
     """
     if alpha <= 0:
-        raise ValueError("alpha must be positive")
+        raise ValueError(f"alpha is {alpha}; it has to be above zero")
     kept = cells.columns
     prior = cells
     if prior_floor > 0:
-        lifted = prior.withColumn("p", F.greatest("p", F.lit(prior_floor)))
-        prior = lifted.withColumn("p", F.col("p") / F.sum("p").over(_by_sample()))
+        lifted = _with_totals(prior.withColumn("p", F.greatest("p", F.lit(prior_floor))), wide, _total=F.sum("p"))
+        prior = lifted.withColumn("p", F.col("p") / F.col("_total")).drop("_total")
     a = F.greatest(F.lit(float(alpha)) * F.col("p"), F.lit(concentration_floor))
     keys = (F.col("sample_id"), F.col("o"), F.col("d"))
     drawn = with_log_gamma(prior, "_g", a, seed, "dirichlet", keys, family=family)
-    e = drawn.withColumn("_e", F.exp(F.col("_g") - F.max("_g").over(_by_sample())))
-    return e.withColumn("p", F.col("_e") / F.sum("_e").over(_by_sample())).select(*kept)
+    e = _with_totals(drawn, wide, _top=F.max("_g")).withColumn("_e", F.exp(F.col("_g") - F.col("_top")))
+    return _with_totals(e, wide, _sum=F.sum("_e")).withColumn("p", F.col("_e") / F.col("_sum")).select(*kept)
 
 
-def sampled_demand(cells: DataFrame, alpha: float, total: float, seed: int, apply_gamma: bool = True, shape: float = 0.5, scale: float = 1.0) -> DataFrame:
+def sampled_demand(cells: DataFrame, alpha: float, total: float, seed: int, apply_gamma: bool = True, shape: float = 0.5, scale: float = 1.0, family: str = "xx") -> DataFrame:
     """Dirichlet draw, optional gamma reweighting, scaled to the total demand."""
-    p = dirichlet(cells, alpha, seed)
+    p = dirichlet(cells, alpha, seed, family=family)
     if apply_gamma:
-        p = reweight(p, seed, shape, scale, family="xx")
+        p = reweight(p, seed, shape, scale, family=family)
     return p.withColumn("flow", F.col("p") * F.lit(float(total)))
 
 
@@ -270,12 +289,7 @@ def generate_from_base(
 
     ``base_p`` comes from ``spatial.base_probability`` on ``base``.
     """
-    if alpha <= 0:
-        raise ValueError("alpha must be positive")
-    if not 0 <= perturbation < 1:
-        raise ValueError("perturbation must be in [0, 1)")
-    if shape <= 0 or scale <= 0:
-        raise ValueError("gamma shape and scale must be positive")
+    _check_base(alpha, perturbation, shape, scale)
     samples = _sample_ids(base.sparkSession, n_samples).withColumns(
         {"alpha": F.lit(float(alpha)), "delta": F.lit(float(perturbation))}
     )
@@ -283,6 +297,55 @@ def generate_from_base(
     return _draw_around(samples, vectors, n_zones, seed, shape, scale, apply_gamma, floor, tol, max_iter)
 
 
+def _check_base(alpha: float, perturbation: float, shape: float, scale: float) -> None:
+    if alpha <= 0:
+        raise ValueError(f"alpha is {alpha}; it has to be above zero")
+    if not 0 <= perturbation < 1:
+        raise ValueError(f"perturbation is {perturbation}; it has to be from 0 to below 1")
+    if shape <= 0 or scale <= 0:
+        raise ValueError("shape and scale of the gamma weights have to be above zero")
+
+
+def _raked_cells(seeded: DataFrame, rows: DataFrame, cols: DataFrame, floor: float, tol: float, max_iter: int) -> DataFrame:
+    return rake(
+        raking_seed(seeded, floor).select("sample_id", "o", "d", "flow"), rows, cols, tol=tol, max_iter=max_iter, colocate=False
+    )
+
+
+def generate_from_base_cells(
+    base: DataFrame,
+    base_p: DataFrame,
+    n_samples: int,
+    alpha: float = 500.0,
+    perturbation: float = 0.20,
+    tol: float = 1e-3,
+    max_iter: int = 1000,
+    floor: float = 1e-6,
+    shape: float = 0.5,
+    scale: float = 1.0,
+    apply_gamma: bool = True,
+    seed: int = 42,
+    family: str = "xx",
+) -> DataFrame:
+    """``sample_id, o, d, flow, iterations, final_error, converged``: the long form, without a bound on the zones."""
+    _check_base(alpha, perturbation, shape, scale)
+    support = base_p.filter((F.col("o") != F.col("d")) & (F.col("p") > 0)).select("o", "d", "p")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_samples - 1).cast("long"))).alias("sample_id")
+    p = dirichlet(support.select(each, "o", "d", "p"), alpha, seed, family=family, wide=True)
+    if apply_gamma:
+        p = reweight(p, seed, shape, scale, family=family, wide=True)
+    flows = base.filter(F.col("o") != F.col("d"))
+    total = flows.agg(F.sum("flow")).first()[0]
+    if not total or total <= 0:
+        raise ValueError("the base table holds no demand")
+
+    def shocked(key: str, stream: str) -> DataFrame:
+        marginal = flows.groupBy(key).agg(F.sum("flow").alias("m")).select(each, key, "m")
+        return perturbed_targets(marginal, key, total, perturbation, seed, stream, family=family)
+
+    return _raked_cells(p.withColumn("flow", F.col("p") * F.lit(float(total))), shocked("o", "row"), shocked("d", "col"), floor, tol, max_iter)
+
+
 def generate_grid(
     base: DataFrame,
     base_p: DataFrame,
@@ -339,7 +402,7 @@ def generate_first_principles(
 ) -> DataFrame:
     """Latent factors, gravity with reciprocity, heavy tails, Dirichlet noise, raking."""
     if alpha <= 0:
-        raise ValueError("alpha must be positive")
+        raise ValueError(f"alpha is {alpha}; it has to be above zero")
     rho = min(max(float(rho), 0.0), 0.5)
     dist = distances(zones, n_zones)
     samples = _sample_ids(zones.sparkSession, n_samples)
@@ -390,6 +453,44 @@ def generate_first_principles(
     return _balanced(ready, n_zones, total, floor, tol, max_iter)
 
 
+def generate_first_principles_cells(
+    zones: DataFrame,
+    n_zones: int,
+    n_samples: int,
+    total: float = 365_475.0,
+    latent: int = 4,
+    factor_shape: float = 2.0,
+    factor_scale: float = 1.0,
+    smooth_length: float = 400.0,
+    smooth_strength: float = 0.5,
+    shape: float = 0.5,
+    scale: float = 1.0,
+    apply_gamma: bool = True,
+    alpha: float = 200.0,
+    tol: float = 1e-3,
+    max_iter: int = 1000,
+    floor: float = 1e-6,
+    latent_marginals: bool = True,
+    seed: int = 42,
+    **gravity_args,
+) -> DataFrame:
+    """``sample_id, o, d, flow, iterations, final_error, converged``: the long form, without a bound on the zones."""
+    if alpha <= 0:
+        raise ValueError(f"alpha is {alpha}; it has to be above zero")
+    dist = materialise(distances(zones, n_zones), "dist")
+    samples = _sample_ids(zones.sparkSession, n_samples)
+    factors = latent_factors(samples, zones, dist, n_zones, latent, seed, factor_shape, factor_scale, smooth_length, smooth_strength)
+    factors = materialise(factors, "factors")
+    cells = gravity(factors, dist, **gravity_args)
+    if apply_gamma:
+        cells = reweight(cells.withColumnRenamed("flow", "p"), seed, shape, scale, normalise=False, family="xx").withColumnRenamed("p", "flow")
+    summed = _with_totals(cells, True, _total=F.sum("flow"), _n=F.count(F.lit(1)))
+    share = F.when(F.col("_total") > 0, F.col("flow") / F.col("_total")).otherwise(1.0 / F.col("_n"))
+    p = dirichlet(summed.select("sample_id", "o", "d", share.alias("p")), alpha, seed, 1e-18, 1e-12, wide=True)
+    targets = split_targets(marginal_targets(factors, total, latent_marginals))
+    return _raked_cells(p.withColumn("flow", F.col("p") * F.lit(float(total))), *targets, floor, tol, max_iter)
+
+
 def recommendation_score(target_corr: float = 0.85):
     """Higher is better: diversity and spread, less correlation above the target."""
     diversity = F.col("mean_pairwise_distance") / 200.0 + F.col("mean_cell_cv")

@@ -27,7 +27,7 @@ MAX_OPERATOR_CELLS = 16_000_000
 
 def check_vector_size(entries: int) -> None:
     if entries > MAX_VECTOR_CELLS:
-        raise ValueError(f"{entries} entries per vector; use the long-form operator")
+        raise ValueError(f"{entries} entries per vector; beyond the vector form; use the form by cells")
 
 
 def to_matrix(column: pa.Array, width: int) -> np.ndarray:

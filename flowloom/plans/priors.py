@@ -13,7 +13,7 @@ from ..operators.reshape import densify
 from ..sources import fixtures as fx
 from . import inputs
 from .registry import query
-from .sql_parts import normal_sql, uniform_sql
+from .sql_parts import log_gamma_sql, normal_sql, poisson_sql, uniform_sql
 
 
 def dist(spark, sf):
@@ -247,22 +247,34 @@ def _(spark, sf):
     return D.with_gamma(fx.od_batch(spark, sf), "w", 7, "demo", tuple(F.col(k) for k in _KEYS), scale=1.5).select(*_KEYS, "w")
 
 
-@query("d3_gamma_any_shape")
+@query("d3_gamma_any_shape", f"SELECT sample_id, o, d, greatest(exp(lg), 1e-30) AS w FROM {log_gamma_sql('od_batch', '2::DOUBLE', 7, 'demo', *_KEYS)}", ["od_batch"], {"w": 8})
 def _(spark, sf):
     return D.with_gamma(fx.od_batch(spark, sf), "w", 7, "demo", tuple(F.col(k) for k in _KEYS), shape=2.0).select(*_KEYS, "w")
 
 
-@query("d4_dirichlet")
+def dirichlet_sql(source: str, alpha: float, floor: float = 0.0) -> str:
+    """``keys, p`` from ``source(keys, p)``."""
+    drawn = log_gamma_sql(source, f"greatest({alpha}::DOUBLE * p, {floor}::DOUBLE)", 42, "dirichlet", *_KEYS)
+    return f"""SELECT sample_id, o, d, e / sum(e) OVER (PARTITION BY sample_id) AS p FROM (
+    SELECT sample_id, o, d, exp(lg - max(lg) OVER (PARTITION BY sample_id)) AS e FROM {drawn})"""
+
+
+SHARES = "shares AS (SELECT sample_id, o, d, flow / sum(flow) OVER (PARTITION BY sample_id) AS p FROM od_batch)"
+LIFTED = """lifted AS (SELECT sample_id, o, d, p / sum(p) OVER (PARTITION BY sample_id) AS p FROM (
+SELECT sample_id, o, d, greatest(flow / sum(flow) OVER (PARTITION BY sample_id), 1e-18::DOUBLE) AS p FROM dense WHERE o <> d))"""
+
+
+@query("d4_dirichlet", dirichlet_sql("shares", 500), ["od_batch"], {"p": 9}, [SHARES])
 def _(spark, sf):
     p = SP.seed_to_probability(fx.od_batch(spark, sf))
-    return SC.dirichlet(p, 500.0, 42).select(*_KEYS, "p")
+    return SC.dirichlet(p, 500.0, 42, family="md5").select(*_KEYS, "p")
 
 
-@query("d4_dirichlet_floored")
+@query("d4_dirichlet_floored", dirichlet_sql("lifted", 200, 1e-12), ["dense"], {"p": 9}, [LIFTED])
 def _(spark, sf):
     cells = densify(fx.od_batch(spark, sf), inputs.n_zones(spark, sf))
     p = SP.seed_to_probability(cells)
-    return SC.dirichlet(p, 200.0, 42, prior_floor=1e-18, concentration_floor=1e-12).select(*_KEYS, "p")
+    return SC.dirichlet(p, 200.0, 42, prior_floor=1e-18, concentration_floor=1e-12, family="md5", wide=True).select(*_KEYS, "p")
 
 
 @query(
@@ -281,9 +293,9 @@ def _(spark, sf):
     return SC.perturbed_targets(m, "o", total, 0.2, 42, "row")
 
 
-@query("d6_poisson")
+@query("d6_poisson", f"SELECT sample_id, o, d, k FROM {poisson_sql('od_batch', 'flow', 42, 'demo', *_KEYS)}", ["od_batch"])
 def _(spark, sf):
-    drawn = D.with_poisson(fx.od_batch(spark, sf), "k", F.col("flow"), 42, "demo", tuple(F.col(k) for k in _KEYS))
+    drawn = D.with_poisson(fx.od_batch(spark, sf), "k", F.col("flow"), 42, "demo", tuple(F.col(k) for k in _KEYS), family="md5")
     return drawn.select(*_KEYS, "k")
 
 

@@ -15,9 +15,9 @@ from ..operators.reshape import densify, flatten, od_index, unflatten
 from ..session import materialise
 from ..sources import fixtures as fx
 from . import inputs
-from .priors import FACTORS, GRAVITY, MIXED, dist, factors
+from .priors import FACTORS, GRAVITY, MIXED, SHARES, dirichlet_sql, dist, factors
 from .registry import query
-from .sql_parts import ipf_sql, uniform_sql
+from .sql_parts import ipf_sql, normal_sql, uniform_sql
 
 
 def _targets(spark, sf):
@@ -107,10 +107,17 @@ def _(spark, sf):
     return SC.reweight(p, 42, normalise=False).select("sample_id", "o", "d", "p")
 
 
-@query("n2_sampled_demand")
+def demand_sql(shares: str, alpha: float, total: str) -> str:
+    """Dirichlet draw around ``shares``, half-gamma weights, scaled to the total."""
+    weight = f"greatest(pow({normal_sql(42, 'weight', 'sample_id', 'o', 'd')}, 2) / 2, 1e-30)"
+    return f"""SELECT sample_id, o, d, w / sum(w) OVER (PARTITION BY sample_id) * {total} AS flow FROM (
+    SELECT sample_id, o, d, p * {weight} AS w FROM ({dirichlet_sql(shares, alpha)}))"""
+
+
+@query("n2_sampled_demand", demand_sql("shares", 500, "10000"), ["od_batch"], {"flow": 5}, [SHARES])
 def _(spark, sf):
     p = SP.seed_to_probability(fx.od_batch(spark, sf))
-    return SC.sampled_demand(p, 500.0, 10_000.0, 42).select("sample_id", "o", "d", "flow")
+    return SC.sampled_demand(p, 500.0, 10_000.0, 42, family="md5").select("sample_id", "o", "d", "flow")
 
 
 @query("n3_raking_seed", "SELECT sample_id, o, d, flow + 1e-6 AS flow FROM dense WHERE o <> d", ["dense"], {"flow": 7})
@@ -128,6 +135,45 @@ def _(spark, sf):
     )
 
 
+N_CELLS = 40
+BASE_SEED = f"""bp AS (SELECT r.s AS sample_id, o, d, p FROM range({N_CELLS}) r(s), (
+SELECT t.o, t.d, lift / sum(lift) OVER () AS p FROM (
+SELECT t.o, t.d, coalesce(b.flow, 0) + exp(-t.dist / 500) AS lift FROM dist t LEFT JOIN base_od b USING (o, d) WHERE t.o <> t.d) t)),
+whole AS (SELECT sum(flow) AS g FROM base_od WHERE o <> d),
+made AS ({demand_sql('bp', 500, '(SELECT g FROM whole)')}),
+shocked AS (SELECT r.s AS sample_id, z.side, z.k, z.m * (1 + (2 * CASE z.side WHEN 'row' THEN {uniform_sql(42, 'row', 'r.s', 'z.k')}
+ELSE {uniform_sql(42, 'col', 'r.s', 'z.k')} END - 1) * 0.2) AS t FROM range({N_CELLS}) r(s), (
+SELECT 'row' AS side, o AS k, sum(flow) AS m FROM base_od WHERE o <> d GROUP BY ALL
+UNION ALL SELECT 'col', d, sum(flow) FROM base_od WHERE o <> d GROUP BY ALL) z),
+marks AS (SELECT *, (SELECT g FROM whole) * t / sum(t) OVER (PARTITION BY sample_id, side) AS target FROM shocked),
+scen AS (SELECT m.sample_id, m.o, m.d, m.flow + 1e-6 AS flow, coalesce(a.target, 0) AS tr, coalesce(b.target, 0) AS tc FROM made m
+LEFT JOIN marks a ON a.sample_id = m.sample_id AND a.side = 'row' AND a.k = m.o
+LEFT JOIN marks b ON b.sample_id = m.sample_id AND b.side = 'col' AND b.k = m.d)"""
+
+
+@query(
+    "n4_generate_cells",
+    "SELECT sample_id, o, d, flow FROM ipf2",
+    ["base_od", "dist"],
+    {"flow": 4},
+    [BASE_SEED, *ipf_sql("scen", 2)],
+)
+def _(spark, sf):
+    """The long form with two raking rounds, every draw written out in the SQL twin."""
+    base = inputs.base(spark, sf)
+    p = SP.base_probability(base, dist(spark, sf))
+    made = SC.generate_from_base_cells(base, p, N_CELLS, tol=0.0, max_iter=2, family="md5")
+    return made.select("sample_id", "o", "d", "flow")
+
+
+@query("n5_generate_cells")
+def _(spark, sf):
+    base = inputs.base(spark, sf)
+    total = base.agg(F.sum("flow")).first()[0]
+    made = SC.generate_first_principles_cells(fx.zones(spark, sf), inputs.n_zones(spark, sf), N_CELLS, total, max_iter=20)
+    return made.select("sample_id", "o", "d", "flow", "iterations", "final_error", "converged")
+
+
 @query("n5_generate_first_principles")
 def _(spark, sf):
     base = inputs.base(spark, sf)
@@ -199,7 +245,11 @@ def _(spark, sf):
     return RK.rake(SC.perturbed_seed(od, 42), rows, cols, tol=0.0, max_iter=2).select("sample_id", "o", "d", "flow")
 
 
-def grid_scores(spark, sf, alphas=(100.0, 500.0), perturbations=(0.1, 0.3), per_config=100):
+#: The grid of the search (fixed values).
+ALPHAS, PERTURBATIONS = (100.0, 250.0, 500.0, 1000.0, 2000.0), (0.05, 0.10, 0.20, 0.30)
+
+
+def grid_scores(spark, sf, alphas=ALPHAS, perturbations=PERTURBATIONS, per_config=200):
     """Generate and score every grid point; one row per configuration."""
     n = inputs.n_zones(spark, sf)
     base = inputs.base(spark, sf)

@@ -156,6 +156,34 @@ def normal_sql(seed: int, stream: str, *keys: str) -> str:
     return f"(sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2}))"
 
 
+def log_gamma_sql(source: str, shape: str, seed: int, stream: str, *keys: str, tries: int = 16) -> str:
+    """``keys, lg``: log of a Gamma(shape, 1) draw for each row of ``source``; all tries written out, first hit taken."""
+    k = ", ".join(keys)
+    return f"""(SELECT {k}, ln(gd) + min_by(lv, i) + CASE WHEN any_value(gs) < 1 THEN ln({uniform_sql(seed, stream + '.b', *keys)}) / any_value(gs) ELSE 0 END AS lg
+    FROM (SELECT *, CASE WHEN 1 + gc * gx > 0 THEN 3 * ln(1 + gc * gx) END AS lv FROM (
+      SELECT *, {normal_sql(seed, stream + '.n', *keys, 'i')} AS gx, ln({uniform_sql(seed, stream + '.u', *keys, 'i')}) AS gu, 1 / sqrt(9 * gd) AS gc FROM (
+        SELECT {k}, i, {shape} AS gs, CASE WHEN {shape} < 1 THEN {shape} + 1 ELSE {shape} END - 1 / 3::DOUBLE AS gd FROM {source}, range({tries}) r(i))))
+    WHERE gu < 0.5 * gx * gx + gd * (1 - exp(lv) + lv) GROUP BY {k}, gd)"""
+
+
+def poisson_sql(source: str, rate: str, seed: int, stream: str, *keys: str, below: int = 25, tries: int = 24) -> str:
+    """``keys, k``: Poisson draws of each row of ``source``: inverse CDF for small rates, transformed rejection beyond."""
+    k = ", ".join(keys)
+    top = int(below + 12 * below**0.5 + 20)
+    rows = f"(SELECT {k}, {rate}::DOUBLE AS r FROM {source})"
+    fact = """((t + 1 - 0.5) * ln(t + 1) - (t + 1) + 0.5 * ln(2 * pi()) + 1 / (12.0::DOUBLE * (t + 1)) - 1 / (360.0::DOUBLE * pow(t + 1, 3))
+    + 1 / (1260.0::DOUBLE * pow(t + 1, 5)))"""
+    return f"""(SELECT {k}, count(*) FILTER (cdf < w) AS k FROM (
+      SELECT {k}, w, sum(exp(-r + j * ln(r) - lgamma(j + 1))) OVER (PARTITION BY {k} ORDER BY j) AS cdf FROM (
+        SELECT *, {uniform_sql(seed, stream + '.w', *keys)} AS w FROM {rows}, range({top}) s(j) WHERE r < {below})) GROUP BY {k}
+    UNION ALL SELECT {k}, CAST(min_by(t, i) AS BIGINT) FROM (
+      SELECT *, floor((2 * a / (0.5 - abs(u)) + b) * u + r + 0.43) AS t FROM (
+        SELECT *, -0.059 + 0.02483 * b AS a, {uniform_sql(seed, stream + '.u', *keys, 'i')} - 0.5 AS u, {uniform_sql(seed, stream + '.v', *keys, 'i')} AS v FROM (
+          SELECT *, 0.931 + 2.53 * sqrt(r) AS b FROM {rows}, range({tries}) s(i) WHERE r >= {below})))
+    WHERE (0.5 - abs(u) >= 0.07 AND v <= 0.9277 - 3.6224 / (b - 2)) OR (t >= 0 AND NOT (0.5 - abs(u) < 0.013 AND v > 0.5 - abs(u))
+      AND ln(v * (1.1239 + 1.1328 / (b - 3.4)) / (a / pow(0.5 - abs(u), 2) + b)) <= t * ln(r) - r - {fact}) GROUP BY {k})"""
+
+
 def ipf_sql(start: str, iterations: int) -> list[str]:
     """CTEs ``ipf1 .. ipfN`` scaling ``start(sample_id, o, d, flow, tr, tc)``."""
     out, before = [], start
