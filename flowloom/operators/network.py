@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_weight
-from ..session import materialise, scratch_path
+from ..session import materialise
 from ..sources.network_xml import routable_edges
 from .sampling import row_numbers
 
@@ -120,82 +120,118 @@ def path_turns(routes: DataFrame, keys: list) -> DataFrame:
     )
 
 
+#: Steps of the path search that one job takes.
+HOPS = 4
+
+
 def _paths_within(links: DataFrame, to_go: DataFrame, budgets: DataFrame) -> DataFrame:
     """All simple paths of each pair that cost no more than its budget.
 
     ``to_go(d, node, rest)`` is the cheapest completion, so a partial path is
-    dropped exactly when no completion can stay within the budget.
+    dropped exactly when no completion can stay within the budget. A step turns
+    each open path into its extensions and lets complete ones through; every
+    ``HOPS`` steps the paths are written, and only the last writing is read again.
     """
-    spark = budgets.sparkSession
-    folder = scratch_path(spark, "paths")
-    partial = budgets.select(
+    ways = links.groupBy("node").agg(F.collect_list(F.struct("next", "edge_id", "w")).alias("ways"))
+    state = budgets.select(
         "o",
         "d",
         "budget",
         F.concat(F.lit("J"), "o").alias("node"),
-        F.concat(F.lit("J"), "d").alias("target"),
         F.lit(0.0).alias("cost"),
         F.array(F.concat(F.lit("J"), "o")).alias("nodes"),
         F.array().cast("array<string>").alias("edges"),
     )
-    schema, step = partial.schema, 0
-    partial.write.parquet(f"{folder}/step={step}")
+    done = F.col("node") == F.concat(F.lit("J"), "d")
     while True:
-        opened = spark.read.schema(schema).parquet(f"{folder}/step={step}").filter(F.col("node") != F.col("target"))
-        grown = (
-            opened.join(links, "node")
-            .filter(~F.array_contains("nodes", F.col("next")))
-            .withColumn("cost", F.col("cost") + F.col("w"))
-            .drop("node")
-            .withColumnRenamed("next", "node")
-            .join(to_go, ["d", "node"])
-            .filter(F.col("cost") + F.col("rest") <= F.col("budget") * (1 + 1e-12) + 1e-9)
-            .select(
-                "o", "d", "budget", "node", "target", "cost",
-                F.concat("nodes", F.array("node")).alias("nodes"),
-                F.concat("edges", F.array("edge_id")).alias("edges"),
+        for _ in range(HOPS):
+            onward = F.filter(F.coalesce("ways", F.array().cast("array<struct<next:string,edge_id:string,w:double>>")), lambda e: ~F.array_contains("nodes", e["next"]))
+            stay = F.array(F.struct(F.col("node").alias("next"), F.lit(None).cast("string").alias("edge_id"), F.lit(0.0).alias("w")))
+            state = (
+                state.join(ways, "node", "left")
+                .withColumn("e", F.explode(F.when(done, stay).otherwise(onward)))
+                .select(
+                    "o",
+                    "d",
+                    "budget",
+                    F.col("e.next").alias("node"),
+                    (F.col("cost") + F.col("e.w")).alias("cost"),
+                    F.when(F.col("e.edge_id").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("e.next"))).alias("nodes"),
+                    F.when(F.col("e.edge_id").isNull(), F.col("edges")).otherwise(F.concat("edges", F.array("e.edge_id"))).alias("edges"),
+                )
+                .join(to_go, ["d", "node"])
+                .filter(F.col("cost") + F.col("rest") <= F.col("budget") * (1 + 1e-12) + 1e-9)
+                .drop("rest")
             )
-        )
-        step += 1
-        grown.write.parquet(f"{folder}/step={step}")
-        if spark.read.schema(schema).parquet(f"{folder}/step={step}").isEmpty():
-            break
-    every = spark.read.schema(schema).parquet(*(f"{folder}/step={i}" for i in range(step + 1)))
-    return every.filter(F.col("node") == F.col("target")).select("o", "d", "nodes", "edges", "cost")
+        state = materialise(state, "paths")
+        if state.filter(~done).isEmpty():
+            return state.select("o", "d", "nodes", "edges", "cost")
+
+
+def _kth_bounds(links: DataFrame, labels: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``o, d, bound``: an upper bound on the k-th cheapest simple path, NULL where one deviation gives fewer paths.
+
+    ``labels(d, node, rest, path)`` holds the cheapest way from each node to d. A path that leaves the cheapest one at
+    some node and goes on by the cheapest way is simple if the two parts share no node, and two such paths differ, so
+    the k-th cheapest of them bounds the k-th cheapest of all.
+    """
+    own = labels.select("d", F.col("node").alias("start"), "rest", "path")
+    best = wanted.withColumn("start", F.concat(F.lit("J"), "o")).join(own, ["d", "start"])
+    spur = best.select("o", "d", "rest", "path", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("i", "spur"))
+    before = F.slice("path", F.lit(1), F.col("i") + 1)
+    at_spur = labels.select("d", F.col("node").alias("spur"), F.col("rest").alias("rest_spur"))
+    after = labels.select("d", F.col("node").alias("next"), F.col("rest").alias("rest_next"), F.col("path").alias("path_next"))
+    deviations = (
+        spur.join(links.withColumnRenamed("node", "spur"), "spur")
+        .filter((F.col("next") != F.element_at("path", F.col("i") + 2)) & ~F.array_contains(before, F.col("next")))
+        .join(at_spur, ["d", "spur"])
+        .join(after, ["d", "next"])
+        .filter(~F.arrays_overlap(before, "path_next"))
+        .select("o", "d", (F.col("rest") - F.col("rest_spur") + F.col("w") + F.col("rest_next")).alias("cost"))
+    )
+    costs = deviations.unionByName(best.select("o", "d", F.col("rest").alias("cost")))
+    return costs.groupBy("o", "d").agg(F.try_element_at(F.array_sort(F.collect_list("cost")), F.lit(k)).alias("bound"))
 
 
 def k_shortest_paths(
-    edges: DataFrame, pairs: DataFrame, k: int = 5, metric: str = "length", path_limit: int = 50
+    edges: DataFrame, pairs: DataFrame, k: int = 5, metric: str = "length", path_limit: int | None = None
 ) -> DataFrame:
-    """``o, d, rank, nodes, edges, cost``: up to min(k, path_limit) loop-free
+    """``o, d, rank, nodes, edges, cost``: up to k (and at most ``path_limit``) loop-free
     paths per off-diagonal pair in cost order, ties by node list.
 
-    Enumerates every simple path under a per-pair budget; pairs with fewer than
-    k paths get a doubled allowance until they have k or the allowance exceeds
-    the whole network, so the result is exact.
+    Enumerates every simple path under a per-pair budget. The budget is a bound
+    on the k-th cost from paths with one deviation; pairs with too few of those
+    get an allowance, doubled until they have k paths or it exceeds the whole
+    network, so the result is exact.
     """
-    k = min(k, path_limit)
+    k = k if path_limit is None else min(k, path_limit)
     links = materialise(_links(edges, metric), "links")
     limits = links.agg(F.avg("w").alias("mean"), F.sum("w").alias("all")).first()
     reverse = links.select(F.col("next").alias("node"), F.col("node").alias("next"), "edge_id", "w")
     wanted = pairs.select("o", "d").filter(F.col("o") != F.col("d")).distinct()
-    to_go = materialise(
-        cheapest_labels(reverse, _zone_nodes(wanted, "d")).select(F.col("root").alias("d"), "node", F.col("cost").alias("rest")),
+    labels = materialise(
+        cheapest_labels(reverse, _zone_nodes(wanted, "d")).select(
+            F.col("root").alias("d"), "node", F.col("cost").alias("rest"), F.reverse("nodes").alias("path")
+        ),
         "togo",
     )
+    to_go = labels.drop("path")
     start = to_go.withColumn("o", F.expr("try_cast(substring(node, 2) AS int)")).select("o", "d", "rest")
-    todo = materialise(wanted.join(start, ["o", "d"]), "budgets")
+    bounds = _kth_bounds(links, labels, wanted, k)
+    todo = materialise(wanted.join(start, ["o", "d"]).join(bounds, ["o", "d"], "left"), "budgets")
     slack, kept = 3.5 * limits["mean"], []
     order = W.partitionBy("o", "d").orderBy("cost", "nodes")
     while True:
-        found = _paths_within(links, to_go, todo.withColumn("budget", F.col("rest") + F.lit(slack)))
+        budget = F.coalesce("bound", F.col("rest") + F.lit(slack))
+        found = _paths_within(links, to_go, todo.withColumn("budget", budget))
         ranked = materialise(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "routes")
         if slack > limits["all"]:
             kept.append(ranked)
             break
         full = ranked.filter(F.col("rank") == k).select("o", "d")
         kept.append(ranked.join(full, ["o", "d"], "left_semi"))
-        todo = materialise(todo.join(full, ["o", "d"], "left_anti"), "budgets")
+        left = todo.join(full, ["o", "d"], "left_anti").withColumn("bound", F.lit(None).cast("double"))
+        todo = materialise(left, "budgets")
         if todo.isEmpty():
             break
         slack *= 2.0
