@@ -2,21 +2,26 @@
 
 The operator is a COO table (``turn_id, od_index, weight``). Only matrices of
 turns by turns reach the driver, after a size check; everything with one row
-per OD cell stays a table. Estimators are operator tables again (``turn_id,
-od_index, weight``) and are applied to all samples by one sparse product.
+per OD cell stays a table. Estimators are applied in factors: a turn-by-turn
+kernel meets each sample's packed counts in one batch product, and one sparse
+product with the transposed operator leads back to cells. The dense operator of
+cells by turns is formed only where it is the result (``pseudo_inverse``,
+``tikhonov_operator``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .assignment import apply_operator
-from .vectors import MAX_OPERATOR_CELLS
+from .reshape import pack
+from .vectors import MAX_OPERATOR_CELLS, map_batches, to_lists, to_matrix
 
 
 def _check_square(n: int) -> None:
@@ -30,9 +35,21 @@ def _triangle(assignment: DataFrame, n_turns: int) -> np.ndarray:
     Keeps small singular values that a cross-product matrix would square away.
     """
     _check_square(n_turns)
-    rows = assignment.groupBy("od_index").agg(F.sort_array(F.collect_list(F.struct("turn_id", "weight"))).alias("e"))
-    vectors = rows.select("e").rdd.map(lambda r: Vectors.sparse(n_turns, [(x[0], x[1]) for x in r[0]]))
-    return np.asarray(RowMatrix(vectors, numCols=n_turns).tallSkinnyQR().R.toArray())
+    packed = pack(assignment.select(F.col("od_index").alias("sample_id"), "turn_id", "weight"), F.col("turn_id"), "weight", n_turns, "v")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """R of each task's rows, batch by batch; the R of the stacked ones is that of all rows."""
+        r = np.zeros((0, n_turns))
+        for b in batches:
+            r = np.linalg.qr(np.vstack([r, to_matrix(b.column("v"), n_turns)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_pydict({"v": to_lists(r)})
+
+    # Two rounds, so that the driver stacks a few triangles and not one for each task.
+    some = packed.select("v").mapInArrow(local, "v array<double>").repartition(4)
+    parts = some.mapInArrow(local, "v array<double>").toPandas()["v"]
+    stacked = np.vstack([np.zeros((1, n_turns)), *parts])
+    return np.linalg.qr(stacked, mode="r")
 
 
 def singular_values(assignment: DataFrame, n_turns: int, n_cells: int) -> np.ndarray:
@@ -110,11 +127,8 @@ def turn_gram(assignment: DataFrame) -> DataFrame:
     return a.join(b, "od_index").groupBy("t1", "t2").agg(F.sum(F.col("w1") * F.col("w2")).alias("g"))
 
 
-def tikhonov_operator(assignment: DataFrame, n_turns: int, lam: float) -> DataFrame:
-    """Operator table of argmin |Ay - x|^2 + lam |y|^2.
-
-    Uses A^T (A A^T + lam I)^-1, so only a turn-by-turn system is solved.
-    """
+def _tikhonov_kernel(assignment: DataFrame, n_turns: int, lam: float) -> np.ndarray:
+    """(A A^T + lam I)^-1."""
     if lam <= 0:
         raise ValueError("lambda must be positive")
     _check_square(n_turns)
@@ -122,7 +136,46 @@ def tikhonov_operator(assignment: DataFrame, n_turns: int, lam: float) -> DataFr
     m = np.zeros((n_turns, n_turns))
     m[g["t1"].to_numpy(), g["t2"].to_numpy()] = g["g"].to_numpy()
     inverse = np.linalg.inv(m + lam * np.eye(n_turns))
-    return _times(assignment, (inverse + inverse.T) / 2).withColumnRenamed("out", "turn_id").select("turn_id", "od_index", "weight")
+    return (inverse + inverse.T) / 2
+
+
+def tikhonov_operator(assignment: DataFrame, n_turns: int, lam: float) -> DataFrame:
+    """Operator table of argmin |Ay - x|^2 + lam |y|^2.
+
+    Uses A^T (A A^T + lam I)^-1, so only a turn-by-turn system is solved.
+    """
+    kernel = _tikhonov_kernel(assignment, n_turns, lam)
+    return _times(assignment, kernel).withColumnRenamed("out", "turn_id").select("turn_id", "od_index", "weight")
+
+
+def _back(counts: DataFrame, assignment: DataFrame, kernels: list[np.ndarray], n_turns: int, by: tuple) -> DataFrame:
+    """``by..., od_index, y`` = A^T K_k ... K_1 x: batch products per sample, then one sparse product."""
+    key = F.struct(*by).alias("sample_id")
+    packed = pack(counts.select(key, "turn_id", "x"), F.col("turn_id"), "x", n_turns, "x")
+
+    def run(batch):
+        z = to_matrix(batch.column("x"), n_turns)
+        for kernel in kernels:
+            z = z @ kernel.T
+        return {"sample_id": batch.column("sample_id"), "z": to_lists(z)}
+
+    kind = packed.schema["sample_id"].dataType.simpleString()
+    solved = map_batches(packed, run, f"sample_id {kind}, z array<double>")
+    long = solved.select("sample_id.*", F.posexplode("z").alias("turn_id", "z")).filter(F.col("z") != 0)
+    return apply_operator(long, assignment, "turn_id", "od_index", "z", "y", by)
+
+
+def tikhonov_estimate(counts: DataFrame, assignment: DataFrame, n_turns: int, lam: float, by: tuple = ("sample_id",)) -> DataFrame:
+    """``by..., od_index, y``: the Tikhonov solution of each sample, without forming its operator."""
+    return _back(counts, assignment, [_tikhonov_kernel(assignment, n_turns, lam)], n_turns, by)
+
+
+def minimum_norm_estimate(counts: DataFrame, assignment: DataFrame, n_turns: int, rtol: float = 1e-10, by: tuple = ("sample_id",)) -> DataFrame:
+    """``by..., od_index, y`` = A+ x by singular vectors of the turns: first their coefficients, then back to turns."""
+    _, s, vt = np.linalg.svd(_triangle(assignment, n_turns))
+    keep = s > rtol * s[0]
+    scaled = vt[: len(s)][keep] / s[keep, None]
+    return _back(counts, assignment, [scaled, scaled.T], n_turns, by)
 
 
 def estimate(counts: DataFrame, operator: DataFrame, by: tuple = ("sample_id",)) -> DataFrame:
@@ -146,19 +199,19 @@ def physics_refine(estimates: DataFrame, counts: DataFrame, assignment: DataFram
     kept = estimates.select(*by, "od_index", "y")
     if mu <= 0:
         return kept
-    change = estimate(residuals(kept, counts, assignment, by), tikhonov_operator(assignment, n_turns, 1.0 / mu), by)
+    change = tikhonov_estimate(residuals(kept, counts, assignment, by), assignment, n_turns, 1.0 / mu, by)
     return kept.unionByName(change.select(*by, "od_index", "y")).groupBy(*by, "od_index").agg(F.sum("y").alias("y"))
 
 
-def null_component(estimates: DataFrame, assignment: DataFrame, inverse: DataFrame, by: tuple = ("sample_id",)) -> DataFrame:
+def null_component(estimates: DataFrame, assignment: DataFrame, n_turns: int, by: tuple = ("sample_id",)) -> DataFrame:
     """The part of each estimate the counts cannot see: y - A+ A y.
 
-    Applied through the two operator tables; a cell-by-cell projector or null
-    basis, which grows with the square of the cells, is never formed.
+    Applied in factors; a cell-by-cell projector or null basis, which grows with
+    the square of the cells, is never formed.
     """
     kept = estimates.select(*by, "od_index", "y")
     fitted = apply_operator(kept, assignment, "od_index", "turn_id", "y", "x", by)
-    seen = estimate(fitted, inverse, by).withColumn("y", -F.col("y"))
+    seen = minimum_norm_estimate(fitted, assignment, n_turns, by=by).withColumn("y", -F.col("y"))
     return kept.unionByName(seen.select(*by, "od_index", "y")).groupBy(*by, "od_index").agg(F.sum("y").alias("y"))
 
 

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,35 +176,52 @@ def best_alpha(scores: DataFrame) -> DataFrame:
     return scores.groupBy("alpha").agg(F.avg("mae").alias("mae")).agg(F.min_by("alpha", "mae").alias("alpha"), F.min("mae").alias("mae"))
 
 
-def _target_rows(rows: DataFrame, target: int) -> DataFrame:
-    return rows.select("sample_id", array_to_vector("x").alias("features"), F.get("y", F.lit(target)).alias("label"))
+def _descend(g: np.ndarray, c: np.ndarray, penalty: float, l1_ratio: float, max_iter: int, tol: float) -> np.ndarray:
+    """Coordinate descent for many targets at once: g is X^T X / n, c is X^T Y / n, a column per target."""
+    w = np.zeros_like(c)
+    shrink, scale = penalty * l1_ratio, np.diag(g) + penalty * (1.0 - l1_ratio)
+    live = np.arange(c.shape[1])
+    for _ in range(max_iter):
+        v, r = w[:, live], c[:, live] - g @ w[:, live]
+        moved = np.zeros(len(live))
+        for j in np.flatnonzero(np.diag(g) > 0):
+            old = v[j].copy()
+            raw = r[j] + g[j, j] * old
+            v[j] = np.sign(raw) * np.maximum(np.abs(raw) - shrink, 0.0) / scale[j]
+            step = v[j] - old
+            r -= np.outer(g[:, j], step)
+            moved = np.maximum(moved, np.abs(step) * np.sqrt(g[j, j]))
+        w[:, live] = v
+        live = live[moved > tol * np.maximum(1e-12, np.sqrt(np.maximum((v * (g @ v)).sum(axis=0), 0.0)))]
+        if not len(live):
+            break
+    return w
 
 
-def sparse_fit(rows: DataFrame, targets: list[int], penalty: float = 0.01, l1_ratio: float = 0.5, max_iter: int = 2000) -> DataFrame:
-    """``sample_id, od_index, y``: lasso (l1_ratio 1) or elastic net per chosen target."""
-    out = None
-    for t in targets:
-        data = _target_rows(rows, t)
-        model = LinearRegression(regParam=penalty, elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter).fit(data)
-        part = model.transform(data).select("sample_id", F.lit(t).alias("od_index"), F.col("prediction").alias("y"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def sparse_fit(spark: SparkSession, sums: Sums, penalty: float = 0.01, l1_ratio: float = 0.5, max_iter: int = 2000, tol: float = 1e-4) -> DataFrame:
+    """``od_index, coef ARRAY, intercept``: lasso (l1_ratio 1) or elastic net for every target in one job.
 
+    The objective is (1 / 2n) |y - Xw|^2 + penalty * (l1_ratio |w|_1 + (1 - l1_ratio) / 2 |w|^2) on centred columns, so
+    the cross products are all it needs: targets are rows, dealt over tasks, and each task descends on a batch of them.
+    """
+    g, c, mx, my, _ = sums.centred(False)
+    g, n = g / sums.n, sums.n
+    targets = spark.createDataFrame(
+        pd.DataFrame({"od_index": np.arange(c.shape[1], dtype=np.int32), "c": [v.tolist() for v in (c / n).T], "my": my})
+    ).repartition(spark.sparkContext.defaultParallelism)
 
-def tree_fit(rows: DataFrame, targets: list[int], kind: str = "forest", trees: int | None = None, depth: int | None = None, seed: int = 42) -> DataFrame:
-    """``sample_id, od_index, y``: random forest or boosted trees per chosen target."""
-    if kind == "forest":
-        learner = RandomForestRegressor(numTrees=trees or 50, maxDepth=depth or 16, seed=seed)
-    elif kind == "boosted":
-        learner = GBTRegressor(maxIter=trees or 100, maxDepth=depth or 8, stepSize=0.1, seed=seed)
-    else:
-        raise ValueError(f"unknown tree ensemble: {kind}")
-    out = None
-    for t in targets:
-        data = _target_rows(rows, t)
-        part = learner.fit(data).transform(data).select("sample_id", F.lit(t).alias("od_index"), F.col("prediction").alias("y"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    def run(batch):
+        w = _descend(g, to_matrix(batch.column("c"), len(g)).T.copy(), penalty, l1_ratio, max_iter, tol)
+        intercept = batch.column("my").to_numpy() - mx @ w
+        return {"od_index": batch.column("od_index").cast(pa.int32()), "coef": to_lists(np.ascontiguousarray(w.T)), "intercept": intercept}
+
+    return map_batches(targets, run, "od_index int, coef array<double>, intercept double")
+
+
+def from_rows(fitted: DataFrame) -> LinearModel:
+    """A model from rows ``od_index, coef, intercept``; as many rows as targets."""
+    rows = fitted.orderBy("od_index").toPandas()
+    return LinearModel(np.stack(rows["coef"].to_list()).T, rows["intercept"].to_numpy())
 
 
 def log_grid(low: float, high: float, steps: int) -> list[float]:

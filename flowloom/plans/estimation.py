@@ -58,10 +58,6 @@ def _(spark, sf):
     return L.rank_report(spark, L.singular_values(inputs.assignment(spark, sf), m, n * n), m, n * n, rtol=1e-10)
 
 
-def pinv(spark, sf):
-    return materialise(L.pseudo_inverse(inputs.assignment(spark, sf), _sizes(spark, sf)[1]), "pinv")
-
-
 @query("l4_pseudo_inverse")
 def _(spark, sf):
     return L.pseudo_inverse(inputs.assignment(spark, sf), _sizes(spark, sf)[1])
@@ -85,10 +81,15 @@ def _(spark, sf):
 def _(spark, sf):
     m = _sizes(spark, sf)[1]
     x, a = materialise(inputs.counts(spark, sf), "counts"), inputs.assignment(spark, sf)
-    y = materialise(L.estimate(x, L.tikhonov_operator(a, m, 1.0)), "tikhonov")
+    y = materialise(L.tikhonov_estimate(x, a, m, 1.0), "tikhonov")
     return L.normal_equation_residual(y, x, a, 1.0)
 
 
+@query("l6_tikhonov_estimate")
+def _(spark, sf):
+    return L.tikhonov_estimate(inputs.counts(spark, sf), inputs.assignment(spark, sf), _sizes(spark, sf)[1], 1.0)
+
+
 @query("l7_physics_refine")
 def _(spark, sf):
     n, m = _sizes(spark, sf)
@@ -99,7 +100,7 @@ def _(spark, sf):
 
 @query("l8_moore_penrose")
 def _(spark, sf):
-    return L.estimate(inputs.counts(spark, sf), pinv(spark, sf))
+    return L.minimum_norm_estimate(inputs.counts(spark, sf), inputs.assignment(spark, sf), _sizes(spark, sf)[1])
 
 
 @query(
@@ -129,7 +130,7 @@ def _(spark, sf):
 @query("l9_null_component")
 def _(spark, sf):
     y = with_od_index(od(spark, sf), inputs.n_zones(spark, sf)).select("sample_id", "od_index", F.col("flow").alias("y"))
-    return L.null_component(y, inputs.assignment(spark, sf), pinv(spark, sf))
+    return L.null_component(y, inputs.assignment(spark, sf), _sizes(spark, sf)[1])
 
 
 # ---------------------------------------------------------------- regressions
@@ -199,17 +200,20 @@ def _(spark, sf):
 
 @query("b4_elastic_net")
 def _(spark, sf):
-    return B.sparse_fit(design(spark, sf), [1, 30], 0.01, 0.5, 100)
-
-
-@query("b5_random_forest")
-def _(spark, sf):
-    return B.tree_fit(design(spark, sf), [1], "forest", trees=10, depth=6)
+    """Every cell is a target; the error of each sample's prediction."""
+    n, m = _sizes(spark, sf)
+    rows = design(spark, sf)
+    fitted = B.sparse_fit(spark, B.gather(rows, m, n * n)[0], 0.01, 0.5)
+    return _mean_error(rows, B.predict(rows, B.from_rows(materialise(fitted, "elastic"))))
 
 
-@query("b5_boosted_trees")
+@query("b4_lasso")
 def _(spark, sf):
-    return B.tree_fit(design(spark, sf), [1], "boosted", trees=5, depth=3)
+    """Weights of the lasso that are not zero, for every cell."""
+    n, m = _sizes(spark, sf)
+    fitted = B.sparse_fit(spark, B.gather(design(spark, sf), m, n * n)[0], 1.0, 1.0)
+    each = fitted.select("od_index", F.posexplode("coef").alias("turn_id", "weight"))
+    return each.filter(F.col("weight") != 0)
 
 
 @query("b6_physics_ridge")
