@@ -71,15 +71,18 @@ def apply_operator(
     value: str = "flow",
     result: str = "x",
     by: tuple = ("sample_id",),
+    small: bool | None = None,
 ) -> DataFrame:
     """Sparse product of every sample with a COO operator.
 
     ``rows(by..., key, value)`` and ``operator(key, out, weight)`` meet on
     ``key``; the operator is broadcast when its size is proven. Partial sums are
     taken before the shuffle, so it carries one row per sample and output, and
-    a heavy sample or cell stays spread over the scanning tasks.
+    a heavy sample or cell stays spread over the scanning tasks. ``small`` tells
+    the outcome of an earlier size check, so that a stream doesn't repeat it.
     """
-    joined = join_small(rows.select(*by, key, value), operator.select(key, out, "weight"), key)
+    left, right = rows.select(*by, key, value), operator.select(key, out, "weight")
+    joined = join_small(left, right, key) if small is None else left.join(F.broadcast(right) if small else right, key)
     return joined.groupBy(*by, out).agg(F.sum(F.col(value) * F.col("weight")).alias(result))
 
 

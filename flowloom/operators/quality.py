@@ -132,9 +132,31 @@ def _conflicts(scan: DataFrame, shipped: list, tau: float, width: int, later_is_
     return scan.select("rank", "y").mapInArrow(run, "later bigint, earlier bigint")
 
 
-def select_diverse(ranked: DataFrame, n_zones: int, target: int, tau: float, block: int = 512) -> DataFrame:
+def _pairs(scan: DataFrame, shipped: list, tau: float, width: int) -> DataFrame:
+    """``later, earlier`` ranks of all conflicts between earlier scanned rows and later shipped ones."""
+    ranks = np.array([r[0] for r in shipped], dtype=np.int64)
+    table = np.array([r[1] for r in shipped], dtype=np.float64).reshape(len(shipped), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rank, v in zip(b.column("rank").to_numpy(), to_matrix(b.column("y"), width)):
+                hit = ranks[np.sqrt(((table - v) ** 2).sum(axis=1)) < tau]
+                yield pa.RecordBatch.from_pydict({"later": hit, "earlier": np.full(len(hit), rank)})
+
+    return scan.select("rank", "y").mapInArrow(run, "later bigint, earlier bigint")
+
+
+def survivors(cells: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Cells of the tables that pass all filters."""
+    return cells.join(reasons.filter("reason = 'ok'").select("sample_id"), "sample_id", "left_semi")
+
+
+def select_diverse(
+    ranked: DataFrame, n_zones: int, target: int, tau: float, block: int = 512, window: int | None = 256
+) -> DataFrame:
     """Walk the ranking and accept a table when it is at least ``tau`` away from
-    every table accepted before; stop at ``target``.
+    the last ``window`` tables accepted before (None: from all of them); stop at
+    ``target``.
 
     ``ranked(sample_id, rank, y)`` with ranks from 1. Returns ``sample_id, rank,
     accepted, blocked_by`` (best accepted rank in conflict) for all tables looked
@@ -154,27 +176,35 @@ def select_diverse(ranked: DataFrame, n_zones: int, target: int, tau: float, blo
     last = stored.agg(F.max("rank")).first()[0] or 0
     tasks = spark.sparkContext.defaultParallelism
     n_taken, start = 0, 1
+    taken: list[int] = []  # accepted ranks; with a window only its last ones are looked at
     while start <= last and n_taken < target:
         here = stored.filter(F.col("rank").between(start, start + block - 1))
         rows = [(r["rank"], r["y"]) for r in here.select("rank", "y").collect()]
         blocked_by: dict[int, int] = {}
+        near: dict[int, list[int]] = {}
         if n_taken:
             accepted = spark.read.schema(stored.schema).parquet(accepted_at)
-            hits = _conflicts(accepted, rows, tau, size, True).groupBy("later").agg(F.min("earlier").alias("earlier"))
-            blocked_by = {h["later"]: h["earlier"] for h in hits.collect()}
+            if window is None:
+                hits = _conflicts(accepted, rows, tau, size, True).groupBy("later").agg(F.min("earlier").alias("earlier"))
+                blocked_by = {h["later"]: h["earlier"] for h in hits.collect()}
+            else:  # a block meets at most the last ``window`` of them, each pair as one row
+                recent = accepted.filter(F.col("rank").isin(taken[-window:]))
+                for h in _pairs(recent, rows, tau, size).collect():
+                    near.setdefault(h["later"], []).append(h["earlier"])
         free = [r for r in rows if r[0] not in blocked_by]
-        near: dict[int, list[int]] = {}
         own = here.filter(F.col("rank").isin([r[0] for r in free])) if free else here.limit(0)
         for h in _conflicts(own.repartition(tasks), free, tau, size, False).collect():
             near.setdefault(h["later"], []).append(h["earlier"])
         chosen: list[int] = []
         stop_at = start + block - 1
         for rank in sorted(r[0] for r in free):
-            in_way = [e for e in near.get(rank, []) if e in set(chosen)]
+            compared = set(taken if window is None else taken[-window:])
+            in_way = [e for e in near.get(rank, []) if e in compared]
             if in_way:
                 blocked_by[rank] = min(in_way)
                 continue
             chosen.append(rank)
+            taken.append(rank)
             if n_taken + len(chosen) == target:
                 stop_at = rank
                 break
@@ -191,8 +221,9 @@ def select_diverse(ranked: DataFrame, n_zones: int, target: int, tau: float, blo
     return spark.read.schema(schema).parquet(decided_at) if last else spark.createDataFrame([], schema)
 
 
-def cell_entropy(cells: DataFrame, n_samples: int, bins: int = 20) -> DataFrame:
-    """``o, d, entropy`` in nats over equal-width bins of each cell's own range.
+def cell_entropy(cells: DataFrame, n_samples: int, bins: int = 20, pairs: DataFrame | None = None) -> DataFrame:
+    """``o, d, entropy`` in nats over equal-width bins of each cell's own range, for the cells of ``pairs`` (by default:
+    those that occur; one without flow has entropy 0).
 
     Absent entries are zeros: they widen the range and fill the bin of zero, as
     one weighted row per cell.
@@ -213,7 +244,8 @@ def cell_entropy(cells: DataFrame, n_samples: int, bins: int = 20) -> DataFrame:
     at = F.when(spread < 1e-12, F.lit(0)).otherwise(F.least(position, F.lit(bins - 1)))
     counted = joined.groupBy("o", "d", F.when(spread < 1e-12, 0).otherwise(at).alias("bin")).agg(F.sum("w").alias("c"))
     p = F.col("c") / F.lit(float(n_samples))
-    return counted.groupBy("o", "d").agg((-F.sum(p * F.log(p))).alias("entropy"))
+    found = counted.groupBy("o", "d").agg((-F.sum(p * F.log(p))).alias("entropy"))
+    return found if pairs is None else pairs.select("o", "d").join(found, ["o", "d"], "left").fillna({"entropy": 0.0})
 
 
 def filter_stats(reasons: DataFrame, decisions: DataFrame, selected: DataFrame, n_zones: int, target: int, bins: int = 20, n_pairs: int = 5_000, seed: int = 42) -> DataFrame:

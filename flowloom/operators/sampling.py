@@ -21,6 +21,18 @@ def sample_rows(df: DataFrame, size: int, key: str, seed: int = 42, stream: str
     return df.orderBy(uniform(seed, stream, F.col(key)), key).limit(size)
 
 
+def sample_within(df: DataFrame, size: int, group: str, key: str, seed: int = 42, stream: str = "rows") -> DataFrame:
+    """At most ``size`` rows of each group, by smallest hash of ``key``.
+
+    The smallest are kept per task first, so a group as large as the table costs ``size`` rows a task.
+    """
+    ranked = df.withColumn("_u", uniform(seed, stream, F.col(key)))
+    order = [F.col("_u"), F.col(key)]
+    local = W.partitionBy(group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(*order)
+    some = ranked.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= size)
+    return some.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_r") <= size).drop("_u", "_r")
+
+
 def row_numbers(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Global row number from 1 without a single-task sort.
 

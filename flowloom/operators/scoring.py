@@ -15,7 +15,7 @@ from ..functions.scalars import corr_from_sums
 from ..session import join_small
 from .assignment import apply_operator
 from .reshape import destination_of, od_index, origin_of
-from .sampling import sample_rows
+from .sampling import sample_within
 
 KEYS = ("model", "split")
 
@@ -101,7 +101,8 @@ def _sample_scores(pair: DataFrame, n_zones: int, chosen: DataFrame | None) -> D
         F.abs(F.sum(t) - F.sum(p)).alias("gap"),
     )
     if chosen is not None:
-        per = join_small(per, chosen.withColumn("_in", F.lit(True)), "sample_id", "left").withColumn("r", F.when(F.col("_in"), F.col("r")))
+        marked = chosen.withColumn("_in", F.lit(True))
+        per = join_small(per, marked, ["split", "sample_id"], "left").withColumn("r", F.when(F.col("_in"), F.col("r")))
     return per.groupBy(*KEYS).agg(F.avg("r").alias("correlation"), F.sum("gap").alias("gap"))
 
 
@@ -126,12 +127,12 @@ def split_sizes(samples: DataFrame) -> DataFrame:
 
 
 def spearman(pair: DataFrame, n_zones: int, samples: DataFrame) -> DataFrame:
-    """Mean per-sample rank correlation over all cells of the listed samples.
+    """Mean per-sample rank correlation over all cells of the listed samples (``split, sample_id``).
 
     Tied cells share their average rank. The listed samples (at most a few
     hundred) are densified, because zero cells tie too.
     """
-    listed = join_small(pair, samples, "sample_id", "left_semi")
+    listed = join_small(pair, samples, ["split", "sample_id"], "left_semi")
     owners = listed.select(*KEYS, "sample_id").distinct()
     index = owners.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_zones * n_zones - 1))))
     zero = F.lit(0.0)
@@ -222,12 +223,12 @@ def all_scores(
 ) -> DataFrame:
     """The full suite, one row per model and split; nothing is clipped.
 
-    Per-sample correlations use at most ``rank_samples`` samples per the whole
-    table, chosen by hash.
+    Per-sample correlations use at most ``rank_samples`` samples of each split,
+    chosen by hash.
     """
     sizes = split_sizes(samples)
     pair = paired_cells(predictions, truth)
-    chosen = sample_rows(samples.select("sample_id").distinct(), rank_samples, "sample_id", seed, "scores")
+    chosen = sample_within(samples.select("split", "sample_id").distinct(), rank_samples, "split", "sample_id", seed, "scores")
     per_sample = _sample_scores(pair, n_zones, chosen).join(F.broadcast(sizes), "split").select(
         *KEYS, "correlation", (F.col("gap") / F.col("n_samples")).alias("total_demand_error")
     )

@@ -27,15 +27,15 @@ def _moments(value: str, n: Column) -> tuple[Column, Column]:
     return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
 
 
-def feature_stats(rows: DataFrame, feature: str, value: str, n_samples: int) -> DataFrame:
-    """``feature, mean, std, min, max, cv, sparsity`` per feature that occurs.
+def feature_stats(rows: DataFrame, feature: str, value: str, n_samples: int, every: DataFrame | None = None) -> DataFrame:
+    """``feature, mean, std, min, max, cv, sparsity`` per feature of ``every`` (by default: that occurs).
 
-    ``sparsity`` is the share of exact zeros.
+    ``sparsity`` is the share of exact zeros. A listed feature without rows is zero throughout.
     """
     n = F.lit(float(n_samples))
     mean, std = _moments(value, n)
     full = F.count("*") == n_samples
-    return rows.groupBy(feature).agg(
+    found = rows.groupBy(feature).agg(
         mean.alias("mean"),
         std.alias("std"),
         F.when(full, F.min(value)).otherwise(F.least(F.min(value), F.lit(0.0))).alias("min"),
@@ -43,6 +43,10 @@ def feature_stats(rows: DataFrame, feature: str, value: str, n_samples: int) ->
         (std / (mean + 1e-9)).alias("cv"),
         (1.0 - F.count_if(F.col(value) != 0) / n).alias("sparsity"),
     )
+    if every is None:
+        return found
+    zero = {c: 0.0 for c in ("mean", "std", "min", "max", "cv")}
+    return every.select(feature).join(found, feature, "left").fillna({**zero, "sparsity": 1.0})
 
 
 def positions(rows: DataFrame) -> DataFrame:

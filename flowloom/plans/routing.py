@@ -153,7 +153,7 @@ def _(spark, sf):
 
 @query("t5_turning_counts", "SELECT sample_id, turn_id, x FROM counts", ["counts"], "x")
 def _(spark, sf):
-    return inputs.counts(spark, sf)
+    return A.turning_counts(inputs.od(spark, sf), inputs.assignment(spark, sf), inputs.n_zones(spark, sf))
 
 
 @query("j6_sparse_product", "SELECT sample_id, turn_id, x FROM counts", ["counts"], "x")

@@ -18,7 +18,7 @@ from .sql_parts import uniform_sql
 
 
 def od(spark, sf):
-    return fx.od_batch(spark, sf)
+    return inputs.od(spark, sf)
 
 
 def mean_base(spark, sf):
@@ -28,7 +28,7 @@ def mean_base(spark, sf):
 
 
 def n_samples(spark, sf):
-    return od(spark, sf).select("sample_id").distinct().count()
+    return inputs.n_samples(spark, sf)
 
 
 MEAN_BASE = """mean_base AS (SELECT p.o, p.d, coalesce(b.flow, 0) / (SELECT count(*) FROM samples) AS flow
@@ -104,6 +104,13 @@ def _(spark, sf):
     return Q.auto_threshold(od(spark, sf), inputs.n_zones(spark, sf))
 
 
+#: realism filters first; what is ranked, thresholded and walked are the survivors
+SURVIVORS = """surv AS (SELECT f.* FROM dense f JOIN reasons r USING (sample_id) WHERE r.reason = 'ok'),
+ssamples AS (SELECT DISTINCT sample_id FROM surv),
+sposn AS (SELECT sample_id, CAST(row_number() OVER (ORDER BY sample_id) - 1 AS INT) AS pos FROM ssamples)"""
+SURVIVOR_SCORES = """sscores AS (SELECT sample_id, avg(abs(f.flow - m)) AS score FROM surv f
+JOIN (SELECT od_index, avg(flow) AS m FROM surv GROUP BY ALL) g ON g.od_index = f.od_index GROUP BY ALL),
+sranked AS (SELECT sample_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, sample_id) AS rank FROM sscores)"""
 SCORES = """scores AS (SELECT sample_id, avg(abs(f.flow - m)) AS score FROM dense f
 JOIN (SELECT od_index, avg(flow) AS m FROM dense GROUP BY ALL) g ON g.od_index = f.od_index GROUP BY ALL),
 ranked AS (SELECT sample_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, sample_id) AS rank FROM scores)"""
@@ -119,33 +126,40 @@ def _(spark, sf):
 
 
 TARGET = 30
-#: walk down the ranking carrying the list of accepted ranks
-WALK = f"""tau AS (SELECT 0.95 * median(distance) AS tau FROM ({pair_distance_sql(_OD_ROWS, _EUCLID)})),
-near AS (SELECT b.rank AS later, a.rank AS earlier FROM ranked a JOIN ranked b ON a.rank < b.rank
-JOIN dense x ON x.sample_id = a.sample_id JOIN dense y ON y.sample_id = b.sample_id AND y.od_index = x.od_index
+#: share of the median distance below which two tables are too close; refuses about a third here
+SHARE = 0.8
+_SURV_ROWS = "SELECT sample_id, od_index AS f, flow AS v FROM surv"
+SURV_DRAW = f"""sdrawn AS (SELECT pair_id, i, j0 + (j0 >= i)::INT AS j FROM (
+SELECT pair_id, CAST(floor({uniform_sql(42, 'pairs.i', 'pair_id')} * n) AS INT) AS i, CAST(floor({uniform_sql(42, 'pairs.j', 'pair_id')} * (n - 1)) AS INT) AS j0
+FROM range(2000) r(pair_id), (SELECT count(*) AS n FROM ssamples)))"""
+#: walk down the ranking carrying the list of accepted ranks; the last 256 count
+WALK = f"""tau AS (SELECT {SHARE} * median(distance) AS tau FROM ({pair_distance_sql(_SURV_ROWS, _EUCLID, 'sdrawn').replace('posn', 'sposn')})),
+near AS (SELECT b.rank AS later, a.rank AS earlier FROM sranked a JOIN sranked b ON a.rank < b.rank
+JOIN surv x ON x.sample_id = a.sample_id JOIN surv y ON y.sample_id = b.sample_id AND y.od_index = x.od_index
 GROUP BY ALL HAVING sqrt(sum((x.flow - y.flow) * (x.flow - y.flow))) < (SELECT tau FROM tau)),
-lists AS (SELECT r.rank, coalesce((SELECT list(earlier) FROM near WHERE later = r.rank), []) AS blockers FROM ranked r),
+lists AS (SELECT r.rank, coalesce((SELECT list(earlier) FROM near WHERE later = r.rank), []) AS blockers FROM sranked r),
 walk AS (SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS acc, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS BIGINT) AS blocked_by
-UNION ALL SELECT l.rank, CASE WHEN len(list_intersect(l.blockers, w.acc)) = 0 THEN list_append(w.acc, l.rank) ELSE w.acc END,
-len(list_intersect(l.blockers, w.acc)) = 0, list_min(list_intersect(l.blockers, w.acc))
+UNION ALL SELECT l.rank, CASE WHEN len(list_intersect(l.blockers, w.acc[-256:])) = 0 THEN list_append(w.acc, l.rank) ELSE w.acc END,
+len(list_intersect(l.blockers, w.acc[-256:])) = 0, list_min(list_intersect(l.blockers, w.acc[-256:]))
 FROM walk w JOIN lists l ON l.rank = w.rank + 1 WHERE len(w.acc) < {TARGET})"""
 
 
 def decisions(spark, sf, block=512):
+    """Filter, threshold, rank and walk: the selection as a whole, over the survivors of the filters."""
     n = inputs.n_zones(spark, sf)
-    cells = materialise(od(spark, sf), "od")
-    tau = ST.pair_distances(cells, od_index(n), n * n, "flow", 10_000, 42, "euclid").agg(F.median("distance")).first()[0] * 0.95
-    ranked = flatten(cells, n).join(scores(spark, sf).select("sample_id", "rank"), "sample_id")
-    return Q.select_diverse(ranked, n, TARGET, tau, block)
+    cells = materialise(Q.survivors(od(spark, sf), reasons(spark, sf)), "survivors")
+    tau = Q.auto_threshold(cells, n, SHARE).first()[0]
+    rank = Q.diversity_scores(cells, cells.select("sample_id").distinct().count(), n).select("sample_id", "rank")
+    return Q.select_diverse(flatten(cells, n).join(rank, "sample_id"), n, TARGET, tau, block)
 
 
-_WALK = [PAIR_DRAW, POSITIONS, SCORES, WALK]
+_WALK = [MEAN_BASE, FEATURES, REASONS, SURVIVORS, SURVIVOR_SCORES, SURV_DRAW, WALK]
 
 
 @query(
     "q5_diverse_subset",
-    "SELECT r.sample_id, w.rank, w.accepted, w.blocked_by FROM walk w JOIN ranked r USING (rank)",
-    ["dense"],
+    "SELECT r.sample_id, w.rank, w.accepted, w.blocked_by FROM walk w JOIN sranked r USING (rank)",
+    _BASE,
     extra=_WALK,
 )
 def _(spark, sf):
@@ -155,7 +169,7 @@ def _(spark, sf):
 @query(
     "j7_first_conflict",
     "SELECT rank, blocked_by FROM walk WHERE NOT accepted",
-    ["dense"],
+    _BASE,
     extra=_WALK,
 )
 def _(spark, sf):
@@ -174,15 +188,15 @@ def entropy_sql(cells: str) -> str:
 
 @query(
     "q6_cell_entropy",
-    f"SELECT * FROM ({entropy_sql('dense')}) SEMI JOIN base_od USING (o, d)",
-    ["dense", "base_od"],
+    entropy_sql("dense"),
+    ["dense"],
     "entropy",
 )
 def _(spark, sf):
-    return Q.cell_entropy(od(spark, sf), n_samples(spark, sf))
+    return Q.cell_entropy(od(spark, sf), n_samples(spark, sf), pairs=inputs.pairs(spark, sf).select("o", "d"))
 
 
-STATS = f"""chosen AS (SELECT f.* FROM dense f JOIN ranked r USING (sample_id) JOIN walk w USING (rank) WHERE w.accepted),
+STATS = f"""chosen AS (SELECT f.* FROM dense f JOIN sranked r USING (sample_id) JOIN walk w USING (rank) WHERE w.accepted),
 csamples AS (SELECT DISTINCT sample_id FROM chosen),
 cat AS (SELECT sample_id, CAST(row_number() OVER (ORDER BY sample_id) - 1 AS INT) AS pos FROM csamples),
 cdrawn AS (SELECT pair_id, i, j0 + (j0 >= i)::INT AS j FROM (
@@ -205,7 +219,7 @@ LATERAL (SELECT x0.flow AS v) x, LATERAL (SELECT y0.flow AS v) y GROUP BY p.pair
     (SELECT avg(entropy) FROM ({entropy_sql('chosen')}) WHERE o <> d) AS mean_cell_entropy FROM reasons""",
     _BASE,
     "mean_pairwise_frobenius min_pairwise_frobenius mean_cell_cv mean_cell_entropy",
-    [MEAN_BASE, FEATURES, REASONS, *_WALK, STATS],
+    [*_WALK, STATS],
 )
 def _(spark, sf):
     made = materialise(decisions(spark, sf), "decisions")
@@ -287,13 +301,13 @@ def _(spark, sf):
     f"""SELECT avg(mae) AS mean_mae, avg(rmse) AS mean_rmse, avg(relative_error) AS mean_relative_error, avg(correlation) AS mean_correlation,
     stddev_pop(correlation) AS std_correlation, CAST(max(new_connections) AS DOUBLE) AS max_new_connections,
     avg(total_demand) AS mean_total_demand, stddev_pop(total_demand) AS std_total_demand, CAST(count(*) AS DOUBLE) AS eval_sample_size
-    FROM (SELECT * FROM table_metrics ORDER BY {uniform_sql(42, 'metrics', 'sample_id')}, sample_id LIMIT 50)""",
+    FROM (SELECT * FROM table_metrics ORDER BY {uniform_sql(42, 'metrics', 'sample_id')}, sample_id LIMIT 10000)""",
     ["dense", "base_od"],
     "mean_mae mean_rmse mean_relative_error mean_correlation std_correlation mean_total_demand std_total_demand",
     [MEAN_BASE, TABLE_METRICS],
 )
 def _(spark, sf):
-    return M.sampled_metrics(od(spark, sf), mean_base(spark, sf), inputs.n_zones(spark, sf), size=50)
+    return M.sampled_metrics(od(spark, sf), mean_base(spark, sf), inputs.n_zones(spark, sf))
 
 
 _FLOATS = "mae rmse relative_error correlation diagonal_violation sparsity total_demand production_error attraction_error".split()
@@ -305,7 +319,7 @@ _FLOATS = "mae rmse relative_error correlation diagonal_violation sparsity total
     + ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in _FLOATS)
     + ", avg(new_connections) AS mean_new_connections, CAST(max(new_connections) AS DOUBLE) AS max_new_connections FROM table_metrics",
     ["dense", "base_od"],
-    " ".join(f"mean_{c} std_{c}" for c in _FLOATS) + " mean_new_connections",
+    {**{f"{k}_{c}": 5 for c in _FLOATS for k in ("mean", "std")}, "mean_new_connections": 6},
     [MEAN_BASE, TABLE_METRICS],
 )
 def _(spark, sf):
@@ -318,24 +332,26 @@ def _(spark, sf):
 @query(
     "a1_turn_stats",
     """SELECT turn_id, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, stddev_pop(x) / (avg(x) + 1e-9) AS cv
-    FROM dense_counts SEMI JOIN counts USING (turn_id) GROUP BY ALL""",
+    FROM dense_counts GROUP BY ALL""",
     ["dense_counts"],
     {c: 5 for c in ("mean", "std", "min", "max", "cv")},
 )
 def _(spark, sf):
-    return ST.feature_stats(inputs.counts(spark, sf), "turn_id", "x", n_samples(spark, sf)).drop("sparsity")
+    every = inputs.turns(spark, sf).select("turn_id")
+    return ST.feature_stats(inputs.counts(spark, sf), "turn_id", "x", n_samples(spark, sf), every).drop("sparsity")
 
 
 @query(
     "a2_od_stats",
     """SELECT od_index, avg(flow) AS mean, stddev_pop(flow) AS std, stddev_pop(flow) / (avg(flow) + 1e-9) AS cv, avg((flow = 0)::INT) AS sparsity
-    FROM dense SEMI JOIN base_od USING (o, d) GROUP BY ALL""",
-    ["dense", "base_od"],
+    FROM dense GROUP BY ALL""",
+    ["dense"],
     "mean std cv sparsity",
 )
 def _(spark, sf):
-    cells = with_od_index(od(spark, sf), inputs.n_zones(spark, sf))
-    return ST.feature_stats(cells, "od_index", "flow", n_samples(spark, sf)).drop("min", "max")
+    n = inputs.n_zones(spark, sf)
+    every = inputs.pairs(spark, sf).select("od_index")
+    return ST.feature_stats(with_od_index(od(spark, sf), n), "od_index", "flow", n_samples(spark, sf), every).drop("min", "max")
 
 
 def _pair_summary(rows: str, size: str) -> str:
@@ -402,7 +418,7 @@ def _(spark, sf):
 @query("a8_cluster_inertia")
 def _(spark, sf):
     vectors = ST.evaluation_sample(flatten(od(spark, sf), inputs.n_zones(spark, sf)))
-    return ST.cluster_inertia(materialise(vectors, "vectors"), "y", starts=2)
+    return ST.cluster_inertia(materialise(vectors, "vectors"), "y")
 
 
 @query(
@@ -469,7 +485,7 @@ sum(c) OVER (PARTITION BY turn_id, od_index) AS n FROM jxy) GROUP BY ALL)"""
 
 def information(spark, sf):
     cells = materialise(with_od_index(od(spark, sf), inputs.n_zones(spark, sf)), "od")
-    x = materialise(inputs.counts(spark, sf).withColumn("x", F.round("x", 6)), "counts")
+    x = materialise(inputs.counts(spark, sf), "counts")
     return x, cells, I.sampled_information(x, cells, n_samples(spark, sf), bins=8)
 
 
@@ -484,7 +500,7 @@ tt AS (SELECT t.turn_id, coalesce((SELECT avg(mutual_info) FROM mi WHERE mi.turn
 var_pop(x) AS variance, CASE WHEN stddev_pop(x) > 1e-9 THEN abs(corr(x, m)) ELSE 0 END AS corr_proxy
 FROM dense_counts t JOIN tl USING (sample_id) GROUP BY t.turn_id),
 rt AS (SELECT *, (mi_mean / ((SELECT max(mi_mean) FROM tt) + 1e-9) + variance / ((SELECT max(variance) FROM tt) + 1e-9) + corr_proxy) / 3 AS importance_score FROM tt)"""
-_A13 = {"mi_mean": 6, "variance": 3, "corr_proxy": 6, "importance_score": 6}
+_A13 = {"mi_mean": 6, "variance": 1, "corr_proxy": 6, "importance_score": 6}
 
 
 def ranked_turns(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assignment import apply_operator
-from ..session import scratch_path
+from ..session import is_small, scratch_path
 
 OD_STREAM = "sample_id INT, y ARRAY<DOUBLE>"
 COUNT_STREAM = "sample_id INT, x ARRAY<DOUBLE>"
@@ -65,10 +65,11 @@ def run_counts(spark: SparkSession, source: str, assignment: DataFrame, target:
     output folder is named by the batch id, so a replayed batch overwrites itself.
     """
     target = target or scratch_path(spark, "counts")
+    small = is_small(assignment)  # once, not in every micro-batch
 
     def put(batch: DataFrame, batch_id: int) -> None:
         cells = batch.select("sample_id", F.posexplode("y").alias("od_index", "flow")).filter(F.col("flow") != 0)
-        counts = apply_operator(cells, assignment, "od_index", "turn_id")
+        counts = apply_operator(cells, assignment, "od_index", "turn_id", small=small)
         counts.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     query = (
