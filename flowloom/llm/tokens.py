@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public tokenizer, and the exact histogram of encoded lengths.
 
 A byte-level BPE with the usual pre-tokenizer never makes a token across the place before a blank that a visible
-character follows. Texts are therefore cut there, each distinct piece is encoded once by the tokenizer and kept in a
-bounded store of the worker, and a document's ids are the joined ids of its pieces.
+character follows, nor between letters and marks, nor around a single line feed. Texts are therefore cut there, each
+distinct piece is encoded once by the tokenizer and kept in a bounded store of the worker, and a document's ids are the
+joined ids of its pieces. Vocabularies with other rules get whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,10 +21,12 @@ from pyspark.sql import types as T
 from flowloom.llm.common import running
 from flowloom.session import materialise
 
-#: Distinct pieces that one worker keeps; beyond it the store starts anew.
-STORE = 500_000
+#: Distinct pieces of a store. A worker has the current one and the one before, from which pieces in use move on.
+STORE = 250_000
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?!\s|\Z)")
+#: ASCII marks; a run of them after letters is a token boundary of the pre-tokenizer.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,8 +36,51 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Store:
+    """Ids by piece, of the pieces in use: when full, the store starts anew and keeps the old one to take over from."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def get(self, piece: str) -> bytes | None:
+        ids = self.now.get(piece)
+        if ids is None and (ids := self.before.get(piece)) is not None:
+            self.put(piece, ids)
+        return ids
+
+    def put(self, piece: str, ids: bytes) -> bytes:
+        if len(self.now) >= self.size:
+            self.before, self.now = self.now, {}
+        self.now[piece] = ids
+        return ids
+
+    def missing(self, pieces: list[str]) -> list[str]:
+        """Pieces that have to be encoded; afterwards all others are in ``now``."""
+        new = set(pieces).difference(self.now)
+        if new and len(self.now) + len(new) > self.size:
+            self.before, self.now, new = self.now, {}, set(pieces)
+        now, before, out = self.now, self.before, []
+        for piece in new:
+            if piece in before:
+                now[piece] = before[piece]
+            else:
+                out.append(piece)
+        return out
+
+
+def _signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary, as the library spells characters."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    points = [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x8000)]
+    return {b: sign for p in points for b, sign in zip(chr(p).encode(), spell(chr(p))[0][0], strict=True)}
+
+
 class Encoder:
-    """Encodes texts to little-endian ids of ``width`` bytes, piece by piece."""
+    """Encodes texts to little-endian ids of ``width`` bytes, piece by piece if the vocabulary's rules allow it."""
 
     def __init__(self, path: str, store: int = STORE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,32 +89,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = id_width(self.tokenizer.get_vocab_size())
-        self.store, self.heads, self.tails = store, {}, {}
-
-    def _fill(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        if len(known) + len(new) > self.store:
-            known.clear()
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False), strict=True):
-                known[piece] = b"".join([t.to_bytes(self.width, "little") for t in e.ids])
+        rules = json.loads(self.tokenizer.to_str())
+        split = rules["pre_tokenizer"] or {}
+        self.by_piece = (
+            rules["normalizer"] is None
+            and split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not split.get("add_prefix_space", False)
+        )
+        self.model, self.signs = self.tokenizer.model.tokenize, _signs()
+        #: Pieces after a blank, pieces without one, words after a blank.
+        self.tails, self.heads, self.words = Store(store), Store(store // 4), Store(store)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _unit(self, text: str) -> bytes:
+        """Ids of a text that the pre-tokenizer doesn't divide."""
+        return self._pack([t.id for t in self.model(text.encode().decode("latin-1").translate(self.signs))])
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of a piece without a blank before it."""
+        ids = self.heads.get(piece)
+        if ids is None:
+            word = piece.rstrip(_MARKS)
+            if word.isalpha():
+                ids = self._unit(word) + (self._head(piece[len(word) :]) if len(word) < len(piece) else b"")
+            else:
+                ids = self._whole(piece)
+            self.heads.put(piece, ids)
+        return ids
+
+    def _tail(self, piece: str) -> bytes:
+        """Ids of a blank and a piece: of letters and then marks, also on several lines, put together from both."""
+        if "\n" in piece:
+            first, *lines = piece.split("\n")
+            if all(lines) and not any(c.isspace() for c in "".join(lines)) and first and not first[-1].isspace():
+                return self._tail(first) + b"".join([self._head("\n") + self._head(x) for x in lines])
+        word = piece.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._whole(" " + piece)
+        ids = self.words.get(word) or self.words.put(word, self._unit(" " + word))
+        return ids + self._head(piece[len(word) :]) if len(word) < len(piece) else ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        pieces = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        if pieces[0] not in self.heads:
-            self._fill(self.heads, [pieces[0]], "")
-        head, rest = self.heads[pieces[0]], pieces[1:]
-        try:
-            return head + b"".join([self.tails[p] for p in rest])
-        except KeyError:
-            new = list({p for p in rest if p not in self.tails})
-            if len(self.tails) + len(new) > self.store:  # a text of more distinct pieces than the store has
-                self.tails.clear()
-                new = list(set(rest))
-            self._fill(self.tails, new, " ")
-            return head + b"".join([self.tails[p] for p in rest])
+        if not self.by_piece:
+            return self._whole(text)
+        first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+        for piece in self.tails.missing(rest):
+            self.tails.now[piece] = self._tail(piece)
+        return self._head(first) + b"".join(map(self.tails.now.__getitem__, rest))
 
 
 def id_width(vocabulary: int) -> int:
@@ -75,14 +151,17 @@ def id_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-_ENCODERS: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary; later tasks of the worker go on with its store.
 
+    It is kept with the tokenizers module, as this module travels by value and would be new in each task.
+    """
+    import tokenizers
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary; later tasks of the worker go on with its store."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def token_count(path: str):
