@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -150,6 +151,28 @@ def explained_variance(vectors: DataFrame, column: str, components: int) -> Data
     return vectors.sparkSession.createDataFrame(rows, "component int, ratio double, cumulative double")
 
 
+def group_variance(vectors: DataFrame, group: str, column: str, components: int = 20, share: float = 0.90) -> DataFrame:
+    """``group, pca_pc1_variance, pca_components_90pct`` of every group in one job.
+
+    For groups of a bounded number of vectors, such as the samples of one
+    configuration; a whole table goes to ``explained_variance``.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.array(rows.column(column).to_pylist())
+        s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+        ratio = (s / max(s.sum(), 1e-300))[:components]
+        return pa.table(
+            {
+                group: pa.array([key[0].as_py()], pa.int32()),
+                "pca_pc1_variance": pa.array([float(ratio[0])]),
+                "pca_components_90pct": pa.array([int((np.cumsum(ratio) < share).sum() + 1)], pa.int32()),
+            }
+        )
+
+    return vectors.groupBy(group).applyInArrow(run, f"{group} int, pca_pc1_variance double, pca_components_90pct int")
+
+
 def components_for(variance: DataFrame, share: float = 0.90) -> DataFrame:
     """Smallest number of components whose cumulative share reaches ``share``."""
     return variance.agg((F.count_if(F.col("cumulative") < share) + 1).cast("int").alias("n_components"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints as C
 from ..operators import raking as RK
+from ..operators import sampling as SA
 from ..operators import scenarios as SC
 from ..operators import spatial as SP
 from ..operators import stats as ST
 from ..operators.metrics import attractions, productions, table_metrics
-from ..operators.reshape import densify, flatten, od_index, unflatten
+from ..operators.reshape import densify, flatten, unflatten
 from ..session import materialise
 from ..sources import fixtures as fx
 from . import inputs
@@ -246,6 +247,7 @@ def _(spark, sf):
 
 
 #: The grid of the search (fixed values).
+N_PAIRS = 2_000
 ALPHAS, PERTURBATIONS = (100.0, 250.0, 500.0, 1000.0, 2000.0), (0.05, 0.10, 0.20, 0.30)
 
 
@@ -268,22 +270,14 @@ def grid_scores(spark, sf, alphas=ALPHAS, perturbations=PERTURBATIONS, per_confi
     cv = cells.groupBy(config.alias("config_id"), "o", "d").agg((std / (mean + 1e-9)).alias("cv")).groupBy("config_id").agg(
         (F.sum("cv") / F.lit(float(n * n))).alias("mean_cell_cv")
     )
-    parts = []
-    for c in configs.collect():  # a handful of grid points
-        mine = F.col("config_id") == c["config_id"]
-        own = cells.withColumn("config_id", config).filter(mine)
-        d = ST.mean_pair_distance(own, od_index(n), n * n, "flow", n_pairs=2_000)
-        evr = ST.explained_variance(made.withColumn("config_id", config).filter(mine), "y", 20)
-        parts.append(
-            d.select(
-                F.lit(c["config_id"]).alias("config_id"), F.col("mean_distance").alias("mean_pairwise_distance"),
-                ST.components_for(evr).scalar().alias("pca_components_90pct"),
-                evr.filter("component = 1").select("ratio").scalar().alias("pca_pc1_variance"),
-            )
-        )
-    spread = parts[0]
-    for part in parts[1:]:
-        spread = spread.unionByName(part)
+    # Distances of pairs drawn within each configuration, and its principal components, for all of them at once.
+    pairs = SA.sample_pairs(spark, per_config, N_PAIRS * configs.count())
+    home = F.floor(F.col("pair_id") / N_PAIRS).cast("int")
+    drawn = pairs.select(home.alias("config_id"), (home * per_config + F.col("i")).alias("a"), (home * per_config + F.col("j")).alias("b"))
+    one, two = made.select(F.col("sample_id").alias("a"), F.col("y").alias("ya")), made.select(F.col("sample_id").alias("b"), F.col("y").alias("yb"))
+    gap = F.aggregate(F.zip_with("ya", "yb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v) / F.lit(float(n * n))
+    distance = drawn.join(one, "a").join(two, "b").groupBy("config_id").agg(F.avg(gap).alias("mean_pairwise_distance"))
+    spread = distance.join(ST.group_variance(made.select(config.alias("config_id"), "y"), "config_id", "y"), "config_id")
     joined = configs.join(m, "config_id").join(cv, "config_id").join(spread, "config_id")
     return joined.withColumn("score", SC.recommendation_score())
 
