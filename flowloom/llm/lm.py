@@ -12,7 +12,9 @@ its share of the n-grams, a block the counts of its own n-grams.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from flowloom.llm.common import parts, utf8
 from flowloom.session import materialise
 
 #: Words of a block; a longer document is a block of its own.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Distinct n-grams that a range should hold.
 RANGE_KEYS = 1 << 21
 #: CRC-32 of the id modulo MODULUS: HELD_OUT documents are never learnt from, DELETED ones set the mixture weights.
@@ -38,6 +40,13 @@ _CODEC = "zstd"
 _EMPTY = b""  # the end token; no word is empty
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and large arrays leave its heap in pieces."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(a: np.ndarray) -> bytes:
     """Array to bytes, compressed byte plane by byte plane."""
     a = np.ascontiguousarray(a)
@@ -98,6 +107,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(ids)
     if docs:
         yield block()
+    number, docs, tokens = {}, [], []
+    release()
 
 
 class Block:
@@ -147,6 +158,8 @@ def _questions(ranges: tuple[int, int]):
                     used, fit = block.counts(at, len(keys))
                     by = np.argsort(keys, kind="stable")
                     yield _asked(row["block"], (1 << ranges[0]) * order, ranges[order], keys[by], used[by], fit[by])
+                del block, keys, at, used, fit, by
+        release()
 
     return ask
 
@@ -185,7 +198,7 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
         sums.append(whole)
     slot = rows[0]["slot"]
     m = len(rows)
-    return pa.table(
+    out = pa.table(
         {
             "slot": pa.array([slot] * (m + 1), pa.int32()),
             "block": pa.array([r["block"] for r in rows] + [-1], pa.int64()),
@@ -197,6 +210,9 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
             "total_fit": pa.array([0] * m + [int(sums[1].sum())], pa.int64()),
         }
     )
+    del rows, keys, at, totals, sums, one, whole
+    release()
+    return out
 
 
 _RESOLVED = (
@@ -222,7 +238,10 @@ def _resolve(pair_slot: int):
                 out[f"{name}{order}"] = pack(counts)
         kinds = {"block": pa.int64(), **{k: pa.int32() for k in ("n_docs", "n_tokens", "n_types", "n_pairs")}}
         names = [c.split()[0] for c in _RESOLVED.split(", ")]
-        return pa.table({k: pa.array([out[k]], kinds.get(k, pa.binary())) for k in names})
+        made = pa.table({k: pa.array([out[k]], kinds.get(k, pa.binary())) for k in names})
+        del block, keys, by, counts, out
+        release()
+        return made
 
     return resolve
 
@@ -261,6 +280,8 @@ def _events(total_fit: int):
                 p2, p1 = _share(pair[at], context[at]), word[at] / max(total_fit, 1)
                 code, n = np.unique((_bucket(context[at]) * BINS + _bin(p2)) * BINS + _bin(p1), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
+                del word, context, pair, role, at, p2, p1, code, n
+        release()
 
     return events
 
@@ -311,6 +332,8 @@ def _scores(weights: np.ndarray, total: int, types: int):
                         "score": pa.array(np.add.reduceat(np.log10(p), first)),
                     }
                 )
+                del word, context, pair, w, p, base
+        release()
 
     return score
 
