@@ -18,7 +18,7 @@ from flowloom.operators import scenarios as SC
 from flowloom.operators import spatial as SP
 from flowloom.operators.reshape import unflatten
 from flowloom.plans import catalog, inputs
-from flowloom.session import local_session, materialise
+from flowloom.session import clear_scratch, local_session, materialise
 from flowloom.sources import fixtures as fx
 
 HEADLINE = (
@@ -71,6 +71,7 @@ def main() -> None:
     times["counts_50k_vectors"] = timed(lambda: drain(A.vector_counts(vectors, assignment, turns, n)))
     cells = unflatten(vectors, n).filter(F.col("flow") != 0)
     times["counts_50k_long"] = timed(lambda: drain(A.turning_counts(cells, assignment, n)))
+    clear_scratch(spark)
     print(
         json.dumps(
             {

@@ -49,9 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/flowloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/flowloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Call it when no table made so far is needed again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

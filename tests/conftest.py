@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from flowloom.session import local_session, materialise  # noqa: E402
+from flowloom.session import clear_scratch, local_session, materialise  # noqa: E402
 from flowloom.sources import fixtures as fx  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, shuffle_partitions=4)
+    session = local_session(8, shuffle_partitions=4)
+    yield session
+    clear_scratch(session)
 
 
 @pytest.fixture(scope="session")
