@@ -126,8 +126,8 @@ def _(spark, sf):
 
 
 TARGET = 30
-#: share of the median distance below which two tables are too close; refuses about a third here
-SHARE = 0.8
+#: share of the median distance below which two tables are too close; high enough to refuse most of them here
+SHARE = 1.0
 _SURV_ROWS = "SELECT sample_id, od_index AS f, flow AS v FROM surv"
 SURV_DRAW = f"""sdrawn AS (SELECT pair_id, i, j0 + (j0 >= i)::INT AS j FROM (
 SELECT pair_id, CAST(floor({uniform_sql(42, 'pairs.i', 'pair_id')} * n) AS INT) AS i, CAST(floor({uniform_sql(42, 'pairs.j', 'pair_id')} * (n - 1)) AS INT) AS j0
