@@ -32,21 +32,27 @@ BUCKET = 24
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash over all word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+def digests(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles in order, in big-endian blocks; nothing for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined, lengths = b" ".join(words), list(map(len, words))
     start = np.concatenate(([0], np.cumsum(np.array(lengths) + 1)))
     begin = start[:n].tolist()
     end = (start[min(shingle, len(words)) :][:n] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(begin[i : i + _CHUNK], end[i : i + _CHUNK], strict=True)], ">u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(begin[i : i + _CHUNK], end[i : i + _CHUNK], strict=True)], ">u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash over all word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in digests(text, shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -138,7 +144,11 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id",
 
     Of rows repeated with one doc_id one stays. Rows without a doc_id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, distance, doc_id, text, **kw)
+    return keep_named(docs, near_duplicates(docs, distance, doc_id, text, **kw), doc_id)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each doc_id that names its component in ``found``, and all rows without a doc_id."""
     stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     stays = materialise(stays, "kept")
     one = Window.partitionBy("_kept").orderBy("_kept")
