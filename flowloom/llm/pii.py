@@ -1,8 +1,8 @@
 """Personal data by candidate boosting, in DataFrame and Spark ML operations only.
 
 Generators with high recall propose spans, which may overlap. Boosted trees score every candidate from its format and
-its context; they learn from the candidates that pass their kind's check (digit sums, ranges, lengths), which is not
-among the features. Per kind, the threshold is the least score above which enough held-out candidates pass the check.
+its context; they learn from the candidates that pass their generator's check (digit sums, ranges, lengths, the address
+left after undoing), which is not among the features; what overlaps a base span is left out. Per kind, the threshold is the least score above which enough held-out candidates pass the check.
 What passes the check is a base span and always stays; candidates that look just like them by score are added.
 
 Positions come from cutting the text at a generator's matches: lengths of the pieces before a match, summed up.
@@ -41,7 +41,7 @@ GENERATORS = (
     (
         "email",
         r"(?i)[(\[{ ](?:at|@)[)\]} ]",
-        _START + _LOCAL + r"++ ?(?:[(\[{](?i:at)[)\]}]|@) ?[A-Za-z0-9-]++(?: ?(?:[(\[{](?i:dot)[)\]}]|\.) ?[A-Za-z0-9-]++)++",
+        _START + _LOCAL + r"++ ?(?:[(\[{](?i:at)[)\]}]|@) ?[A-Za-z0-9-]++(?:(?: ?[(\[{](?i:dot)[)\]}] ?|\.| \. )[A-Za-z0-9-]++)++",
     ),
     ("phone", r"[0-9][)]?[ .-][0-9]{3}", r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
 )
@@ -87,8 +87,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + term(i)) % 10 == 0
 
 
+def _looks_right() -> Column:
+    """Label of a candidate: the base check, or for the extra generators the address left after undoing, or the digits."""
+    n = F.length(F.regexp_replace("match", "[^0-9]", ""))
+    undone = F.regexp_replace(F.regexp_replace("match", r"(?i) ?[(\[{]at[)\]}] ?", "@"), r"(?i) ?[(\[{]dot[)\]}] ?", ".")
+    address = F.regexp_replace(undone, " ", "").rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    closed = F.col("match").contains("(") == F.col("match").contains(")")
+    return F.when(F.col("gen") == 4, address).when(F.col("gen") == 5, n.between(9, 11) & closed).otherwise(F.col("base"))
+
+
 def _passes() -> Column:
-    """The check of a candidate's kind; only the base generators' matches can pass."""
+    """The check of a candidate's kind for the base generators; the extra ones' matches are never base."""
     digits = F.regexp_replace("match", "[^0-9]", "")
     n = F.length(digits)
     octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -158,6 +167,12 @@ def candidates(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     # Digit runs that no kind can be: too short for a card, and no other generator's match.
     digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
     each = each.filter((F.col("gen") != 2) | digits.between(13, 19))
+    # What overlaps a base span can't be added, so it is neither learnt from nor counted.
+    each = materialise(each.withColumn("label", _looks_right()), "positions")
+    spans = each.filter("base").groupBy("_row").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    over = F.exists("_spans", lambda b: (F.col("start") < b["end"]) & (b["start"] < F.col("end")))
+    more = each.filter(~F.col("base")).join(spans, "_row", "left").filter(~F.coalesce(over, F.lit(False))).select(*each.columns)
+    each = each.filter("base").unionByName(more)
     return rows.select("doc_id", "_row"), materialise(_features(each), "candidates")
 
 
@@ -186,14 +201,14 @@ def fit(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION
     gets at most 404 rows.
     """
     never = [2.0] * len(KINDS)
-    n, good = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("base").cast("long")), F.lit(0))).first()
+    n, good = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0))).first()
     if not 0 < good < n:
         return Selector(None, never)
     held = F.pmod(_hash("match", "before"), F.lit(4)) == 0
     share = max(1, round(n / fit_rows))
     drawn = found.filter(~held).filter(F.pmod(_hash("match", "before", "after"), F.lit(share * 4)) < 4)
     sample = VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features").transform(
-        drawn.withColumn("label", F.col("base").cast("double"))
+        drawn.withColumn("label", F.col("label").cast("double"))
     )
     sample = materialise(sample.select("features", "label"), "sample")
     seen = {r["label"] for r in sample.select("label").distinct().collect()}
@@ -204,7 +219,7 @@ def fit(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION
     bins = (
         selector.score(found.filter(held))
         .groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base").cast("long")).alias("good"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("good"))
     )
     rows = sorted(((r["kind"], -r["bin"], r["n"], r["good"]) for r in bins.collect()))
     for kind in range(len(KINDS)):

@@ -180,6 +180,30 @@ def test_boosting_adds_what_looks_alike(spark):
     assert all(cut[i] == ("paid by card [card] at noon" if got[i]["spans"] else texts[i]) for i in cut)
 
 
+def test_boosting_adds_local_phones_and_obfuscated_emails(spark):
+    """The extra generators' finds lead to redactions; groups of twelve digits don't, ordinary addresses count once."""
+    import random
+
+    rng = random.Random(7)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    forms = {
+        "phone": lambda: f"call ({n(3)}) {n(3)}-{n(4)} at noon",
+        "plus": lambda: f"call +1 ({n(3)}) {n(3)}-{n(4)} at noon",
+        "email": lambda: f"write to a{n(3)} (at) example{n(2)} (dot) com. Then wait",
+        "spaced": lambda: f"write to a{n(3)} @ example{n(2)}.com. Then wait",
+        "plain": lambda: f"write at once to a{n(3)}@example{n(2)}.com and wait",
+        "code": lambda: f"order {n(4)} {n(4)} {n(4)} is out",
+    }
+    kinds = [list(forms)[i % 6] for i in range(1800)]
+    df = spark.createDataFrame([(i, forms[k]()) for i, k in enumerate(kinds)], "doc_id long, text string")
+    found = pii.personal_data(df).collect()
+    added = Counter(kinds[r["doc_id"]] for r in found if r["n_added"])
+    assert all(added[k] > 0.9 * 300 for k in ("phone", "email", "spaced"))
+    assert not added["plus"] and not added["plain"] and not added["code"]
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(df, spark.createDataFrame(found)).collect()}
+    assert cut[0] == "call [phone] at noon" and cut[2] == cut[3] == "write to [email]. Then wait"
+
+
 # -- language model
 
 
