@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.llm.centroids import cluster
 from flowloom.llm.common import table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_dedup
@@ -140,3 +141,44 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_personal_data")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """SQL for the clustering: one pair of tables per round, as a recursive one can't be grouped by."""
+    far = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    parts = [
+        """kept AS MATERIALIZED (
+             SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             FROM embeddings
+             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+             SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c
+             FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, v FROM kept) ORDER BY h, v LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (
+             SELECT r, vec_id, v, cluster, far FROM (SELECT r, vec_id, v, cluster, {far} AS far FROM kept, c{i})
+             QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, cluster) = 1)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""c{i + 1} AS MATERIALIZED (
+             WITH s AS (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+                        FROM (SELECT cluster, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{i}) GROUP BY cluster, i),
+             m AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s GROUP BY cluster)
+             SELECT cluster, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN m USING (cluster))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+        SELECT vec_id, CAST(cluster AS INT) AS cluster, far AS distance,
+               CAST(sum(far) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+    )
+
+
+@query("op13_centroids", _cluster_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
