@@ -2,8 +2,9 @@
 
 A byte-level BPE with the usual pre-tokenizer never makes a token across the place before a blank that a visible
 character follows, nor between letters and marks, nor around a single line feed. Texts are therefore cut there, each
-distinct piece is encoded once by the tokenizer and kept in a bounded store of the worker, and a document's ids are the
-joined ids of its pieces. Vocabularies with other rules get whole texts.
+distinct piece is encoded once by the tokenizer and kept in a store of the worker that is bounded in characters, and a
+document's ids are the joined ids of its pieces. Texts that hold the string of an added token, and vocabularies with
+other rules, are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from flowloom.session import materialise
 
 #: Distinct pieces of a store. A worker has the current one and the one before, from which pieces in use move on.
 STORE = 250_000
+#: Characters of a piece that is still stored, and the mean over a full store at which it starts anew all the same.
+LONG, MEAN = 64, 16
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?!\s|\Z)")
 #: ASCII marks; a run of them after letters is a token boundary of the pre-tokenizer.
@@ -37,13 +40,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Store:
-    """Ids by piece, of the pieces in use: when full, the store starts anew and keeps the old one to take over from."""
+    """Ids by piece, of the pieces in use: when full, the store starts anew and keeps the old one to take over from.
+
+    It is full at ``size`` pieces or ``MEAN`` times as many characters. Pieces over ``LONG`` characters aren't kept.
+    """
 
     def __init__(self, size: int):
-        self.size = size
+        self.size, self.chars = size, 0
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def _turn(self) -> None:
+        self.before, self.now, self.chars = self.now, {}, 0
+
     def get(self, piece: str) -> bytes | None:
         ids = self.now.get(piece)
         if ids is None and (ids := self.before.get(piece)) is not None:
@@ -51,16 +60,21 @@ class Store:
         return ids
 
     def put(self, piece: str, ids: bytes) -> bytes:
-        if len(self.now) >= self.size:
-            self.before, self.now = self.now, {}
+        if len(piece) > LONG:
+            return ids
+        if len(self.now) >= self.size or self.chars >= MEAN * self.size:
+            self._turn()
         self.now[piece] = ids
+        self.chars += len(piece)
         return ids
 
     def missing(self, pieces: list[str]) -> list[str]:
         """Pieces that have to be encoded; afterwards all others are in ``now``."""
         new = set(pieces).difference(self.now)
-        if new and len(self.now) + len(new) > self.size:
-            self.before, self.now, new = self.now, {}, set(pieces)
+        if new and (len(self.now) + len(new) > self.size or self.chars > MEAN * self.size):
+            self._turn()
+            new = set(pieces)
+        self.chars += sum(map(len, new))
         now, before, out = self.now, self.before, []
         for piece in new:
             if piece in before:
@@ -80,16 +94,22 @@ def _signs() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian ids of ``width`` bytes, piece by piece if the vocabulary's rules allow it."""
+    """Encodes texts to little-endian ids of ``width`` bytes, piece by piece if the vocabulary's rules allow it.
 
-    def __init__(self, path: str, store: int = STORE):
+    The strings of added tokens (such as an end mark) become their own ids, as the library does it by default, or
+    ordinary text if ``plain``.
+    """
+
+    def __init__(self, path: str, store: int = STORE, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
         self.width = id_width(self.tokenizer.get_vocab_size())
         rules = json.loads(self.tokenizer.to_str())
+        #: Strings that the library takes out before it splits a text.
+        self.added = [t["content"] for t in rules.get("added_tokens", []) if not (plain and t["special"])]
         split = rules["pre_tokenizer"] or {}
         self.by_piece = (
             rules["normalizer"] is None
@@ -138,12 +158,17 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or any(t in text for t in self.added):
             return self._whole(text)
         first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        for piece in self.tails.missing(rest):
+        missing = self.tails.missing(rest)
+        for piece in missing:
             self.tails.now[piece] = self._tail(piece)
-        return self._head(first) + b"".join(map(self.tails.now.__getitem__, rest))
+        ids = self._head(first) + b"".join(map(self.tails.now.__getitem__, rest))
+        for piece in missing:
+            if len(piece) > LONG:
+                del self.tails.now[piece]
+        return ids
 
 
 def id_width(vocabulary: int) -> int:
@@ -151,7 +176,7 @@ def id_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary; later tasks of the worker go on with its store.
 
     It is kept with the tokenizers module, as this module travels by value and would be new in each task.
@@ -159,9 +184,9 @@ def encoder(path: str) -> Encoder:
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, plain) not in kept:
+        kept[path, plain] = Encoder(path, plain=plain)
+    return kept[path, plain]
 
 
 def token_count(path: str):

@@ -17,7 +17,6 @@ PATH = tokens.vocabulary_path()
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +29,28 @@ def test_pieces_give_the_ids_of_the_whole(whole):
         assert np.frombuffer(enc.encode(text), "<u2").tolist() == whole(text), repr(text)
 
 
+def test_plain_takes_added_tokens_for_text(whole):
+    text = "to the <|endoftext|> of it<|endoftext|>"
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    plain = t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.Encoder(PATH).encode(text), "<u2").tolist() == whole(text)
+    assert np.frombuffer(tokens.Encoder(PATH, plain=True).encode(text), "<u2").tolist() == plain
+    assert 50256 in whole(text) and 50256 not in plain
+
+
+def test_store_is_bounded_in_characters(whole):
+    """Texts without blanks and words that never come again must not fill a worker."""
+    enc = tokens.Encoder(PATH, store=100)
+    for i in range(200):
+        text = ("你好" * 500 + str(i)) + " " + "x" * 300 + str(i) + " " + " ".join(f"{'longer' * 9}{i}{j}" for j in range(20))
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == whole(text)
+        for store in (enc.tails, enc.heads, enc.words):
+            kept = [*store.now, *store.before]
+            assert max(map(len, kept), default=0) <= tokens.LONG
+            assert sum(map(len, kept)) <= 2 * (tokens.MEAN * store.size + 30 * tokens.LONG)
+
+
 def test_width():
     assert tokens.id_width(50257) == 2 and tokens.id_width(1 << 16) == 2 and tokens.id_width(70000) == 4
 
