@@ -13,6 +13,7 @@ from flowloom.llm.exact_dedup import exact_dedup
 from flowloom.llm.lm import lm_scores
 from flowloom.llm.mixing import mixture
 from flowloom.llm.language import identify
+from flowloom.llm.packing import pieces_of
 from flowloom.llm.pii import personal_data
 from flowloom.llm.quality import classify
 from flowloom.llm.simhash import near_duplicates
@@ -182,3 +183,8 @@ def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
 @query("op13_centroids", _cluster_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_of(table(spark, sf_dir, "documents"), vocabulary_path())
