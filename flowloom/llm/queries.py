@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowloom.llm.alignment import alignment
 from flowloom.llm.centroids import cluster
 from flowloom.llm.common import table
 from flowloom.llm.decontaminate import contamination
@@ -188,3 +189,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_packing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_of(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
