@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.common import packed, share, shared, unpacked, utf8
+from flowloom.llm.lm import release
+from flowloom.session import materialise
 
 NGRAM = 10
 #: Bytes of benchmark text that one broadcast block holds at most; a larger benchmark is scanned in several blocks.
@@ -41,39 +43,121 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sorted(items: set[str | None]) -> list[str | None]:
+    return sorted(items - {None}) + [None] * (None in items)
+
+
 class Grams:
-    """Windows of a block of items: word numbers, hashes by window length, and the items each window belongs to."""
+    """Windows of a block of items, as arrays: word numbers end to end, and per window length the windows' hashes in
+    order, each with the place of its first word and its item. About 20 bytes per word, and the block's distinct words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], dict[str, None]] = {}
+        self.names: list[str | None] = []
+        ids, starts = [], {}
+        at = 0
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                self.owners.setdefault(tuple(ids[i : i + size]), {})[item] = None
-        self.hashed = {
-            size: np.unique(_hashes(np.array([g for g in self.owners if len(g) == size], np.uint64).T, size)[0])
-            for size in {len(g) for g in self.owners}
-        }
-
-    def scan(self, found: list[bytes]) -> tuple[list[int], list[int], list[str]]:
-        """Starts and ends (exclusive) of the merged hit runs, and the items with occurring windows."""
+            found = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            size = min(n, len(found))
+            if found:
+                starts.setdefault(size, []).append((at, len(found) - size + 1, len(self.names)))
+                self.names.append(item)
+                ids.append(np.array(found, np.uint32))
+                at += len(found)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.windows = {}
+        for size, runs in starts.items():
+            place = np.concatenate([np.arange(a, a + k) for a, k, _ in runs])
+            owner = np.repeat([o for *_, o in runs], [k for _, k, _ in runs]).astype(np.uint32)
+            hashes = _hashes(self.ids.astype(np.uint64), size)[place]
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], place[order], owner[order]
+
+    def scan(self, found: list[bytes]) -> tuple[list[int], list[int], list[str | None]]:
+        """Starts and ends (exclusive) of the merged hit runs, and the items with occurring windows, a null id last."""
+        ids = np.fromiter((self.number.get(w, 0) for w in found), np.uint64, len(found))
+        runs: list[tuple[int, int]] = []
+        owners: set[int] = set()
+        for size, (known, place, owner) in self.windows.items():
+            if len(ids) < size:
+                continue
+            h = _hashes(ids, size)
+            low = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            for i, a, b in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(known, h[hit], "right").tolist(), strict=True):
+                # Verified: the words themselves.
+                same = (self.ids[place[a:b, None] + np.arange(size)] == ids[i : i + size]).all(axis=1)
+                if same.any():
+                    runs.append((i, i + size))
+                    owners.update(owner[a:b][same].tolist())
+        items = {self.names[o] for o in owners}
+        starts, ends = merged(runs)
+        return starts, ends, _sorted(items)
+
+
+def merged(runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Union of half-open runs, as sorted starts and ends."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(runs):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+_FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("starts", T.ArrayType(T.IntegerType())),
+        T.StructField("ends", T.ArrayType(T.IntegerType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
+_ARROW = pa.struct(
+    [("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+)
+
+
+def _scanner(grams):
+    """Arrow UDF that scans texts with a broadcast block of grams."""
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        block: Grams = shared(grams)
+        for batch in batches:
+            out = []
+            for text in batch:
+                found = words(text.as_py())
+                starts, ends, items = block.scan(found)
+                out.append({"n_words": len(found), "starts": starts, "ends": ends, "items": items})
+            yield pa.array(out, _ARROW)
+        release()
+
+    return F.arrow_udf(scan, _FOUND).asNondeterministic()  # evaluated once, not again in each filter above it
+
+
+def scan(self, found: list[bytes]) -> tuple[list[int], list[int], list[str | None]]:
+        """Starts and ends (exclusive) of the merged hit runs, and the items with occurring windows, a null id last."""
         ids = np.fromiter((self.number.get(w, 0) for w in found), np.uint64, len(found))
         runs: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for size, known in self.hashed.items():
+        owners: set[int] = set()
+        for size, (known, place, owner) in self.windows.items():
             if len(ids) < size:
                 continue
             h = _hashes(ids, size)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i in np.flatnonzero(known[at] == h).tolist():
-                who = self.owners.get(tuple(ids[i : i + size].tolist()))  # verified: the words themselves
-                if who is not None:
+            low = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            for i, a, b in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(known, h[hit], "right").tolist(), strict=True):
+                # Verified: the words themselves.
+                same = (self.ids[place[a:b, None] + np.arange(size)] == ids[i : i + size]).all(axis=1)
+                if same.any():
                     runs.append((i, i + size))
-                    items.update(who)
+                    owners.update(owner[a:b][same].tolist())
+        items = {self.names[o] for o in owners}
         starts, ends = merged(runs)
-        return starts, ends, sorted(items)
+        return starts, ends, _sorted(items)
 
 
 def merged(runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -114,6 +198,7 @@ def _scanner(grams):
                 starts, ends, items = block.scan(found)
                 out.append({"n_words": len(found), "starts": starts, "ends": ends, "items": items})
             yield pa.array(out, _ARROW)
+        release()
 
     return F.arrow_udf(scan, _FOUND).asNondeterministic()  # evaluated once, not again in each filter above it
 
@@ -136,22 +221,30 @@ def scan(
 ) -> DataFrame:
     """``docs`` with ``_hit``: number of words, merged hit runs (word positions) and items with occurring windows.
 
-    A benchmark beyond ``block_bytes`` is dealt into blocks by item hash; each block is one more scan over the
-    documents' texts, and the runs of the blocks are merged.
+    A benchmark beyond ``block_bytes`` is dealt into blocks by item hash. Each block is one more scan over the
+    documents' texts, whose hits are written before the next block is read, so no task holds two blocks.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), utf8(F.col(item_text)).alias("text"))
-    out = docs
-    names = []
-    for i, blocks in _blocks(benchmark, item_id, item_text, block_bytes):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).filter("item IS NOT NULL").collect()
-        grams = share(spark, Grams([(r["item"], bytes(r["text"])) for r in block], n))
-        names.append(f"_hit{i}")
-        out = out.withColumn(names[-1], _scanner(grams)(utf8(F.col(text))))
-    if len(names) == 1:
-        return out.withColumnRenamed(names[0], "_hit")
+    size = benchmark.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def hits(i: int) -> Column:
+        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).collect()
+        return _scanner(share(spark, Grams([(r["item"], bytes(r["text"])) for r in block], n)))(utf8(F.col(text)))
+
+    if blocks == 1:
+        return docs.withColumn("_hit", hits(0))
+    numbered = materialise(packed(docs, _row=F.monotonically_increasing_id(), **{text: F.col(text)}), "numbered")
+    found = None
+    for i in range(blocks):
+        one = numbered.select("_row", hits(i).alias("_hit"))
+        one = materialise(one if i == 0 else one.filter(F.size("_hit.items") > 0), "block-hits")
+        found = one if found is None else found.unionByName(one)
     both = F.arrow_udf(_union, _FOUND).asNondeterministic()
-    return out.withColumn("_hit", both(F.array(*names))).drop(*names)
+    found = found.groupBy("_row").agg(F.collect_list("_hit").alias("_hits")).select("_row", both("_hits").alias("_hit"))
+    joined = numbered.join(found, "_row")
+    return joined.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], "_hit")
 
 
 def _union(batch: pa.Array) -> pa.Array:
@@ -159,7 +252,7 @@ def _union(batch: pa.Array) -> pa.Array:
     out = []
     for found in batch.to_pylist():
         starts, ends = merged([r for f in found for r in zip(f["starts"], f["ends"], strict=True)])
-        out.append({"n_words": found[0]["n_words"], "starts": starts, "ends": ends, "items": sorted({x for f in found for x in f["items"]})})
+        out.append({"n_words": found[0]["n_words"], "starts": starts, "ends": ends, "items": _sorted({x for f in found for x in f["items"]})})
     return pa.array(out, _ARROW)
 
 
@@ -167,9 +260,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, doc_id:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters. A word inside any occurrence of a window
-    is hit. Null or empty texts have no words; items without words or without an id have no windows, items shorter than
-    ``n`` words are one window. Repeated documents are scanned singly, repeated items count once. Without items nothing
-    is hit and ``items_sha256`` is that of the empty string. Columns other than id and text are not read.
+    is hit. Null or empty texts have no words; items without words have no windows, items shorter than ``n`` words are
+    one window. Items without an id hit like others; all of them count as one item, which has no name in
+    ``items_sha256``. Repeated documents are scanned singly, repeated items count once. Without items nothing is hit and ``items_sha256`` is that of the empty string. Columns other than id and text are not read.
     """
     hit = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), benchmark, n, "_text", **kw)
     width = F.aggregate(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.common import packed, share, shared, unpacked, utf8
+from flowloom.llm.lm import release
 
 GOOD, BAD, NONE = 2, 0, 1
 #: Rows that the scorer is fitted on at most (a hash sample of about that size), and the models that are averaged.
@@ -214,6 +215,7 @@ class Scorer:
 def _patterns(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([pattern(*statistics(t.as_py())) for t in batch], pa.int32())
+    release()
 
 
 def pattern_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -244,22 +246,24 @@ def fit(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, shards: i
     """Label model from the vote patterns of all documents, scorer from a hash sample of about ``fit_rows`` of them.
 
     The sample is dealt into shards, one model is trained on each, and the models are averaged, so no task and not the
-    driver holds more than a shard's sample. Texts are drawn by content, so copies of a text count as one.
+    driver holds more than a shard's sample. Texts are drawn by content, so copies of a text count as one, also in the
+    share that is drawn. If no text is drawn (an empty table), all weights are zero and every text with words scores 0.5.
     """
     patterns, counts = pattern_counts(docs, text)
-    total = int(counts.sum())
-    if not total:
-        return Scorer(fit_label_model(np.array([0]), np.array([0])), np.zeros(FEATURES + 1, np.float32))
+    nothing = np.zeros(FEATURES + 1, np.float32)
+    if not counts.sum():
+        return Scorer(fit_label_model(np.array([0]), np.array([0])), nothing)
     labels = fit_label_model(patterns, counts)
     content = utf8(F.col(text))
     kept = docs.select(content.alias("text"), F.xxhash64(content).alias("h"))
-    share = max(1, round(total / fit_rows))
+    texts = kept.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share = max(1, round(texts / fit_rows))
     sample = kept.filter(F.pmod(F.shiftrightunsigned("h", 8), F.lit(share)) == 0).dropDuplicates(["h"])
-    shards = max(1, min(shards, total // 1000))
+    shards = max(1, min(shards, texts // 1000))
     sample = sample.select("text", F.pmod("h", F.lit(shards)).alias("shard"))
     models = sample.groupBy("shard").applyInArrow(_shard_trainer(labels), "n long, w array<float>").collect()
     n = sum(r["n"] for r in models)
-    return Scorer(labels, sum(np.array(r["w"], np.float32) * (r["n"] / n) for r in sorted(models)))
+    return Scorer(labels, nothing) if not n else Scorer(labels, sum(np.array(r["w"], np.float32) * (r["n"] / n) for r in sorted(models)))
 
 
 _SCORE = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -278,6 +282,7 @@ def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str =
                 [pa.array(p), pa.array(known.labels.posterior(p)), pa.array([f[1] for f in found], pa.float64())],
                 ["pattern", "posterior", "score"],
             )
+        release()
 
     return docs.withColumn(name, F.arrow_udf(score, _SCORE).asNondeterministic()(utf8(F.col(text))))
 

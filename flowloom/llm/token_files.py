@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import parts
+from flowloom.llm.lm import release
 from flowloom.llm.tokens import encoder
 from flowloom.session import materialise, scratch_path
 
@@ -67,6 +68,7 @@ def _write_shard(folder: str, path: str, end: int):
         if out is not None:
             out.close()
             store.move(draft, f"{root}/{shard}.bin")
+        release()
 
     return write
 

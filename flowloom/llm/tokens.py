@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm.common import running
+from flowloom.llm.lm import release
 from flowloom.session import materialise
 
 #: Distinct pieces of a store. A worker has the current one and the one before, from which pieces in use move on.
@@ -196,6 +197,7 @@ def token_count(path: str):
         enc = encoder(path)
         for batch in batches:
             yield pa.array([len(enc.encode(t.as_py() or "")) // enc.width for t in batch], pa.int64())
+        release()
 
     return F.arrow_udf(count, T.LongType()).asNondeterministic()
 

@@ -61,6 +61,15 @@ def test_quality_messy(messy, empty):
     assert quality.classify(empty).collect() == [] and quality.keep_good(empty).collect() == []
 
 
+@pytest.mark.parametrize("texts", [["one text and no other " * 20], ["a b c", "d e f " * 30], [None]])
+def test_quality_of_repeated_rows(spark, texts):
+    """Far more rows than are drawn, hardly any distinct text among them."""
+    docs = spark.range(24_000).selectExpr("id AS doc_id", f"element_at(array({', '.join('NULL' if t is None else repr(t) for t in texts)}), CAST(id % {len(texts)} AS INT) + 1) AS text")
+    got = quality.classify(docs.withColumn("text", docs["text"].cast("string")), fit_rows=10_000)
+    scores = {r["score"] for r in got.select("score").distinct().collect()}
+    assert got.count() == 24_000 and len(scores) <= len(texts) and all(0 <= s <= 1 for s in scores)
+
+
 # -- language identification
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -32,8 +33,7 @@ def test_contamination_messy(messy, benchmark, block_bytes):
     """One block, and several whose findings are merged."""
     items: dict[str, list] = {}
     for r in benchmark.collect():
-        if r["item_id"] is not None:
-            items.setdefault(str(r["item_id"]), []).append(r["text"])
+        items.setdefault("" if r["item_id"] is None else str(r["item_id"]), []).append(r["text"])
     got = D.contamination(messy, benchmark, block_bytes=block_bytes).collect()
     assert len(got) == len(RAW)
     for r in got:
@@ -42,6 +42,9 @@ def test_contamination_messy(messy, benchmark, block_bytes):
         text = next(t for i, t, *_ in RAW if i == r["doc_id"])
         n, hit, found = slow_hits(text, items, 10)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0), r
+        names = ",".join(x for x in found if x)  # an item without an id has no name
+        assert r["items_sha256"] == hashlib.sha256(names.encode()).hexdigest()
+    assert next(r for r in got if r["doc_id"] is None)["n_hit"] == 5
 
 
 def test_contamination_without_items(messy, benchmark, empty):
@@ -53,7 +56,7 @@ def test_contamination_without_items(messy, benchmark, empty):
 def test_drop_and_cut(messy, benchmark):
     left = D.drop_contaminated(messy, benchmark)
     assert left.columns == messy.columns
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter({4: 1, 5: 1, 6: 1, None: 1, 8: 1, 9: 1, 10: 1})
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter({4: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1})
     cut = {r["doc_id"]: r for r in D.remove_spans(messy, benchmark).collect()}
     assert cut[7]["text"] == "" and cut[4]["text"] is None and cut[9]["text"] == RAW[10][1]
     assert cut[1]["text"] == "The river ." and PLAIN.endswith("letters.")
