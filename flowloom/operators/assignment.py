@@ -6,15 +6,21 @@ the size of the network.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small
+from ..session import is_small, join_small
 from .network import k_shortest_paths, logit_shares, path_turns
 from .reshape import od_index
 from .vectors import MAX_OPERATOR_CELLS, check_vector_size, map_batches, to_lists, to_matrix
 
+#: Entries of an operator up to which a task keeps it as a full matrix beside its compressed rows (16 MB).
+MAX_DENSE = 2_000_000
+
 
 def turn_uses(routes: DataFrame, turns: DataFrame, keys: list) -> DataFrame:
     """Turn id of every route step; steps that are no known turn drop out."""
@@ -86,11 +92,81 @@ def apply_operator(
     return joined.groupBy(*by, out).agg(F.sum(F.col(value) * F.col("weight")).alias(result))
 
 
-def turning_counts(cells: DataFrame, assignment: DataFrame, n_zones: int) -> DataFrame:
-    """``sample_id, turn_id, x``; a turn without traffic has no row."""
-    return apply_operator(
-        cells.withColumn("od_index", od_index(n_zones)), assignment, "od_index", "turn_id"
+def _block_product(operator: DataFrame, key: str, out: str):
+    """Function for mapInArrow over ``sample_id, key, flow``: one row per sample of a batch with its outputs and sums.
+
+    The operator comes as compressed rows: for each key the place of its first entry, then outputs and weights.
+    """
+    entries = operator.select(key, out, "weight").toPandas().sort_values([key, out])
+    outs, first = np.unique(entries[out].to_numpy(), return_inverse=True)
+    weight = entries["weight"].to_numpy(np.float64)
+    keys = int(entries[key].max()) + 1 if len(entries) else 0
+    ends = np.searchsorted(entries[key].to_numpy(), np.arange(keys + 1))
+    whole = None  # the operator as a matrix, where sums of positive terms show which outputs were touched
+    if keys * len(outs) <= MAX_DENSE and (weight > 0).all():
+        whole = np.zeros((keys, len(outs)))
+        whole[entries[key].to_numpy(), first] = weight
+
+    def lists(samples: pa.Array, used: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.searchsorted(used, np.arange(len(samples) + 1) * len(outs)).astype(np.int32))
+        turns = pa.ListArray.from_arrays(at, pa.array(outs[used % max(1, len(outs))]))
+        return pa.RecordBatch.from_arrays([samples, turns, pa.ListArray.from_arrays(at, pa.array(sums))], ["sample_id", "outs", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, flow = batch[key].to_numpy(), batch["flow"].to_numpy()
+            known = (at >= 0) & (at < len(ends) - 1)
+            if not known.all():  # keys without an entry
+                batch, at, flow = batch.filter(pa.array(known)), at[known], flow[known]
+            if not batch.num_rows:
+                continue
+            samples = batch["sample_id"].dictionary_encode()
+            sample, n_samples = samples.indices.to_numpy().astype(np.int64), len(samples.dictionary)
+            if whole is not None and n_samples * keys <= 8 * batch.num_rows + 100_000 and (flow > 0).all():
+                filled = np.bincount(sample * keys + at, flow, n_samples * keys).reshape(n_samples, keys) @ whole
+                used = np.flatnonzero(filled)
+                yield lists(samples.dictionary, used, filled.reshape(-1)[used])
+                continue
+            n = ends[at + 1] - ends[at]
+            total = n.cumsum()
+            entry = np.arange(total[-1]) + np.repeat(ends[at] - total + n, n)
+            cell = np.repeat(sample, n) * len(outs) + first[entry]
+            value = np.repeat(flow, n) * weight[entry]
+            if n_samples * len(outs) <= 4 * len(cell) + 100_000:
+                used = np.flatnonzero(np.bincount(cell))
+                sums = np.bincount(cell, value)[used]
+            else:  # many samples with few cells each
+                used, where = np.unique(cell, return_inverse=True)
+                sums = np.bincount(where, value)
+            yield lists(samples.dictionary, used, sums)
+
+    return run
+
+
+def block_product(rows: DataFrame, operator: DataFrame, key: str, out: str, result: str = "x") -> DataFrame:
+    """``apply_operator`` by compressed rows of the operator, for ``rows(sample_id, key, flow)`` by sample.
+
+    A batch of rows becomes one row of sums per sample in it, so no row per sample, key and output exists; those partial
+    rows are shuffled by sample and added up. Rows with a null are left out. Only for operators whose size is proven small.
+    """
+    id_type, out_type = dict(rows.dtypes)["sample_id"], dict(operator.dtypes)[out]
+    rows = rows.select("sample_id", F.col(key).cast("long").alias(key), F.col("flow").cast("double").alias("flow")).dropna()
+    sums = rows.mapInArrow(
+        _block_product(operator, key, out), f"sample_id {id_type}, outs array<{out_type}>, sums array<double>"
     )
+    lines = sums.repartition("sample_id").select("sample_id", F.inline(F.arrays_zip(F.col("outs").alias(out), F.col("sums").alias(result))))
+    return lines.groupBy("sample_id", out).agg(F.sum(result).alias(result))
+
+
+def turning_counts(cells: DataFrame, assignment: DataFrame, n_zones: int) -> DataFrame:
+    """``sample_id, turn_id, x``; a turn without traffic has no row.
+
+    By compressed blocks while the assignment table is provably small, else by a join.
+    """
+    rows = cells.withColumn("od_index", od_index(n_zones))
+    if not is_small(assignment):
+        return apply_operator(rows, assignment, "od_index", "turn_id")
+    return block_product(rows, assignment, "od_index", "turn_id")
 
 
 def operator_matrix(operator: DataFrame, row: str, col: str, n_rows: int, n_cols: int) -> np.ndarray:

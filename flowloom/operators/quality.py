@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,10 @@ from .metrics import base_sums, beside_base
 from .reshape import od_index
 from .sampling import row_numbers
 from .stats import pair_distances
-from .vectors import check_vector_size, to_matrix
+from .vectors import to_matrix
+
+#: Entries of the vectors that a tile of tables holds (8 bytes each).
+TILE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -101,49 +103,34 @@ def diversity_scores(cells: DataFrame, n_samples: int, n_zones: int) -> DataFram
     return row_numbers(scores, [F.round("score", 9).desc(), F.col("sample_id")], "rank")
 
 
-def _conflicts(scan: DataFrame, shipped: list, tau: float, width: int, later_is_shipped: bool) -> DataFrame:
-    """``later, earlier`` ranks of tables closer than ``tau``, by exact differences.
+def _near(left: DataFrame, n_left: int, right: DataFrame, n_right: int, tau: float, width: int) -> DataFrame:
+    """``later, earlier``: ranks of all pairs of a ``left`` table and an earlier ``right`` one closer than ``tau``.
 
-    Every scanned row meets the bounded list of shipped (rank, vector) rows. When
-    the shipped rows are the later ones, each task reports only the best-ranked
-    conflict per shipped row.
+    Both sides ``(rank, y)`` are dealt into tiles of a bounded number of entries, and each pair of tiles is one group,
+    so the vectors go from task to task and only ranks come out. Distances are by exact differences.
     """
-    ranks = np.array([r[0] for r in shipped], dtype=np.int64)
-    table = np.array([r[1] for r in shipped], dtype=np.float64).reshape(len(shipped), width)
-    far = np.iinfo(np.int64).max
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.full(len(ranks), far)
-        for b in batches:
-            later, earlier = [], []
-            for rank, v in zip(b.column("rank").to_numpy(), to_matrix(b.column("y"), width)):
-                diff = table - v
-                near = np.sqrt((diff * diff).sum(axis=1)) < tau
-                if later_is_shipped:
-                    first[near] = np.minimum(first[near], rank)
-                else:
-                    hit = ranks[near & (ranks < rank)]
-                    later.append(np.full(len(hit), rank)), earlier.append(hit)
-            if later:
-                yield pa.RecordBatch.from_pydict({"later": np.concatenate(later), "earlier": np.concatenate(earlier)})
-        if later_is_shipped:
-            yield pa.RecordBatch.from_pydict({"later": ranks[first < far], "earlier": first[first < far]})
-
-    return scan.select("rank", "y").mapInArrow(run, "later bigint, earlier bigint")
-
-
-def _pairs(scan: DataFrame, shipped: list, tau: float, width: int) -> DataFrame:
-    """``later, earlier`` ranks of all conflicts between earlier scanned rows and later shipped ones."""
-    ranks = np.array([r[0] for r in shipped], dtype=np.int64)
-    table = np.array([r[1] for r in shipped], dtype=np.float64).reshape(len(shipped), width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rank, v in zip(b.column("rank").to_numpy(), to_matrix(b.column("y"), width)):
-                hit = ranks[np.sqrt(((table - v) ** 2).sum(axis=1)) < tau]
-                yield pa.RecordBatch.from_pydict({"later": hit, "earlier": np.full(len(hit), rank)})
-
-    return scan.select("rank", "y").mapInArrow(run, "later bigint, earlier bigint")
+
+    def tiles(n: int) -> int:
+        return max(1, -(-n * width // TILE))
+
+    here = left.select("rank", "y", F.pmod("rank", F.lit(tiles(n_left))).cast("int").alias("lt"))
+    here = here.withColumn("rt", F.explode(F.sequence(F.lit(0), F.lit(tiles(n_right) - 1))))
+    there = right.select("rank", "y", F.pmod("rank", F.lit(tiles(n_right))).cast("int").alias("rt"))
+    there = there.withColumn("lt", F.explode(F.sequence(F.lit(0), F.lit(tiles(n_left) - 1))))
+
+    def compare(mine: pa.Table, others: pa.Table) -> pa.Table:
+        later, earlier = [], []
+        if mine.num_rows and others.num_rows:
+            ranks = others["rank"].to_numpy()
+            table = to_matrix(others["y"].combine_chunks(), width)
+            for rank, v in zip(mine["rank"].to_numpy(), to_matrix(mine["y"].combine_chunks(), width), strict=True):
+                before = ranks < rank
+                hit = ranks[before][np.sqrt(((table[before] - v) ** 2).sum(axis=1)) < tau]
+                later.append(np.full(len(hit), rank)), earlier.append(hit)
+        none = np.zeros(0, np.int64)
+        return pa.table({"later": np.concatenate([none, *later]), "earlier": np.concatenate([none, *earlier])})
+
+    return here.groupBy("lt", "rt").cogroup(there.groupBy("lt", "rt")).applyInArrow(compare, "later bigint, earlier bigint")
 
 
 def survivors(cells: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -160,62 +147,63 @@ def select_diverse(
 
     ``ranked(sample_id, rank, y)`` with ranks from 1. Returns ``sample_id, rank,
     accepted, blocked_by`` (best accepted rank in conflict) for all tables looked
-    at. Blocks of ``block`` ranks are taken in turn: the block is checked against
-    the accepted tables, which stay on disk and are scanned in parallel, then the
-    few left are settled among themselves. A block is the only thing shipped
-    whole, and ranks after the target is reached are never compared.
+    at. Blocks of ``block`` ranks are taken in turn: the block's tables are
+    compared with the accepted ones and among themselves in tiles, and the walk
+    through the block sees pairs of ranks, at most ``block`` times ``block`` and
+    ``window`` of them (without a window, one per refused table and those within
+    the block). Ranks after the target is reached are never compared.
     """
-    size = n_zones * n_zones
-    check_vector_size(size)
-    spark = ranked.sparkSession
+    spark, width = ranked.sparkSession, n_zones * n_zones
     stored = materialise(ranked.select("sample_id", F.col("rank").cast("bigint"), "y"), "ranked")
     if tau <= 1e-6:
         nothing = F.lit(None).cast("bigint").alias("blocked_by")
         return stored.filter(F.col("rank") <= target).select("sample_id", "rank", F.lit(True).alias("accepted"), nothing)
     accepted_at, decided_at = scratch_path(spark, "accepted"), scratch_path(spark, "decided")
     last = stored.agg(F.max("rank")).first()[0] or 0
-    tasks = spark.sparkContext.defaultParallelism
-    n_taken, start = 0, 1
+    start = 1
     taken: list[int] = []  # accepted ranks; with a window only its last ones are looked at
-    while start <= last and n_taken < target:
-        here = stored.filter(F.col("rank").between(start, start + block - 1))
-        rows = [(r["rank"], r["y"]) for r in here.select("rank", "y").collect()]
-        blocked_by: dict[int, int] = {}
+    while start <= last and len(taken) < target:
+        stop_at = min(start + block - 1, last)
+        here = stored.filter(F.col("rank").between(start, stop_at))
+        size = stop_at - start + 1
         near: dict[int, list[int]] = {}
-        if n_taken:
+        blocked_by: dict[int, int] = {}
+        compared, n_compared = here, size
+        if taken:
             accepted = spark.read.schema(stored.schema).parquet(accepted_at)
             if window is None:
-                hits = _conflicts(accepted, rows, tau, size, True).groupBy("later").agg(F.min("earlier").alias("earlier"))
+                hits = _near(here, size, accepted, len(taken), tau, width).groupBy("later").agg(F.min("earlier").alias("earlier"))
                 blocked_by = {h["later"]: h["earlier"] for h in hits.collect()}
-            else:  # a block meets at most the last ``window`` of them, each pair as one row
-                recent = accepted.filter(F.col("rank").isin(taken[-window:]))
-                for h in _pairs(recent, rows, tau, size).collect():
-                    near.setdefault(h["later"], []).append(h["earlier"])
-        free = [r for r in rows if r[0] not in blocked_by]
-        own = here.filter(F.col("rank").isin([r[0] for r in free])) if free else here.limit(0)
-        for h in _conflicts(own.repartition(tasks), free, tau, size, False).collect():
-            near.setdefault(h["later"], []).append(h["earlier"])
+                open_ = [r for r in range(start, stop_at + 1) if r not in blocked_by]
+                compared, n_compared = here.filter(F.col("rank").isin(open_)), len(open_)
+            else:
+                recent = taken[-window:]
+                compared = accepted.filter(F.col("rank").isin(recent)).unionByName(here)
+                n_compared += len(recent)
+        if n_compared:
+            for h in _near(here, size, compared, n_compared, tau, width).collect():
+                near.setdefault(h["later"], []).append(h["earlier"])
         chosen: list[int] = []
-        stop_at = start + block - 1
-        for rank in sorted(r[0] for r in free):
-            compared = set(taken if window is None else taken[-window:])
-            in_way = [e for e in near.get(rank, []) if e in compared]
+        for rank in range(start, stop_at + 1):
+            if rank in blocked_by:
+                continue
+            counts = set(chosen if window is None else taken[-window:])
+            in_way = [e for e in near.get(rank, []) if e in counts]
             if in_way:
                 blocked_by[rank] = min(in_way)
                 continue
             chosen.append(rank)
             taken.append(rank)
-            if n_taken + len(chosen) == target:
+            if len(taken) == target:
                 stop_at = rank
                 break
         if chosen:
             here.filter(F.col("rank").isin(chosen)).write.mode("append").parquet(accepted_at)
-        verdict = [(r[0], r[0] in set(chosen), blocked_by.get(r[0])) for r in rows if r[0] <= stop_at]
+        verdict = [(r, r not in blocked_by, blocked_by.get(r)) for r in range(start, stop_at + 1)]
         table = spark.createDataFrame(verdict, "rank bigint, accepted boolean, blocked_by bigint")
         here.select("sample_id", "rank").join(F.broadcast(table), "rank").select(
             "sample_id", "rank", "accepted", "blocked_by"
         ).write.mode("append").parquet(decided_at)
-        n_taken += len(chosen)
         start += block
     schema = f"sample_id {dict(stored.dtypes)['sample_id']}, rank bigint, accepted boolean, blocked_by bigint"
     return spark.read.schema(schema).parquet(decided_at) if last else spark.createDataFrame([], schema)

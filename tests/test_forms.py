@@ -82,6 +82,31 @@ def test_diversity_window(spark, window):
     assert {g["rank"]: g["blocked_by"] for g in got if not g["accepted"]} == blocked
 
 
+def test_diversity_beyond_the_vector_form(spark):
+    """130 zones, tables in tiles of a few rows; no vector leaves the tasks."""
+    rng = np.random.default_rng(2)
+    tables = rng.uniform(0, 1, (12, 130 * 130))
+    tables[7] = tables[2]
+    rows = [(r, r + 1, t.tolist()) for r, t in enumerate(tables)]
+    ranked = spark.createDataFrame(rows, "sample_id int, rank int, y array<double>")
+    for window in (None, 256):
+        got = {g["rank"]: g["blocked_by"] for g in select_diverse(ranked, 130, 20, 5.0, 5, window).collect()}
+        assert got == {r: 3 if r == 8 else None for r in range(1, 13)}
+
+
+def test_block_product_equals_the_join(spark, sf, od):
+    """Compressed blocks against the join: scattered samples, unknown and missing cells, zero flows, no rows."""
+    a = inputs.assignment(spark, sf)
+    odd = [(7, 1, 1, 5.0), (8, None, 2, 1.0), (None, 1, 2, 3.0), (9, 1, 2, 0.0), (9, 40, 40, 1.0), (10, 1, 3, None)]
+    more = od.unionByName(spark.createDataFrame(odd, od.schema))
+    for cells in (od, od.repartition(7, "o", "d"), od.limit(0), more.repartition(3)):
+        rows = cells.filter("sample_id IS NOT NULL AND flow IS NOT NULL")
+        want = A.apply_operator(rows.withColumn("od_index", (F.col("o") - 1) * 25 + F.col("d") - 1), a, "od_index", "turn_id")
+        want = {(r["sample_id"], r["turn_id"]): r["x"] for r in want.collect()}
+        got = {(r["sample_id"], r["turn_id"]): r["x"] for r in A.turning_counts(cells, a, 25).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1e-9 * (1 + abs(want[k])) for k in want)
+
+
 def test_factored_estimators_equal_their_operators(spark, sf, od):
     a = inputs.assignment(spark, sf)
     x = materialise(A.turning_counts(od, a, 25), "x")
