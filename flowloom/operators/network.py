@@ -44,43 +44,60 @@ def _links(edges: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def cheapest_labels(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Best path from each start to each node: ``root, node, cost, nodes, edges``.
+#: Hops of a search, or doublings of a path, that one job takes before it writes.
+HOPS = 4
+
+
+def cheapest_costs(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, node, cost``: cost of the cheapest way from each node to each root, for nodes that reach it.
 
-    ``starts(root, node)``. Ties go to the smaller node list. Each round only
-    extends labels that improved in the round before.
+    ``roots(root, node)``. A hop extends the labels that improved in the hop before; a label is one number, and labels
+    are written every ``HOPS`` hops.
     """
-    no_edges = F.array().cast("array<string>")
-    label = F.struct("cost", "nodes", "edges", "fresh")
-    labels = starts.select(
-        "root", "node", F.lit(0.0).alias("cost"), F.array("node").alias("nodes"), no_edges.alias("edges"), F.lit(True).alias("fresh")
-    )
+    back = links.select(F.col("next").alias("node"), F.col("node").alias("from"), "w")
+    labels = roots.select("root", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"))
     while True:
-        grown = (
-            labels.filter("fresh")
-            .join(links, "node")
-            .filter(~F.array_contains("nodes", F.col("next")))
-            .select(
-                "root",
-                F.col("next").alias("node"),
-                (F.col("cost") + F.col("w")).alias("cost"),
-                F.concat("nodes", F.array("next")).alias("nodes"),
-                F.concat("edges", F.array("edge_id")).alias("edges"),
-                F.lit(True).alias("fresh"),
-            )
-        )
-        best = (
-            labels.withColumn("fresh", F.lit(False))
-            .unionByName(grown)
-            .groupBy("root", "node")
-            .agg(F.min(label).alias("b"))
-            .select("root", "node", "b.*")
-        )
-        labels = materialise(best, "labels")
+        for _ in range(HOPS):
+            grown = labels.filter("fresh").join(back, "node").select("root", F.col("from").alias("node"), (F.col("w") + F.col("cost")).alias("cost"), F.lit(True).alias("fresh"))
+            best = labels.withColumn("fresh", F.lit(False)).unionByName(grown).groupBy("root", "node")
+            labels = best.agg(F.min(F.struct("cost", "fresh")).alias("b")).select("root", "node", "b.*")
+        labels = materialise(labels, "costs")
         if labels.filter("fresh").isEmpty():
             return labels.drop("fresh")
 
 
+def cheapest_paths(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, node, cost, nodes, edges``: the cheapest way from each node to each root, arrays from the node on.
+
+    Of equally cheap ways the one with the smaller node list. Each node first gets its next node, which is the smallest
+    on a cheapest way; then paths grow by the path of their last node, so their length doubles with each join. Weights
+    must be positive.
+    """
+    if not links.filter("w <= 0 OR w IS NULL").isEmpty():
+        raise ValueError("edge weights must be positive")
+    costs = cheapest_costs(links, roots)
+    onward = costs.select("root", F.col("node").alias("next"), F.col("cost").alias("rest"))
+    steps = costs.join(links, "node").join(onward, ["root", "next"]).filter(F.col("cost") == F.col("w") + F.col("rest"))
+    steps = steps.groupBy("root", "node").agg(F.min(F.struct("next", "edge_id")).alias("s"))
+    at_root = roots.select("root", "node", F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.lit(True).alias("done"))
+    first = steps.join(roots, ["root", "node"], "left_anti").select(
+        "root", "node", F.array("node", "s.next").alias("nodes"), F.array("s.edge_id").alias("edges"), F.lit(False).alias("done")
+    )
+    paths = materialise(at_root.unionByName(first), "steps")
+    while not paths.filter("NOT done").isEmpty():
+        for _ in range(HOPS):
+            tail = paths.select("root", F.col("node").alias("end"), F.col("nodes").alias("more"), F.col("edges").alias("more_edges"), F.col("done").alias("there"))
+            paths = paths.withColumn("end", F.element_at("nodes", -1)).join(tail, ["root", "end"]).select(
+                "root",
+                "node",
+                F.concat("nodes", F.slice("more", F.lit(2), F.size("more"))).alias("nodes"),
+                F.concat("edges", "more_edges").alias("edges"),
+                (F.col("done") | F.col("there")).alias("done"),
+            )
+        paths = materialise(paths, "paths")
+    return costs.join(paths.drop("done"), ["root", "node"])
+
+
 def _zone_nodes(pairs: DataFrame, column: str) -> DataFrame:
     return pairs.select(F.col(column).alias("root")).distinct().withColumn("node", F.concat(F.lit("J"), "root"))
 
@@ -91,13 +108,13 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, metric: str = "length") -
     A diagonal pair gets empty arrays and cost 0; an unreachable one NULL cost
     and empty arrays.
     """
-    labels = cheapest_labels(_links(edges, metric), _zone_nodes(pairs, "o"))
-    found = labels.select(F.col("root").alias("o"), F.col("node").alias("target"), "cost", "nodes", "edges")
+    labels = cheapest_paths(materialise(_links(edges, metric), "links"), _zone_nodes(pairs, "d"))
+    found = labels.select(F.col("root").alias("d"), F.col("node").alias("start"), "cost", "nodes", "edges")
     same = F.col("o") == F.col("d")
     empty = F.array().cast("array<string>")
     return (
-        pairs.select("o", "d", F.concat(F.lit("J"), "d").alias("target"))
-        .join(found, ["o", "target"], "left")
+        pairs.select("o", "d", F.concat(F.lit("J"), "o").alias("start"))
+        .join(found, ["d", "start"], "left")
         .select(
             "o",
             "d",
@@ -120,10 +137,6 @@ def path_turns(routes: DataFrame, keys: list) -> DataFrame:
     )
 
 
-#: Steps of the path search that one job takes.
-HOPS = 4
-
-
 def _paths_within(links: DataFrame, to_go: DataFrame, budgets: DataFrame) -> DataFrame:
     """All simple paths of each pair that cost no more than its budget.
 
@@ -207,14 +220,9 @@ def k_shortest_paths(
     k = k if path_limit is None else min(k, path_limit)
     links = materialise(_links(edges, metric), "links")
     limits = links.agg(F.avg("w").alias("mean"), F.sum("w").alias("all")).first()
-    reverse = links.select(F.col("next").alias("node"), F.col("node").alias("next"), "edge_id", "w")
     wanted = pairs.select("o", "d").filter(F.col("o") != F.col("d")).distinct()
-    labels = materialise(
-        cheapest_labels(reverse, _zone_nodes(wanted, "d")).select(
-            F.col("root").alias("d"), "node", F.col("cost").alias("rest"), F.reverse("nodes").alias("path")
-        ),
-        "togo",
-    )
+    labels = cheapest_paths(links, _zone_nodes(wanted, "d"))
+    labels = materialise(labels.select(F.col("root").alias("d"), "node", F.col("cost").alias("rest"), F.col("nodes").alias("path")), "togo")
     to_go = labels.drop("path")
     start = to_go.withColumn("o", F.expr("try_cast(substring(node, 2) AS int)")).select("o", "d", "rest")
     bounds = _kth_bounds(links, labels, wanted, k)
