@@ -4,7 +4,8 @@ The operator is a COO table (``turn_id, od_index, weight``). Only matrices of
 turns by turns reach the driver, after a size check; everything with one row
 per OD cell stays a table. Estimators are applied in factors: a turn-by-turn
 kernel meets each sample's packed counts in one batch product, and one sparse
-product with the transposed operator leads back to cells. The dense operator of
+product with the transposed operator leads back to cells; for more turns than
+the kernel may have, conjugate gradients need the operator's entries alone. The dense operator of
 cells by turns is formed only where it is the result (``pseudo_inverse``,
 ``tikhonov_operator``).
 """
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import is_small
 from .assignment import apply_operator
 from .reshape import pack
 from .vectors import MAX_OPERATOR_CELLS, map_batches, to_lists, to_matrix
 
+#: Entries of an operator that are shipped to every task for conjugate gradients (24 bytes each).
+ENTRIES = 4_000_000
+
 
 def _check_square(n: int) -> None:
     if n * n > MAX_OPERATOR_CELLS:
@@ -165,8 +170,98 @@ def _back(counts: DataFrame, assignment: DataFrame, kernels: list[np.ndarray], n
     return apply_operator(long, assignment, "turn_id", "od_index", "z", "y", by)
 
 
+class _Sparse:
+    """A COO operator as two sorted lists of entries, for products with many vectors at once."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray):
+        self.rows, i = np.unique(rows, return_inverse=True)
+        self.cols, j = np.unique(cols, return_inverse=True)
+        self.by_row, self.by_col = (self._sorted(a, b, weight) for a, b in ((i, j), (j, i)))
+
+    @staticmethod
+    def _sorted(to: np.ndarray, of: np.ndarray, weight: np.ndarray) -> tuple:
+        order = np.argsort(to, kind="stable")
+        return np.searchsorted(to[order], np.arange(to.max() + 1)), of[order], weight[order]
+
+    @staticmethod
+    def _product(v: np.ndarray, parts: tuple) -> np.ndarray:
+        starts, of, weight = parts
+        return np.add.reduceat(v[:, of] * weight, starts, axis=1)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """Rows of vectors over ``cols`` to vectors over ``rows``."""
+        return self._product(v, self.by_row)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return self._product(v, self.by_col)
+
+
+def _solve(a: _Sparse, x: np.ndarray, lam: float, tol: float, rounds: int) -> np.ndarray:
+    """(A A^T + lam I) z = x for each row of ``x`` by conjugate gradients, all rows in step."""
+    z, r = np.zeros_like(x), x.copy()
+    p, size = r.copy(), (r * r).sum(axis=1)
+    goal = tol * tol * size
+    for _ in range(rounds):
+        if (size <= goal).all():
+            return z
+        q = a.times(a.back(p)) + lam * p
+        curved = (p * q).sum(axis=1)
+        step = np.divide(size, curved, out=np.zeros_like(size), where=curved > 0)[:, None]
+        z += step * p
+        r -= step * q
+        now = (r * r).sum(axis=1)
+        p = r + np.divide(now, size, out=np.zeros_like(size), where=size > 0)[:, None] * p
+        size = now
+    raise RuntimeError(f"conjugate gradients did not reach {tol} in {rounds} rounds")
+
+
+def conjugate_estimate(
+    counts: DataFrame, assignment: DataFrame, lam: float, by: tuple = ("sample_id",), tol: float = 1e-11, rounds: int = 20_000
+) -> DataFrame:
+    """``by..., od_index, y``: the Tikhonov solution of each sample by conjugate gradients, without any square matrix.
+
+    A sample's counts come as one row and are solved in the task they are in, some at a time so that their products
+    with the entries stay within ``MAX_OPERATOR_CELLS`` / 4. The operator is shipped entry by entry, at most ``ENTRIES``
+    of them, whatever the number of turns or cells.
+    """
+    if lam <= 0:
+        raise ValueError("lambda must be positive")
+    if not is_small(assignment, ENTRIES):
+        raise ValueError(f"operator of more than {ENTRIES} entries is too large to ship")
+    entries = assignment.select("turn_id", "od_index", "weight").toPandas()
+    a = _Sparse(entries["turn_id"].to_numpy(), entries["od_index"].to_numpy(), entries["weight"].to_numpy(np.float64)) if len(entries) else None
+    at_once = max(1, MAX_OPERATOR_CELLS // 4 // max(1, len(entries)))
+    listed = counts.groupBy(*by).agg(F.collect_list(F.struct("turn_id", "x")).alias("c"))
+    listed = listed.select(F.struct(*by).alias("key"), F.col("c.turn_id").cast("array<long>").alias("turns"), F.col("c.x").cast("array<double>").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows if a else 0, at_once):
+                batch = whole.slice(i, at_once)
+                row = np.repeat(np.arange(batch.num_rows), batch["turns"].value_lengths().to_numpy(zero_copy_only=False))
+                turns, values = batch["turns"].flatten().to_numpy(), batch["x"].flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(a.rows, turns), len(a.rows) - 1)
+                known = a.rows[at] == turns  # a turn that the operator doesn't have changes no cell
+                x = np.zeros((batch.num_rows, len(a.rows)))
+                np.add.at(x, (row[known], at[known]), values[known])
+                y = a.back(_solve(a, x, lam, tol, rounds))
+                cells = pa.array(np.tile(a.cols.astype(np.int32), len(y)))
+                ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * len(a.cols))
+                lists = [pa.ListArray.from_arrays(ends, v) for v in (cells, pa.array(y.reshape(-1)))]
+                yield pa.RecordBatch.from_arrays([batch["key"], *lists], ["key", "od_index", "y"])
+
+    kind = listed.schema["key"].dataType.simpleString()
+    solved = listed.mapInArrow(run, f"key {kind}, od_index array<int>, y array<double>")
+    return solved.select("key.*", F.inline(F.arrays_zip("od_index", "y"))).filter("y != 0")
+
+
 def tikhonov_estimate(counts: DataFrame, assignment: DataFrame, n_turns: int, lam: float, by: tuple = ("sample_id",)) -> DataFrame:
-    """``by..., od_index, y``: the Tikhonov solution of each sample, without forming its operator."""
+    """``by..., od_index, y``: the Tikhonov solution of each sample, without forming its operator.
+
+    By a kernel of turns by turns while the driver can hold it, by conjugate gradients beyond.
+    """
+    if n_turns * n_turns > MAX_OPERATOR_CELLS:
+        return conjugate_estimate(counts, assignment, lam, by)
     return _back(counts, assignment, [_tikhonov_kernel(assignment, n_turns, lam)], n_turns, by)
 
 

@@ -119,6 +119,38 @@ def test_factored_estimators_equal_their_operators(spark, sf, od):
         assert worst[0] < 1e-4 * worst[1] and worst[2] > 0
 
 
+def test_conjugate_gradients_equal_the_factored_form(spark, sf, od):
+    a = inputs.assignment(spark, sf)
+    x = materialise(A.turning_counts(od, a, 25), "x").filter("sample_id < 9")
+    gap = L.conjugate_estimate(x, a, 0.5).withColumnRenamed("y", "a").join(L.tikhonov_estimate(x, a, 188, 0.5), ["sample_id", "od_index"], "full")
+    worst = gap.agg(F.max(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))), F.max(F.abs("y")), F.count("*")).first()
+    assert worst[0] < 1e-6 * worst[1] and worst[2] > 0
+    none = L.conjugate_estimate(x, a.limit(0), 0.5)
+    assert none.collect() == [] and L.conjugate_estimate(x.limit(0), a, 0.5).collect() == []
+
+
+def test_tikhonov_beyond_square_kernels(spark):
+    """10 000 turns: the normal equations hold, and a refinement by the counts is no longer refused."""
+    rng = np.random.default_rng(8)
+    entries = {(int(t), int(c)): float(rng.uniform(0.1, 1)) for c in range(12_000) for t in rng.integers(0, 10_000, 3)}
+    a = spark.createDataFrame([(t, c, w) for (t, c), w in entries.items()], "turn_id int, od_index int, weight double")
+    x = spark.createDataFrame([(s, t, float(rng.uniform(0, 9))) for s in (1, 2) for t in range(0, 10_010, 3)], "sample_id int, turn_id int, x double")
+    y = materialise(L.tikhonov_estimate(x, a, 10_000, 0.7), "y")
+    known = x.filter("turn_id < 10000")
+    assert L.normal_equation_residual(y, known, a, 0.7).agg(F.max("residual")).first()[0] < 1e-6
+    assert L.physics_refine(y, known, a, 10_000, 0.3).count() >= y.count()
+
+
+def test_long_path_by_doubling(spark):
+    """A chain longer than several doublings of one job, and its ties by node name."""
+    links = [(f"J{i}", f"J{i + 1}", f"e{i}", 1.0) for i in range(1, 40)] + [("J1", "JA", "x", 0.5), ("JA", "J3", "y", 1.5)]
+    df = spark.createDataFrame(links, "node string, next string, edge_id string, w double")
+    got = N.cheapest_paths(df, spark.createDataFrame([(40, "J40")], "root int, node string")).filter("node = 'J1'").first()
+    assert got["cost"] == 39.0 and got["nodes"] == [f"J{i}" for i in range(1, 41)] and got["edges"] == [f"e{i}" for i in range(1, 40)]
+    with pytest.raises(ValueError, match="positive"):
+        N.cheapest_paths(df.withColumn("w", F.lit(0.0)), spark.createDataFrame([(40, "J40")], "root int, node string"))
+
+
 def test_sample_within_groups(spark):
     ids = spark.range(300).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("split"))
     got = sample_within(ids, 40, "split", "sample_id", 3).groupBy("split").count().collect()
