@@ -26,8 +26,12 @@ def overlaps(splits: DataFrame) -> DataFrame:
     return splits.groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def leakage_report(splits: DataFrame, survey_id: int, fingerprint: str | None = None) -> DataFrame:
-    """Split sizes, disjointness, and that the survey is in none of them (else the job fails)."""
+def leakage_report(splits: DataFrame, survey_id: int, fingerprint: str | None = None, forward: DataFrame | None = None) -> DataFrame:
+    """Split sizes, disjointness, and that the survey is in none of them (else the job fails).
+
+    ``fingerprint`` names the operator; ``forward`` is the one row of ``forward_check``, of which the samples checked,
+    the largest error and the verdict are reported.
+    """
     size = lambda s: F.count_if(F.col("split") == s).alias(f"n_{s}")
     inside = F.count_if(F.col("sample_id") == survey_id) > 0
     checked = F.when(inside, F.raise_error(F.lit("survey sample found in a development split")).cast("boolean")).otherwise(True)
@@ -39,6 +43,7 @@ def leakage_report(splits: DataFrame, survey_id: int, fingerprint: str | None =
         F.lit(survey_id).alias("survey_id"),
         checked.alias("survey_excluded"),
         F.lit(fingerprint).cast("string").alias("operator_sha256"),
+        *(forward.select(c).scalar().alias(f"forward_{c}") for c in ("n_checked", "max_abs_err", "allclose") if forward is not None),
     )
 
 

@@ -280,26 +280,40 @@ def _(spark, sf):
     return I.overlaps(splits(spark, sf))
 
 
+def _digest_sql(columns: str, table: str) -> str:
+    level = f"SELECT sha256(concat_ws('|', {columns})) AS h, 1 AS n FROM {table}"
+    for digits in (6, 4, 2, 0):
+        level = f"""SELECT concat(p, sha256(string_agg(h, '' ORDER BY h))) AS h, sum(n) AS n
+        FROM (SELECT substr(h, 1, {digits}) AS p, h, n FROM ({level})) GROUP BY p"""
+    return f"SELECT CAST(n AS BIGINT) AS rows, h AS sha256 FROM ({level})"
+
+
+#: counts of a third of the turns shifted, so that the forward check has something to find
+_CHECKED = "SELECT sample_id, x, x + 0.25 * (turn_id % 3) AS y FROM counts WHERE sample_id < 32"
+
+
 @query(
     "i3_leakage_report",
     f"""SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test,
-    TRUE AS splits_disjoint, CAST(100000 AS INT) AS survey_id, TRUE AS survey_excluded, CAST(NULL AS VARCHAR) AS operator_sha256 FROM splits""",
-    ["samples"],
-    extra=[SPLITS],
+    count(*) = count(DISTINCT sample_id) AS splits_disjoint, CAST(100000 AS INT) AS survey_id,
+    count(*) FILTER (sample_id = 100000) = 0 AS survey_excluded,
+    (SELECT sha256 FROM ({_digest_sql("turn_id, od_index, CAST(round(weight * 1000000) AS BIGINT)", "assignment")})) AS operator_sha256,
+    (SELECT count(DISTINCT sample_id) FROM ({_CHECKED})) AS forward_n_checked,
+    (SELECT max(abs(x - y)) FROM ({_CHECKED})) AS forward_max_abs_err,
+    (SELECT bool_and(abs(x - y) <= 1e-2 + 1e-3 * abs(x)) FROM ({_CHECKED})) AS forward_allclose FROM splits""",
+    ["samples", "counts"],
+    "forward_max_abs_err",
+    [SPLITS],
 )
 def _(spark, sf):
-    return I.leakage_report(splits(spark, sf), 100_000)
-
-
-def _digest_sql() -> str:
-    level = "SELECT sha256(concat_ws('|', sample_id, o, d, CAST(flow AS BIGINT))) AS h, 1 AS n FROM od_batch"
-    for digits in (6, 4, 2, 0):
-        level = f"""SELECT concat(p, sha256(string_agg(h, '' ORDER BY h))) AS h, sum(n) AS n
-        FROM (SELECT substr(h, 1, {digits}) AS p, h, n FROM ({level})) GROUP BY p"""
-    return f"SELECT CAST(n AS BIGINT) AS rows, h AS sha256 FROM ({level})"
+    operator, n = inputs.assignment(spark, sf), inputs.n_zones(spark, sf)
+    entries = I.table_fingerprint(operator, ["turn_id", "od_index", F.round(F.col("weight") * 1_000_000).cast("bigint")])
+    shifted = inputs.counts(spark, sf).withColumn("x", F.col("x") + F.lit(0.25) * (F.col("turn_id") % 3))
+    forward = A.forward_check(od(spark, sf), shifted, operator, n)
+    return I.leakage_report(splits(spark, sf), 100_000, entries.first()["sha256"], forward)
 
 
-@query("i5_table_fingerprint", _digest_sql(), ["od_batch"])
+@query("i5_table_fingerprint", _digest_sql("sample_id, o, d, CAST(flow AS BIGINT)", "od_batch"), ["od_batch"])
 def _(spark, sf):
     return I.table_fingerprint(od(spark, sf), ["sample_id", "o", "d", F.col("flow").cast("bigint")])
 

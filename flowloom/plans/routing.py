@@ -175,14 +175,15 @@ def _(spark, sf):
 
 @query(
     "a15_dataset_consistency",
-    """SELECT CAST(0 AS DOUBLE) AS max_reconstruction_error, count(*) > 0 AS matrix_mult_consistent FROM counts""",
+    """SELECT max(abs(x - y)) AS max_reconstruction_error, max(abs(x - y)) <= 1e-6 AS matrix_mult_consistent
+    FROM (SELECT x, CASE WHEN turn_id % 3 = 1 THEN x * 1.001::DOUBLE ELSE x END AS y FROM counts)""",
     ["counts"],
     "max_reconstruction_error",
 )
 def _(spark, sf):
-    return A.validate_counts(
-        fx.od_batch(spark, sf), inputs.counts(spark, sf), inputs.assignment(spark, sf), inputs.n_zones(spark, sf)
-    )
+    """Counts of a third of the turns are a thousandth too high, which the check must find to its size."""
+    wrong = inputs.counts(spark, sf).withColumn("x", F.when(F.col("turn_id") % 3 == 1, F.col("x") * 1.001).otherwise(F.col("x")))
+    return A.validate_counts(inputs.od(spark, sf), wrong, inputs.assignment(spark, sf), inputs.n_zones(spark, sf))
 
 
 @query(
