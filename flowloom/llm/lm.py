@@ -289,8 +289,9 @@ def _events(total_fit: int):
 def learn_weights(code: np.ndarray, n: np.ndarray, types: int, rounds: int = ROUNDS) -> np.ndarray:
     """EM for the weights (bigram, unigram, uniform) of each context bucket, from counted held-out events.
 
-    A bucket without events, or whose contexts are unseen, gives the bigram no weight. One event's worth of the
-    uniform estimate is added to each bucket, so no text has probability zero.
+    The bucket of unseen contexts gives the bigram no weight. A bucket without events, such as that of contexts which
+    only pass a power of two in the counts of all training documents, takes the weights of the nearest lower one that
+    has events. One event's worth of the uniform estimate is added to each bucket, so no text has probability zero.
     """
     bucket, bins = code // BINS**2, (code // BINS % BINS, code % BINS)
     p = np.stack([np.where(b > 0, 2.0 ** (-(b - 0.5) / 4), 0.0) for b in bins] + [np.full(len(code), 1 / (types + 1))], axis=1)
@@ -301,6 +302,10 @@ def learn_weights(code: np.ndarray, n: np.ndarray, types: int, rounds: int = ROU
         sums = np.stack([np.bincount(bucket, part[:, k], BUCKETS) for k in range(3)], axis=1).astype(float)
         sums += np.array([0.0, float(types > 0), 1.0])
         weights = sums / sums.sum(axis=1, keepdims=True)
+    seen = np.bincount(bucket, n, BUCKETS) > 0
+    for b in range(2, BUCKETS):
+        if not seen[b]:
+            weights[b] = weights[b - 1]
     return weights
 
 

@@ -32,7 +32,8 @@ CONTEXT = 24
 # possessive where no shorter repeat can match, and matches start only where the leftmost one can, so that long runs
 # cost linear time and no deep recursion.
 _LOCAL = r"[A-Za-z0-9._%+-]"
-_START = r"(?:(?<![A-Za-z0-9._%+-])|(?<=[A-Za-z0-9-])(?=[._%+]))"
+#: A local part starts where none is under way, or where the match before ended.
+_START = r"(?:(?<![A-Za-z0-9._%+-])|\G)"
 GENERATORS = (
     ("email", r"@", _START + _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from fixtures import RAW, documents
+from pyspark.sql import functions as F
 
 from flowloom.llm import language, lm, pii, quality
 from flowloom.llm.queries import QUERIES
@@ -281,6 +282,28 @@ def test_mixture_against_dictionaries(spark, sf, monkeypatch, words):
         assert abs(got[i] - s) < 1e-6 * max(1, -s)
 
 
+def test_weights_of_buckets_without_events():
+    """A context that is counted over a power of two only in all training documents keeps its bigram."""
+    good, poor = 3, 40  # bins of the bigram's and the unigram's probability
+    code = np.array([(b * lm.BINS + good) * lm.BINS + poor for b in (4, 9)] + [poor])
+    w = lm.learn_weights(code, np.array([900, 500, 100]), 1000)
+    assert w[4, 0] > 0.9 and w[9, 0] > 0.9 and w[0, 0] < 0.01
+    assert (w[5] == w[4]).all() and (w[8] == w[4]).all() and (w[lm.BUCKETS - 1] == w[9]).all()
+    assert np.allclose(w.sum(axis=1), 1) and (w[:, 2] > 0).all()
+
+
+def test_long_runs_cost_linear_time(spark):
+    """A page of a.a.a. before a blank must not stall a task; what follows it is still found."""
+    import time
+
+    text = "a." * 200_000 + " x@ b@c.de.f%g@h.i and then a." + "1." * 1000 + "@k.l"
+    df = spark.createDataFrame([(1, text), (2, "q@r.st")], "doc_id long, text string")
+    begun = time.perf_counter()
+    found = df.select(F.size(pii._candidates(F.col("text"))).alias("n"), "doc_id").collect()
+    assert {r["doc_id"]: r["n"] for r in found}[2] == 1 and max(r["n"] for r in found) >= 3
+    assert time.perf_counter() - begun < 30  # session start and code generation included; quadratic time takes an hour
+
+
 def test_lm_messy(messy, empty, spark):
     got = lm.lm_scores(messy).collect()
     assert len(got) == len(RAW)
