@@ -7,10 +7,11 @@ Means and deviations use sums over stored rows and the known sample count.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from ..session import join_small, materialise
 from .gram import gram_matrix
 from .reshape import od_index, pack
 from .sampling import row_numbers, sample_features, sample_pairs, sample_rows
+from .vectors import to_lists, to_matrix
 
 
 def _moments(value: str, n: Column) -> tuple[Column, Column]:
@@ -178,15 +180,129 @@ def components_for(variance: DataFrame, share: float = 0.90) -> DataFrame:
     return variance.agg((F.count_if(F.col("cumulative") < share) + 1).cast("int").alias("n_components"))
 
 
+def _cluster_starts(ready: DataFrame, width: int, most: int, starts: int, seed: int) -> np.ndarray:
+    """First centres of every start, ``starts x most x width``: each next one is drawn with a chance that grows with
+    the squared distance to the nearest centre so far. A smaller K takes the first ones of the same draw.
+
+    A draw is the smallest of ``-log(u) / weight`` over all rows, with ``u`` hashed from the row's id, so each task
+    offers one row for each start and the driver takes the best.
+    """
+    centres = np.zeros((starts, 0, width))
+    for turn in range(most):
+        label = f"{seed}|start|{turn}|"
+
+        def offer(batches: Iterator[pa.RecordBatch], centres=centres, label=label) -> Iterator[pa.RecordBatch]:
+            best = [(np.inf, "", None)] * starts
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, ids = to_matrix(batch.column("v"), width), batch.column("id").to_pylist()
+                for s in range(starts):
+                    weight = _squared(x, centres[s]).min(axis=1) if centres.shape[1] else np.ones(len(x))
+                    u = np.array([int(md5(f"{label}{s}|{i}".encode()).hexdigest()[:13], 16) + 0.5 for i in ids]) / 2.0**52
+                    key = np.full(len(x), np.inf)
+                    np.divide(-np.log(u), weight, out=key, where=weight > 0)
+                    at = min(np.flatnonzero(key == key.min()), key=lambda r: ids[r])
+                    best[s] = min(best[s], (float(key[at]), ids[at], x[at]), key=lambda t: t[:2])
+            found = [(s, k, i, v) for s, (k, i, v) in enumerate(best) if v is not None]
+            if found:
+                columns = [list(c) for c in zip(*found)]
+                columns[3] = [v.tolist() for v in columns[3]]
+                yield pa.RecordBatch.from_pydict(dict(zip(("s", "key", "id", "v"), map(pa.array, columns))))
+
+        offers = ready.mapInArrow(offer, "s bigint, key double, id string, v array<double>")
+        won = offers.groupBy("s").agg(F.min_by("v", F.struct("key", "id")).alias("v")).orderBy("s").collect()
+        centres = np.concatenate([centres, np.array([r["v"] for r in won])[:, None, :]], axis=1)
+    return centres
+
+
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    far = (x * x).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres * centres).sum(axis=1)
+    return np.maximum(far, 0.0)
+
+
+def _cluster_round(ready: DataFrame, width: int, runs: list[np.ndarray]) -> DataFrame:
+    """``run, cluster, n, cost, total``: members, inertia and sum of every cluster of every run, by one scan.
+
+    A task adds up all its rows before it sends one line for each cluster.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(c), dtype=np.int64) for c in runs]
+        cost = [np.zeros(len(c)) for c in runs]
+        total = [np.zeros_like(c) for c in runs]
+        for batch in batches:
+            x = to_matrix(batch.column("v"), width)
+            for r, centres in enumerate(runs):
+                far = _squared(x, centres)
+                near = far.argmin(axis=1)
+                member = near[None, :] == np.arange(len(centres))[:, None]
+                n[r] += member.sum(axis=1)
+                cost[r] += np.bincount(near, ((x - centres[near]) ** 2).sum(axis=1), len(centres))
+                total[r] += member.astype(np.float64) @ x
+        for r, centres in enumerate(runs):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "run": pa.array(np.full(len(centres), r)),
+                    "cluster": pa.array(np.arange(len(centres))),
+                    "n": pa.array(n[r]),
+                    "cost": pa.array(cost[r]),
+                    "total": to_lists(total[r]),
+                }
+            )
+
+    lines = ready.mapInArrow(local, "run bigint, cluster bigint, n bigint, cost double, total array<double>")
+    each = lines.select("run", "cluster", "n", "cost", F.posexplode("total").alias("at", "part"))
+    by_entry = each.groupBy("run", "cluster", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("part").alias("part"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda t: t["part"])
+    return by_entry.groupBy("run", "cluster").agg(F.max("n").alias("n"), F.max("cost").alias("cost"), listed.alias("total"))
+
+
+def cluster_runs(
+    vectors: DataFrame, column: str, ks: tuple = (2, 5, 10), starts: int = 10, seed: int = 42,
+    key: str = "sample_id", max_iter: int = 100, tol: float = 1e-4,
+) -> tuple[DataFrame, list[np.ndarray]]:
+    """``k, start, inertia, iterations`` of every run, and their centres.
+
+    All runs advance together: a round is one scan for all of them, and the driver sees their centres alone, which the
+    parameters bound. A run stops when its centres move by less than ``tol`` times the mean variance of the entries; an
+    empty cluster keeps its centre. Vectors have one length; rows with a null vector are left out. With no rows there
+    are no runs.
+    """
+    ready = vectors.filter(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(column).alias("v"))
+    ready = materialise(ready, "vectors")
+    spark, schema = vectors.sparkSession, "k int, start int, inertia double, iterations int"
+    head = ready.head()
+    if head is None:
+        return spark.createDataFrame([], schema), []
+    width = len(head["v"])
+    first = _cluster_starts(ready, width, max(ks), starts, seed)
+    names = [(k, s) for k in ks for s in range(starts)]
+    runs = [first[s][:k].copy() for k, s in names]
+    spread = ready.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.var_pop("x").alias("s"))
+    bound = tol * (spread.agg(F.avg("s")).first()[0] or 0.0)
+    iterations, live = [0] * len(runs), list(range(len(runs)))
+    for _ in range(max_iter):
+        moved = [np.zeros(1)] * len(runs)
+        for line in _cluster_round(ready, width, [runs[r] for r in live]).collect():
+            if line["n"]:
+                r, c = live[line["run"]], line["cluster"]
+                centre = np.array(line["total"]) / line["n"]
+                moved[r] = moved[r] + ((centre - runs[r][c]) ** 2).sum()
+                runs[r][c] = centre
+        for r in live:
+            iterations[r] += 1
+        live = [r for r in live if moved[r][0] > bound]
+        if not live:
+            break
+    cost = _cluster_round(ready, width, runs).groupBy("run").agg(F.sum("cost").alias("cost")).orderBy("run").collect()
+    rows = [(k, s, float(line["cost"]), i) for (k, s), line, i in zip(names, cost, iterations)]
+    return spark.createDataFrame(rows, schema), runs
+
+
 def cluster_inertia(vectors: DataFrame, column: str, ks: tuple = (2, 5, 10), starts: int = 10, seed: int = 42) -> DataFrame:
-    """``k, inertia``: best of several seeded K-means runs."""
-    ready = vectors.select(array_to_vector(column).alias("features")).cache()
-    rows = []
-    for k in ks:
-        costs = [KMeans(k=k, seed=seed + s).fit(ready).summary.trainingCost for s in range(starts)]
-        rows.append((k, float(min(costs))))
-    ready.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
+    """``k, inertia``: the best of several seeded runs for each K."""
+    return cluster_runs(vectors, column, ks, starts, seed)[0].groupBy("k").agg(F.min("inertia").alias("inertia"))
 
 
 def cell_variation(cells: DataFrame, n_samples: int, n_cells: int) -> DataFrame:

@@ -62,12 +62,53 @@ def _(spark, sf):
     return RK.raking_history(raked)
 
 
-@query("p1_rake_to_convergence")
+def to_convergence_sql(start: str, limit: int = 1000) -> list[str]:
+    """CTEs ``raking`` and ``raked``: every sample of ``start(sample_id, o, d, flow, tr, tc)`` until it is within 1e-3."""
+    return [
+        f"""raking AS (SELECT sample_id, o, d, tr, tc, flow, 0 AS iterations, 'inf'::DOUBLE AS final_error FROM {start}
+        UNION ALL SELECT sample_id, o, d, tr, tc, flow, iterations + 1, max(greatest(abs(rs - tr), abs(cs - tc))) OVER (PARTITION BY sample_id) FROM (
+          SELECT *, sum(flow) OVER (PARTITION BY sample_id, o) AS rs, sum(flow) OVER (PARTITION BY sample_id, d) AS cs FROM (
+            SELECT * REPLACE (CASE WHEN s2 > 0 THEN flow * tc / s2 ELSE flow END AS flow) FROM (
+              SELECT *, sum(flow) OVER (PARTITION BY sample_id, d) AS s2 FROM (
+                SELECT * REPLACE (CASE WHEN s1 > 0 THEN flow * tr / s1 ELSE flow END AS flow) FROM (
+                  SELECT *, sum(flow) OVER (PARTITION BY sample_id, o) AS s1 FROM raking WHERE final_error >= 1e-3 AND iterations < {limit}))))))""",
+        f"raked AS (SELECT * FROM raking WHERE iterations > 0 AND (final_error < 1e-3 OR iterations = {limit}))",
+    ]
+
+
+LIFTED = """lifted AS (SELECT f.sample_id, f.o, f.d, f.flow + 1 AS flow, coalesce(r.t, 0) AS tr, coalesce(c.t, 0) AS tc FROM dense f
+LEFT JOIN rowt r ON r.sample_id = f.sample_id AND r.o = f.o LEFT JOIN colt c ON c.sample_id = f.sample_id AND c.d = f.d WHERE f.o <> f.d)"""
+
+
+def _lifted(spark, sf):
+    """Every month with its seed floored, so that the targets can be met."""
+    cells = densify(fx.od_batch(spark, sf), inputs.n_zones(spark, sf)).filter(F.col("o") != F.col("d"))
+    return cells.withColumn("flow", F.col("flow") + 1.0)
+
+
+@query(
+    "p1_rake_factors",
+    "SELECT sample_id, o, d, flow, iterations FROM raked",
+    ["od_batch", "dense"],
+    {"flow": 4},
+    [SEEDED, LIFTED, *to_convergence_sql("lifted")],
+)
+def _(spark, sf):
+    """The form in factors with the tolerance and limit it ships with."""
+    flows, _errors = RK.rake_factors(_lifted(spark, sf), *_targets(spark, sf))
+    return flows.select("sample_id", "o", "d", "flow", "iterations")
+
+
+@query(
+    "p1_rake_to_convergence",
+    "SELECT DISTINCT sample_id, iterations, final_error, final_error < 1e-3 AS converged FROM raked",
+    ["od_batch", "dense"],
+    {"final_error": 6},
+    [SEEDED, LIFTED, *to_convergence_sql("lifted")],
+)
 def _(spark, sf):
-    """Vector form on every month, seeds floored so that targets can be met."""
+    """Vector form on every month."""
     n = inputs.n_zones(spark, sf)
-    cells = densify(fx.od_batch(spark, sf), n)
-    lifted = cells.withColumn("flow", F.when(F.col("o") != F.col("d"), F.col("flow") + 1.0).otherwise(0.0))
     zone = F.sequence(F.lit(1), F.lit(n))
 
     def packed(df, key):
@@ -78,7 +119,7 @@ def _(spark, sf):
 
     rows, cols = _targets(spark, sf)
     ready = (
-        flatten(lifted, n)
+        flatten(_lifted(spark, sf), n)
         .join(packed(rows, "o").withColumnRenamed("a", "row_target"), "sample_id")
         .join(packed(cols, "d").withColumnRenamed("a", "col_target"), "sample_id")
     )
@@ -167,11 +208,26 @@ def _(spark, sf):
     return made.select("sample_id", "o", "d", "flow")
 
 
+@query(
+    "n4_generate_converged",
+    "SELECT sample_id, o, d, flow, iterations FROM raked",
+    ["base_od", "dist"],
+    {"flow": 3},
+    [BASE_SEED, *to_convergence_sql("scen")],
+)
+def _(spark, sf):
+    """The long form with the tolerance and limit it ships with."""
+    base = inputs.base(spark, sf)
+    p = SP.base_probability(base, dist(spark, sf))
+    made = SC.generate_from_base_cells(base, p, N_CELLS, family="md5")
+    return made.select("sample_id", "o", "d", "flow", "iterations")
+
+
 @query("n5_generate_cells")
 def _(spark, sf):
     base = inputs.base(spark, sf)
     total = base.agg(F.sum("flow")).first()[0]
-    made = SC.generate_first_principles_cells(fx.zones(spark, sf), inputs.n_zones(spark, sf), N_CELLS, total, max_iter=20)
+    made = SC.generate_first_principles_cells(fx.zones(spark, sf), inputs.n_zones(spark, sf), N_CELLS, total)
     return made.select("sample_id", "o", "d", "flow", "iterations", "final_error", "converged")
 
 

@@ -74,6 +74,23 @@ def test_window_form_equals_plain_ipf(spark, problem, colocate, chunk):
     assert got[0][3] and not got[3][3]
 
 
+def test_factor_form_keeps_every_error_beside_the_cells(spark, problem):
+    n, cells, rt, ct, tables = problem
+    flows, errors = RK.rake_factors(cells, rt, ct, tol=1e-3, max_iter=6)
+    assert flows.count() == cells.count()
+    got = {}
+    for r in errors.orderBy("iteration").collect():
+        got.setdefault(r["sample_id"], []).append(r["error"])
+    for s, (m, tr, tc) in enumerate(tables):
+        want = [plain_ipf(m, tr, tc, 1e-3, k)[2] for k in range(1, len(got[s]) + 1)]
+        assert np.allclose(got[s], want, atol=1e-9) and (len(want) == 6 or want[-1] < 1e-3)
+    kept = RK.rake(cells, rt, ct, tol=1e-3, max_iter=6, colocate=False, keep_history=True)
+    for r in RK.raking_history(kept).collect():
+        assert np.isclose(r["error"], got[r["sample_id"]][r["iteration"] - 1])
+    none = RK.rake_factors(cells.limit(0), rt, ct, max_iter=3)
+    assert none[0].count() == 0 and none[1].count() == 0
+
+
 def test_vector_form_equals_plain_ipf(spark, problem):
     n, cells, rt, ct, tables = problem
     array = lambda df, k: df.groupBy("sample_id").agg(
