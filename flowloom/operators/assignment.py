@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import is_small, join_small
+from ..session import is_small, join_small, scratch_path
 from .network import k_shortest_paths, logit_shares, path_turns
-from .reshape import od_index
+from .reshape import od_index, pack
+from .noise import observation_noise
 from .vectors import MAX_OPERATOR_CELLS, check_vector_size, map_batches, to_lists, to_matrix
 
 #: Entries of an operator up to which a task keeps it as a full matrix beside its compressed rows (16 MB).
@@ -255,3 +256,48 @@ def sensitivity_assignments(
     )
     shares = logit_shares(listed, 1.0, ("k_paths", "theta", "o", "d"))
     return fractional_assignment(shares, turns, n_zones, ("k_paths", "theta"))
+
+
+def batch_counts(
+    cells: DataFrame, assignment: DataFrame, n_turns: int, n_zones: int, target: str | None = None,
+    noise: str = "none", sigma: float = 0.05, scale: float = 1.0, seed: int = 42, family: str = "xx", atol: float = 1e-3,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Write the counts of a batch with their noisy twins; statistics and a check come from what was written.
+
+    Returns ``sample_id, turn_id, x, x_obs`` (one row for each sample and turn, read back from ``target``), per turn
+    ``turn_id, n, mean, std, cv, mean_obs``, and one row ``num_samples, num_turns, first_sample,
+    max_reconstruction_error, matrix_mult_consistent, total``. ``num_samples``, ``first_sample`` and ``total`` are
+    observed by the write itself, so no pass counts the samples. The check takes the smallest sample and forms its
+    counts again by a join, not by the blocks the written ones came from. Turn ids run from 0; samples whose cells use
+    no route have no row. Without samples the check's error is null and it does not hold.
+    """
+    spark = cells.sparkSession
+    target = target or scratch_path(spark, "batchcounts")
+    vectors = pack(turning_counts(cells, assignment, n_zones), F.col("turn_id"), "x", n_turns, "x")
+    rows = vectors.select("sample_id", F.posexplode("x").alias("turn_id", "x"))
+    noisy = observation_noise(rows, noise, sigma, scale, seed, family).select("sample_id", "turn_id", "x", "x_obs")
+    seen = Observation()
+    # turn 0 stands for its sample
+    noisy.observe(
+        seen, F.count_if(F.col("turn_id") == 0).alias("n"), F.min("sample_id").alias("first"), F.sum("x").alias("total")
+    ).write.parquet(target)
+    done = spark.read.schema(noisy.schema).parquet(target)
+    n, first, total = (seen.get[k] for k in ("n", "first", "total"))
+    mean = F.sum("x") / F.count("*")
+    std = F.sqrt(F.greatest(F.sum(F.col("x") * F.col("x")) / F.count("*") - mean * mean, F.lit(0.0)))
+    stats = done.groupBy("turn_id").agg(
+        F.count("*").alias("n"), mean.alias("mean"), std.alias("std"), (std / (mean + 1e-9)).alias("cv"), F.avg("x_obs").alias("mean_obs")
+    )
+    mine = F.col("sample_id") == F.lit(first)
+    again = apply_operator(cells.filter(mine).withColumn("od_index", od_index(n_zones)), assignment, "od_index", "turn_id", result="again")
+    both = done.filter(mine).join(again.select("turn_id", "again"), "turn_id", "left")
+    error = F.max(F.abs(F.col("x") - F.coalesce("again", F.lit(0.0))))
+    check = both.agg(
+        F.lit(n).cast("long").alias("num_samples"),
+        F.lit(n_turns).alias("num_turns"),
+        F.lit(first).alias("first_sample"),
+        error.alias("max_reconstruction_error"),
+        F.coalesce(error <= atol, F.lit(False)).alias("matrix_mult_consistent"),
+        F.lit(total).cast("double").alias("total"),
+    )
+    return done, stats, check

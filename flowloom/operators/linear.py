@@ -71,12 +71,8 @@ def spectrum(spark: SparkSession, s: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "i int, s double, energy double")
 
 
-def rank_report(spark: SparkSession, s: np.ndarray, n_turns: int, n_cells: int, rtol: float | None = None) -> DataFrame:
-    """Rank, nullity, condition number and 99% effective rank in one row.
-
-    Without ``rtol`` the rank tolerance is the machine one and the condition
-    number uses values above 1e-12; with it both use ``rtol`` times the largest.
-    """
+def _rank_facts(s: np.ndarray, n_turns: int, n_cells: int, rtol: float | None = None) -> tuple:
+    """Rank, nullity, condition number and 99% effective rank of singular values in falling order."""
     top = float(s[0]) if len(s) else 0.0
     cut = rtol * top if rtol is not None else top * max(n_turns, n_cells) * np.finfo(float).eps
     rank = int((s > cut).sum())
@@ -84,12 +80,72 @@ def rank_report(spark: SparkSession, s: np.ndarray, n_turns: int, n_cells: int,
     condition = float(kept[0] / kept[-1]) if len(kept) > 1 else (float("inf") if len(kept) else None)
     share = np.cumsum(s**2) / max((s**2).sum(), 1e-300)
     effective = int((share < 0.99).sum() + 1) if len(s) else 0
+    return rank, n_cells - rank, condition, effective
+
+
+def rank_report(spark: SparkSession, s: np.ndarray, n_turns: int, n_cells: int, rtol: float | None = None) -> DataFrame:
+    """Rank, nullity, condition number and 99% effective rank in one row.
+
+    Without ``rtol`` the rank tolerance is the machine one and the condition
+    number uses values above 1e-12; with it both use ``rtol`` times the largest.
+    """
     return spark.createDataFrame(
-        [(n_turns, n_cells, rank, n_cells - rank, condition, effective)],
+        [(n_turns, n_cells, *_rank_facts(s, n_turns, n_cells, rtol))],
         "num_turning_movements int, num_od_pairs int, rank int, nullity int, condition_number double, effective_rank_99 int",
     )
 
 
+def rank_reports(operators: DataFrame, keys: list[str], n_turns: int, n_cells: int, rtol: float | None = None) -> DataFrame:
+    """``rank_report`` of every operator of a table ``keys..., turn_id, od_index, weight``, and ``max_entry, energy``.
+
+    One job for all: a tree of QR triangles by operator. Tasks reduce their rows to one triangle for each operator they
+    hold, a few tasks reduce those again, and one group by operator ends with its singular values. ``energy`` is the
+    sum of their squares. An operator without entries has no row.
+    """
+    _check_square(n_turns)
+    points = operators.select(*keys).distinct().orderBy(*keys).collect()
+    types = dict(operators.dtypes)
+    at = F.coalesce(*(F.when(F.struct(*keys) == F.struct(*(F.lit(p[k]).cast(types[k]) for k in keys)), i) for i, p in enumerate(points))) if points else F.lit(0)
+    packed = pack(
+        operators.select(F.struct(at.alias("point"), "od_index").alias("sample_id"), "turn_id", "weight"), F.col("turn_id"), "weight", n_turns, "v"
+    )
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r: dict = {}
+        for b in batches:
+            point, rows = b.column("point").to_numpy(), to_matrix(b.column("v"), n_turns)
+            for p in np.unique(point):
+                r[p] = np.linalg.qr(np.vstack([r.get(p, np.zeros((0, n_turns))), rows[point == p]]), mode="r")
+        for p, v in r.items():
+            yield pa.RecordBatch.from_pydict({"point": pa.array(np.full(len(v), p, dtype=np.int32)), "v": to_lists(v)})
+
+    def facts(key: tuple, rows: pa.Table) -> pa.Table:
+        stacked = to_matrix(rows.column("v").combine_chunks(), n_turns)
+        found = np.linalg.svd(np.linalg.qr(np.vstack([np.zeros((1, n_turns)), stacked]), mode="r"), compute_uv=False)
+        s = np.zeros(min(n_turns, n_cells))
+        s[: min(len(s), len(found))] = found[: len(s)]
+        rank, nullity, condition, effective = _rank_facts(s, n_turns, n_cells, rtol)
+        return pa.table(
+            {
+                "point": pa.array([key[0].as_py()], pa.int32()),
+                "rank": pa.array([rank], pa.int32()),
+                "nullity": pa.array([nullity], pa.int32()),
+                "condition_number": pa.array([condition], pa.float64()),
+                "effective_rank_99": pa.array([effective], pa.int32()),
+                "energy": pa.array([float((s**2).sum())]),
+            }
+        )
+
+    lines = "point int, v array<double>"
+    some = packed.select(F.col("sample_id.point").alias("point"), "v").mapInArrow(local, lines)
+    few = some.repartition(4, "point", F.monotonically_increasing_id() % 4).mapInArrow(local, lines)
+    ranks = few.groupBy("point").applyInArrow(
+        facts, "point int, rank int, nullity int, condition_number double, effective_rank_99 int, energy double"
+    )
+    top = operators.groupBy(*keys).agg(F.max("weight").alias("max_entry")).withColumn("point", at)
+    return top.join(ranks, "point").select(*keys, "rank", "nullity", "condition_number", "effective_rank_99", "max_entry", "energy")
+
+
 def compare_operators(binary: DataFrame, fractional: DataFrame) -> DataFrame:
     """Rank gained and nullity lost by the fractional operator."""
     value = lambda df, c: df.select(c).scalar()

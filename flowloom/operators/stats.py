@@ -192,7 +192,7 @@ def _cluster_starts(ready: DataFrame, width: int, most: int, starts: int, seed:
         label = f"{seed}|start|{turn}|"
 
         def offer(batches: Iterator[pa.RecordBatch], centres=centres, label=label) -> Iterator[pa.RecordBatch]:
-            best = [(np.inf, "", None)] * starts
+            best: list = [None] * starts
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -203,8 +203,9 @@ def _cluster_starts(ready: DataFrame, width: int, most: int, starts: int, seed:
                     key = np.full(len(x), np.inf)
                     np.divide(-np.log(u), weight, out=key, where=weight > 0)
                     at = min(np.flatnonzero(key == key.min()), key=lambda r: ids[r])
-                    best[s] = min(best[s], (float(key[at]), ids[at], x[at]), key=lambda t: t[:2])
-            found = [(s, k, i, v) for s, (k, i, v) in enumerate(best) if v is not None]
+                    mine = (float(key[at]), ids[at], x[at])
+                    best[s] = min(best[s] or mine, mine, key=lambda t: t[:2])
+            found = [(s, *b) for s, b in enumerate(best) if b]
             if found:
                 columns = [list(c) for c in zip(*found)]
                 columns[3] = [v.tolist() for v in columns[3]]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assignment as A
+from ..operators import linear as L
 from ..operators import network as N
 from ..operators.noise import observation_noise
+from ..session import materialise
 from ..sources import fixtures as fx
 from . import inputs
 from .registry import query
@@ -220,6 +222,78 @@ def _(spark, sf):
     return grid.groupBy("k_paths", "theta").agg(F.max("weight").alias("max_entry"))
 
 
+#: The grid of the analysis (fixed values).
+K_GRID, THETA_GRID = [1, 3, 5, 10], [0.05, 0.1, 0.2, 0.5]
+
+
+def sensitivity(spark, sf):
+    """Rank facts of every grid point, written once."""
+
+    def build():
+        routes = inputs.edges(spark, sf), inputs.turns(spark, sf), inputs.demand_pairs(spark, sf)
+        n = inputs.n_zones(spark, sf)
+        grid = materialise(A.sensitivity_assignments(*routes, n, K_GRID, THETA_GRID), "grid")
+        return L.rank_reports(grid, ["k_paths", "theta"], inputs.turns(spark, sf).count(), n * n)
+
+    return inputs._once(spark, sf, "sensitivity", build)
+
+
+@query(
+    "t7_sensitivity_energy",
+    f"""SELECT k AS k_paths, theta, max(weight) AS max_entry, sum(weight * weight) AS energy FROM (
+    SELECT k, theta, turn_id, o, d, sum(p) AS weight FROM (
+      SELECT DISTINCT s.k, s.theta, s.o, s.d, s.n, s.p, t.turn_id FROM (
+        SELECT *, exp(-theta * cost - m) / sum(exp(-theta * cost - m)) OVER (PARTITION BY k, theta, o, d) AS p FROM (
+          SELECT k, theta, o, d, n, edge_ids, cost, max(-theta * cost) OVER (PARTITION BY k, theta, o, d) AS m FROM (
+            SELECT o, d, edge_ids, cost, row_number() OVER (PARTITION BY o, d ORDER BY cost, nodes) AS n FROM paths WHERE node = target),
+          unnest({K_GRID}) kk(k), unnest({THETA_GRID}::DOUBLE[]) tt(theta) WHERE n <= k)) s, unnest(range(1, len(s.edge_ids))) u(i)
+      JOIN turns t ON t.incoming_edge = s.edge_ids[i] AND t.outgoing_edge = s.edge_ids[i + 1])
+    GROUP BY ALL) GROUP BY ALL""",
+    ["paths", "turns"],
+    "max_entry energy",
+)
+def _(spark, sf):
+    """The sum of squared singular values of each operator, which is that of its entries."""
+    return sensitivity(spark, sf).select("k_paths", F.col("theta").cast("double").alias("theta"), "max_entry", "energy")
+
+
+@query("t7_sensitivity")
+def _(spark, sf):
+    """All outputs of the grid; ``best`` marks the first point of highest rank."""
+    found = sensitivity(spark, sf).drop("energy")
+    pick = found.agg(F.min_by(F.struct("k_paths", "theta"), F.struct(-F.col("rank"), "k_paths", "theta"))).scalar()
+    return found.withColumn("best", F.struct("k_paths", "theta") == pick)
+
+
+@query(
+    "t6_batched_counts",
+    f"""SELECT turn_id, count(*) AS n, avg(x) AS mean, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) AS std,
+    sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) / (avg(x) + 1e-9) AS cv,
+    avg(greatest(x + 0.05 * {normal_sql(42, 'noise', 'sample_id', 'turn_id')} * greatest(x, 1), 0)) AS mean_obs
+    FROM dense_counts GROUP BY turn_id""",
+    ["dense_counts"],
+    {"mean": 6, "std": 4, "cv": 4, "mean_obs": 5},
+)
+def _(spark, sf):
+    return _batched(spark, sf)[1]
+
+
+@query(
+    "t6_batch_check",
+    """SELECT count(DISTINCT sample_id) AS num_samples, CAST((SELECT count(*) FROM turns) AS INT) AS num_turns,
+    min(sample_id) AS first_sample, sum(x) AS total FROM counts""",
+    ["counts"],
+    {"total": 4},
+)
+def _(spark, sf):
+    return _batched(spark, sf)[2].filter("matrix_mult_consistent").select("num_samples", "num_turns", "first_sample", "total")
+
+
+def _batched(spark, sf):
+    m, n = inputs.turns(spark, sf).count(), inputs.n_zones(spark, sf)
+    return A.batch_counts(inputs.od(spark, sf), inputs.assignment(spark, sf), m, n, noise="gaussian", family="md5")
+
+
 @query("o1_noise_none", "SELECT sample_id, turn_id, greatest(x, 0) AS x_obs FROM counts", ["counts"], "x_obs")
 def _(spark, sf):
     return observation_noise(inputs.counts(spark, sf), "none").select("sample_id", "turn_id", "x_obs")
