@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from flowloom.operators import assignment as A
 from flowloom.operators import linear as L
 from flowloom.operators import stats as ST
+from flowloom.operators import stored as K
+from flowloom.operators.scoring import all_scores
 
 
 def plain_lloyd(x, centres, tol, max_iter=100):
@@ -89,3 +93,40 @@ def test_batch_counts(spark):
     assert empty[0].count() == 0 and empty[2].first()["matrix_mult_consistent"] is False
     noisy = A.batch_counts(cells, table, 4, 3, noise="gaussian")[1].filter("turn_id = 2").first()
     assert noisy["mean"] == 0 and noisy["mean_obs"] > 0  # turns without traffic get noise too
+
+
+def test_a_second_run_scores_only_new_models(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    cell = "split string, sample_id int, o int, d int"
+    cells = [("test", s, o, d) for s in range(4) for o in (1, 2) for d in (1, 2)]
+    truth = spark.createDataFrame([(*c, float(rng.random() + 1)) for c in cells], f"{cell}, flow double")
+    made = spark.createDataFrame(
+        [(m, *c, float(rng.random() + 1)) for m in ("007", "b", "c") for c in cells], f"model string, {cell}, y double"
+    )
+    table = spark.createDataFrame([(t, j, float(rng.random())) for t in range(3) for j in range(4)], "turn_id int, od_index int, weight double")
+    counts = A.turning_counts(truth, table, 2).withColumn("split", F.lit("test"))
+    samples = truth.select("split", "sample_id").distinct()
+    rest = (truth, counts, table, samples, 2, 3)
+    kept, scores = str(tmp_path / "kept"), str(tmp_path / "scores")
+
+    def files():
+        return {p.parent.name: p.name for p in Path(scores).glob("part=*/*.parquet")}
+
+    def values(df):
+        return {r["model"]: np.array([r[c] for c in sorted(df.columns) if c not in ("model", "split")], dtype=float) for r in df.collect()}
+
+    K.put(made.filter("model = '007'"), kept)
+    assert set(values(K.score_stored(kept, scores, *rest))) == {"007"}
+    before = files()
+    K.put(made.filter("model <> '007'"), kept)
+    got, want = values(K.score_stored(kept, scores, *rest)), values(all_scores(made, *rest))
+    assert set(got) == set(want) and all(np.allclose(got[m], want[m], equal_nan=True) for m in want)
+    assert set(files()) == {"part=model-007", "part=model-b", "part=model-c"} and before.items() <= files().items()
+    whole = files()
+    K.score_stored(kept, scores, *rest)
+    assert files() == whole
+    better = truth.select(F.lit("b").alias("model"), "split", "sample_id", "o", "d", F.col("flow").alias("y"))
+    K.put(better, kept)
+    again = values(K.score_stored(kept, scores, *rest, again=["b"]))
+    assert np.allclose(again["c"], want["c"], equal_nan=True) and not np.allclose(again["b"], want["b"], equal_nan=True)
+    assert {k for k, v in files().items() if v != whole[k]} == {"part=model-b"}
