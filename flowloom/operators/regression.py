@@ -81,12 +81,12 @@ def ridge(sums: Sums, alpha: float = 0.0, standardise: bool = True) -> LinearMod
     return LinearModel(coef, my - mx @ coef)
 
 
-def pls(sums: Sums, components: int, scale: bool = False) -> LinearModel:
-    """Partial least squares from the cross products alone.
+def pls_parts(sums: Sums, components: int, scale: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotations of raw counts, loadings of the targets, and both means: as many components as exist, up to ``components``.
 
     The weight vector of each component is the leading left singular vector of
     the deflated X^T Y; rotations act on the original columns, so X^T X is never
-    deflated.
+    deflated. The first k components are the model with k of them.
     """
     g, s, mx, my, std = sums.centred(scale)
     components = int(min(components, sums.n - 1, *s.shape))
@@ -106,9 +106,14 @@ def pls(sums: Sums, components: int, scale: bool = False) -> LinearModel:
         p, q = g @ r / size, s0.T @ r / size
         rotations.append(r), loadings.append(p), targets.append(q)
         s = s - size * np.outer(p, q)
-    if not rotations:
-        return LinearModel(np.zeros_like(s0), my)
-    coef = np.array(rotations).T @ np.array(targets) / std[:, None]
+    into = np.array(rotations).reshape(-1, len(g)).T / std[:, None]
+    return into, np.array(targets).reshape(-1, s0.shape[1]), mx, my
+
+
+def pls(sums: Sums, components: int, scale: bool = False) -> LinearModel:
+    """Partial least squares from the cross products alone."""
+    into, out, mx, my = pls_parts(sums, components, scale)
+    coef = into @ out
     return LinearModel(coef, my - mx @ coef)
 
 

@@ -9,6 +9,7 @@ from ..operators import leaderboard as H
 from ..operators import linear as L
 from ..operators import regression as B
 from ..operators import scoring as V
+from ..operators import search as Q
 from ..operators import splits as I
 from ..operators import stats as ST
 from ..operators import stored as K
@@ -249,6 +250,20 @@ def _(spark, sf):
     return ranked.agg(F.min_by("model", "score").alias("alpha"), F.min("score").alias("score"))
 
 
+@query("b7_model_search")
+def _(spark, sf):
+    """Every candidate of Tikhonov, ridge, PLS and physics ridge, fitted on train and scored on the validation split."""
+    n, m = _sizes(spark, sf)
+    split = materialise(I.split_ids(od(spark, sf).select("sample_id").distinct()), "splits")
+    rows = materialise(design(spark, sf).join(split, "sample_id"), "design")
+    operator = inputs.assignment(spark, sf)
+    matrix = A.operator_matrix(operator, "turn_id", "od_index", m, n * n)
+    singles, physics = Q.default_families(B.gather(rows.filter("split = 'train'"), m, n * n)[0], operator, matrix)
+    scores = Q.search_scores(rows.filter("split = 'val'"), singles, matrix, n, physics)
+    best = Q.best_candidates(materialise(scores, "search")).select("model", F.col("score").alias("least"))
+    return scores.join(F.broadcast(best), "model").withColumn("chosen", F.col("score") == F.col("least")).drop("least")
+
+
 @query(
     "b8_predict_and_clip",
     "SELECT sample_id, o, d, CASE WHEN o <> d THEN greatest(y - 2, 0) ELSE 0 END AS y FROM back_y JOIN pairs USING (od_index)",
