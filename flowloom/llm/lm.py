@@ -30,6 +30,8 @@ from flowloom.session import materialise
 BLOCK_WORDS = 1 << 19
 #: Distinct n-grams that a range should hold.
 RANGE_KEYS = 1 << 21
+#: Blocks that meet their answers in one task, about.
+BLOCKS_PER_TASK = 8
 #: CRC-32 of the id modulo MODULUS: HELD_OUT documents are never learnt from, DELETED ones set the mixture weights.
 MODULUS, HELD_OUT, DELETED = 7, 2, 3
 FIT, WEIGHT, HELD = 0, 1, 2
@@ -360,9 +362,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), role(doc_id).alias("role"), utf8(F.col(text)).alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks, _BLOCK), "lm-blocks")
-    words, types = blocks.agg(F.coalesce(F.sum(F.col("n_tokens").cast("long")), F.lit(0)), F.coalesce(F.sum(F.col("n_types").cast("long")), F.lit(0))).first()
+    long_sum = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    words, types, n_blocks = blocks.agg(long_sum("n_tokens"), long_sum("n_types"), F.count(F.lit(1))).first()
     bits = tuple(max(0, int(np.ceil(np.log2(max(1, n / RANGE_KEYS, parts(spark) / 2))))) for n in (types, words))
-    asked = blocks.mapInArrow(_questions(bits), _QUESTION)
+    # Tasks grow in number with the data, not in size: about a range of hashes each, then a few blocks each.
+    asked = blocks.mapInArrow(_questions(bits), _QUESTION).repartition(max(parts(spark), sum(1 << b for b in bits)), "slot")
     answers = materialise(asked.groupBy("slot").applyInArrow(_answer, _ANSWER), "lm-answers")
     pair_slot = 1 << bits[0]
     figures = answers.filter((F.col("block") == -1) & (F.col("slot") < pair_slot)).agg(
@@ -370,7 +374,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     )
     vocabulary, total, total_fit = figures.first()
     told = answers.filter("block >= 0").select("slot", "block", "n", "used", "fit")
-    resolved = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(pair_slot), _RESOLVED)
+    tasks = max(parts(spark), -(-n_blocks // BLOCKS_PER_TASK))
+    asking, answered = (t.repartition(tasks, "block").groupBy("block") for t in (blocks, told))
+    resolved = asking.cogroup(answered).applyInArrow(_resolve(pair_slot), _RESOLVED)
     resolved = materialise(resolved, "lm-resolved")
     events = resolved.mapInArrow(_events(total_fit), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counted = events.toArrow()  # at most BUCKETS * BINS * BINS rows
