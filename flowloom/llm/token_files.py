@@ -25,6 +25,8 @@ from flowloom.llm.tokens import encoder
 from flowloom.session import materialise, scratch_path
 
 END = 2
+#: Bytes of text that a shard is made for where the data set is large; one task writes a shard.
+SHARD_BYTES = 256 << 20
 _SHARD = "shard long, row long, doc_id long, n_tokens long, width int"
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
 _FLUSH = 4 << 20
@@ -130,16 +132,19 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end: int
 
     Documents are in ascending doc_id order, null first; rows with one doc_id follow each other by text. Null and
     empty texts are the end id alone. ``path`` names the vocabulary file, ``folder`` a folder that all executors reach
-    (by default a fresh one in the shared folder). An empty table writes no shard. Other columns aren't read.
+    (by default a fresh one in the shared folder). There are as
+    many shards as shuffle partitions, or more, so that one gets about SHARD_BYTES of text. An empty table writes no shard. Other columns aren't read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     content = F.coalesce(F.col(text), F.lit(""))
-    ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content.alias("text")).repartitionByRange(parts(spark), "doc_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), content.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = rows.repartitionByRange(max(parts(spark), -(-size // SHARD_BYTES)), "doc_id")
     ranged = ranged.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
     written = materialise(ranged.mapInArrow(_write_shard(folder, path, end), _SHARD), "shards")
 
-    # Bases: prefix sums over the shards, of which there is one for each shuffle partition.
+    # Bases: prefix sums over the shards, one row each.
     sizes = written.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))

@@ -117,3 +117,12 @@ def test_op2_against_the_library(spark, sf, whole):
     sizes = [len(whole(t)) for _, t, *_ in documents(sf)]
     got = QUERIES["op2_token_counts"](spark, sf).collect()
     assert sorted((r["n_tokens"], r["docs"]) for r in got) == sorted((n, sizes.count(n)) for n in set(sizes))
+
+
+def test_shards_grow_with_bytes(spark, whole, monkeypatch):
+    rows = [(i, "some words " * (1 + i % 7)) for i in range(400)]
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    got = in_order(token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH))
+    assert len({r["shard"] for r in got}) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = list(expected(rows, whole))
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [w[:4] for w in want]
