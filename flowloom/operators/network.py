@@ -44,7 +44,7 @@ def _links(edges: DataFrame, metric: str) -> DataFrame:
     )
 
 
-#: Hops of a search, or doublings of a path, that one job takes before it writes.
+#: Hops of a search that one job takes before it writes.
 HOPS = 4
 
 
@@ -52,15 +52,20 @@ def cheapest_costs(links: DataFrame, roots: DataFrame) -> DataFrame:
     """``root, node, cost``: cost of the cheapest way from each node to each root, for nodes that reach it.
 
     ``roots(root, node)``. A hop extends the labels that improved in the hop before; a label is one number, and labels
-    are written every ``HOPS`` hops.
+    are written every ``HOPS`` hops. A label and its extensions come from one row, so a hop reads the labels once and the
+    plan of ``HOPS`` hops is a chain.
     """
-    back = links.select(F.col("next").alias("node"), F.col("node").alias("from"), "w")
+    back = links.groupBy(F.col("next").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("from"), "w")).alias("ways"))
+    none = F.array().cast("array<struct<from:string,w:double>>")
     labels = roots.select("root", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"))
     while True:
         for _ in range(HOPS):
-            grown = labels.filter("fresh").join(back, "node").select("root", F.col("from").alias("node"), (F.col("w") + F.col("cost")).alias("cost"), F.lit(True).alias("fresh"))
-            best = labels.withColumn("fresh", F.lit(False)).unionByName(grown).groupBy("root", "node")
-            labels = best.agg(F.min(F.struct("cost", "fresh")).alias("b")).select("root", "node", "b.*")
+            own = F.array(F.struct("node", "cost", F.lit(False).alias("fresh")))
+            onward = F.when(F.col("fresh"), F.coalesce("ways", none)).otherwise(none)
+            grown = F.transform(onward, lambda e: F.struct(e["from"].alias("node"), (e["w"] + F.col("cost")).alias("cost"), F.lit(True).alias("fresh")))
+            spread = labels.join(back, "node", "left").select("root", F.explode(F.concat(own, grown)).alias("e")).select("root", "e.*")
+            best = spread.groupBy("root", "node").agg(F.min(F.struct("cost", "fresh")).alias("b"))
+            labels = best.select("root", "node", "b.*")
         labels = materialise(labels, "costs")
         if labels.filter("fresh").isEmpty():
             return labels.drop("fresh")
@@ -85,16 +90,16 @@ def cheapest_paths(links: DataFrame, roots: DataFrame) -> DataFrame:
     )
     paths = materialise(at_root.unionByName(first), "steps")
     while not paths.filter("NOT done").isEmpty():
-        for _ in range(HOPS):
-            tail = paths.select("root", F.col("node").alias("end"), F.col("nodes").alias("more"), F.col("edges").alias("more_edges"), F.col("done").alias("there"))
-            paths = paths.withColumn("end", F.element_at("nodes", -1)).join(tail, ["root", "end"]).select(
-                "root",
-                "node",
-                F.concat("nodes", F.slice("more", F.lit(2), F.size("more"))).alias("nodes"),
-                F.concat("edges", "more_edges").alias("edges"),
-                (F.col("done") | F.col("there")).alias("done"),
-            )
-        paths = materialise(paths, "paths")
+        # One doubling a job: paths meet themselves, so the plan of n doublings would have 2 ** n scans.
+        tail = paths.select("root", F.col("node").alias("end"), F.col("nodes").alias("more"), F.col("edges").alias("more_edges"), F.col("done").alias("there"))
+        longer = paths.withColumn("end", F.element_at("nodes", -1)).join(tail, ["root", "end"]).select(
+            "root",
+            "node",
+            F.concat("nodes", F.slice("more", F.lit(2), F.size("more"))).alias("nodes"),
+            F.concat("edges", "more_edges").alias("edges"),
+            (F.col("done") | F.col("there")).alias("done"),
+        )
+        paths = materialise(longer, "paths")
     return costs.join(paths.drop("done"), ["root", "node"])
 
 

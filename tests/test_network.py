@@ -137,3 +137,19 @@ def test_physics_refine_solves_its_system(spark, sf, od):
         xs[r["turn_id"]] = r["x"]
     want = np.linalg.solve(np.eye(625) + mu * m.T @ m, y0 + mu * m.T @ xs)
     assert np.allclose(out, want, atol=1e-6)
+
+
+def test_path_search_jobs_read_their_tables_once(spark, monkeypatch):
+    """A job of the search reads its labels and paths once or twice, not 2 ** HOPS times."""
+    leaves, write = {}, N.materialise
+
+    def counted(df, label):
+        n = df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        leaves[label] = max(n, leaves.get(label, 0))
+        return write(df, label)
+
+    monkeypatch.setattr(N, "materialise", counted)
+    links = spark.createDataFrame([(f"J{i}", f"J{i + 1}", f"e{i}", 1.0) for i in range(1, 12)], "node string, next string, edge_id string, w double")
+    got = N.cheapest_paths(write(links, "links"), spark.createDataFrame([(12, "J12")], "root int, node string"))
+    assert got.filter("node = 'J1'").first()["edges"] == [f"e{i}" for i in range(1, 12)]
+    assert leaves["costs"] <= N.HOPS + 1 and leaves["paths"] <= 2
