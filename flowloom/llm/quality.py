@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from flowloom.llm.common import packed, share, shared, unpacked, utf8
 from flowloom.llm.lm import release
+from flowloom.llm.tokens import forget
 
 GOOD, BAD, NONE = 2, 0, 1
 #: Rows that the scorer is fitted on at most (a hash sample of about that size), and the models that are averaged.
@@ -213,6 +214,7 @@ class Scorer:
 
 
 def _patterns(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    forget()
     for batch in batches:
         yield pa.array([pattern(*statistics(t.as_py())) for t in batch], pa.int32())
     release()
@@ -228,6 +230,7 @@ def pattern_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.
 
 def _shard_trainer(labels: LabelModel):
     def train(key: tuple, batch: pa.Table) -> pa.Table:
+        forget()
         x = np.zeros((batch.num_rows, FEATURES), np.float32)
         seen = []
         for i, t in enumerate(batch["text"]):
@@ -274,6 +277,7 @@ def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str =
     model = share(docs.sparkSession, scorer)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         known: Scorer = shared(model)
         for batch in batches:
             found = [known.score(t.as_py()) for t in batch]

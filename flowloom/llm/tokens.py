@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -190,6 +191,12 @@ def encoder(path: str, plain: bool = False) -> Encoder:
     return kept[path, plain]
 
 
+def forget() -> None:
+    """Drop the worker's encoders with their stores (about 100 MB each): a worker outlives its query, and the next may not need them."""
+    if (module := sys.modules.get("tokenizers")) is not None and vars(module).pop("_kept_encoders", None):
+        release()
+
+
 def token_count(path: str):
     """Arrow UDF: number of ids of a text, 0 for null."""
 

@@ -126,3 +126,17 @@ def test_shards_grow_with_bytes(spark, whole, monkeypatch):
     assert len({r["shard"] for r in got}) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = list(expected(rows, whole))
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [w[:4] for w in want]
+
+
+def test_forget_drops_the_workers_encoders():
+    """A stage that needs no encoder leaves none of an earlier one in the worker."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowloom.llm import quality, tokens
+
+    path = tokens.vocabulary_path()
+    kept = tokens.encoder(path)
+    assert tokens.encoder(path) is kept
+    assert len(np.concatenate([x.to_numpy() for x in quality._patterns(iter([pa.array([b"a b c"])]))])) == 1
+    assert tokens.encoder(path) is not kept
