@@ -1,7 +1,9 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find the texts that may have one, a join on their
-rarest shingles finds the pairs, the exact similarity decides.
+"""Near copies by Jaccard similarity of word shingles: SimHash finds the closest pairs, MinHash bands the texts that may
+have others, a join on their rarest shingles those pairs; the exact similarity decides on all.
 
-Texts with equal sets of shingles are one node throughout. ``rows`` minimum hashes make one band key, and there are as
+Texts with equal sets of shingles are one node throughout. The SimHash of a set links nodes within ``DISTANCE`` bits by
+pigeonhole blocks, as in simhash.py; a pair of similarity 0.8 differs in about ten bits, so the rest is found by sets.
+``rows`` minimum hashes make one band key, and there are as
 many bands as keep the chance that a pair at the threshold shares no key below ``MISS``. Only nodes that share a key go
 on. Their shingles are ordered by the number of nodes that hold them; two similar sets share one of the rarest of both
 and from its place in both follows how many they can share at most, so texts that share only a common passage never
@@ -25,7 +27,8 @@ from pyspark.sql import types as T
 from flowloom.llm.common import utf8
 from flowloom.llm.components import components
 from flowloom.llm.lm import release
-from flowloom.llm.simhash import SEED, digests, keep_named
+from flowloom.llm.simhash import DISTANCE, SEED, digests, keep_named, links, majority
+from flowloom.llm.tokens import forget
 from flowloom.session import materialise
 
 SHINGLE = 5
@@ -39,6 +42,8 @@ SALTS = 256
 HOT = 1_000_000
 #: Shingles hashed at a time; the table of their hashes stays in the processor's cache.
 _CHUNK = 256
+#: Shingles whose bits are summed at a time.
+_PRINTED = 1 << 14
 
 
 def bands(similarity: float, rows: int = ROWS) -> int:
@@ -58,6 +63,11 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles; 0 for an empty one."""
+    return majority(hashes[i : i + _PRINTED].astype(">u8") for i in range(0, len(hashes), _PRINTED))
+
+
 def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
@@ -77,20 +87,24 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rows: int = ROWS) -> list
     return [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least.reshape(-1, rows))]
 
 
-_SIGNATURE = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_SIGNATURE = T.StructType(
+    [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+)
 
 
 def _signature(text: Column, shingle: int, n_bands: int, rows: int) -> Column:
     factors = multipliers(n_bands * rows)
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for batch in batches:
-            node, keys = np.zeros(len(batch), np.uint64), []
+            node, fp, keys = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64), []
             for i, t in enumerate(batch):
                 hashes = shingle_set(t.as_py(), shingle)
-                node[i] = _node(hashes)
+                node[i], fp[i] = _node(hashes), set_print(hashes)
                 keys.append(np.array(band_keys(hashes, factors, rows), np.uint64).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+            columns = [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, ["node", "fp", "keys"])
         release()
 
     return F.arrow_udf(sign, _SIGNATURE).asNondeterministic()(utf8(text))
@@ -154,6 +168,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialise(both.filter(same / (F.size("ha") + F.size("hb") - same) >= similarity).select("a", "b"), "similar")
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``nodes`` (``node, fp``) that connect all within ``DISTANCE`` bits: equal prints by their least node."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    same = nodes.join(least, "fp").filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, other = (least.select(F.col("fp").alias(k), F.col("least").alias(f"n{k}")) for k in "ab")
+    near = links(least.select("fp"), DISTANCE).join(one, "a").join(other, "b")
+    near = near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return materialise(same.unionByName(near).distinct(), "close")
+
+
 def near_copies(
     docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS
 ) -> DataFrame:
@@ -170,12 +194,15 @@ def near_copies(
         raise ValueError("similarity must be over 0 and at most 1, shingle and rows at least 1")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = docs.select("doc_id", _signature(F.col("text"), shingle, bands(similarity, rows), rows).alias("s"))
-    prints = materialise(signed.select("doc_id", "s.node", "s.keys"), "signatures")
-    # One row per node; keys are the same in all its rows.
-    nodes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "nodes")
+    prints = materialise(signed.select("doc_id", "s.node", "s.fp", "s.keys"), "signatures")
+    # One row per node; print and keys are the same in all its rows.
+    own = [F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")]
+    nodes = materialise(prints.groupBy("node").agg(*own), "nodes")
+    close = _close(nodes.select("node", "fp"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     crowds = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    met = keyed.join(crowds.select("key"), "key", "left_semi").select("node").distinct().join(nodes.select("node", "first"), "node")
+    met = keyed.join(crowds.select("key"), "key", "left_semi").select("node")
+    met = met.union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "first"), "node")
     sets = _sets(docs, materialise(met, "met"), shingle)
     prefixes = _prefixes(sets, similarity)
 
@@ -183,12 +210,13 @@ def near_copies(
     leads = prefixes.groupBy("h").agg(F.min(F.struct("pos", "node", "size")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     leads = leads.select("h", F.col("l.node").alias("x"), F.col("l.size").alias("sx"), F.col("l.pos").alias("px"))
     stars = prefixes.join(leads, "h").filter((F.col("node") != F.col("x")) & _may_be(similarity))
-    stars = materialise(stars.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct(), "stars")
-    links = _verified(stars, sets, similarity)
-    roots = materialise(components(links, "a", "b"), "roots")
+    stars = stars.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    stars = materialise(stars.unionByName(close).distinct(), "stars")
+    similar = _verified(stars, sets, similarity)
+    roots = materialise(components(similar, "a", "b"), "roots")
     rest = _verified(_apart(prefixes, roots, stars, similarity), sets, similarity)
     if not rest.isEmpty():
-        roots = materialise(components(links.unionByName(rest), "a", "b"), "roots")
+        roots = materialise(components(similar.unionByName(rest), "a", "b"), "roots")
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialise(named, "joined")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -9,7 +9,7 @@ differ in at most two bits. Such a group has at most 65 members, so no group is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,15 +47,20 @@ def digests(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(begin[i : i + _CHUNK], end[i : i + _CHUNK], strict=True)], ">u8")
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash over all word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """SimHash of blocks of big-endian hashes: a bit is set if it is set in over half of them."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in digests(text, shingle):
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash over all word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+    return majority(digests(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         out = np.fromiter((fingerprint(t.as_py()) for t in batch), np.uint64, len(batch))

@@ -108,3 +108,16 @@ def test_near_copies_messy(messy, empty):
     ids = sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()))
     assert ids == [(False, 1), (False, 4), (False, 7), (False, 8), (False, 9), (False, 10), (True, 0)]
     assert nc.near_copies(empty).collect() == [] and nc.keep_one_copy(empty).collect() == []
+
+
+def test_close_prints_are_candidates(spark):
+    """Sets within two bits of SimHash are linked by their prints alone, also where prints are equal."""
+    rows = [(1, 0), (2, 0), (5, 3), (6, 0xFFFF << 20), (7, (0xFFFF << 20) | 8), (9, -1)]
+    got = nc._close(spark.createDataFrame(rows, "node long, fp long")).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(1, 2), (1, 5), (6, 7)}
+
+
+def test_set_print():
+    """The print of a set is op6's SimHash of a text whose shingles are all different."""
+    text = " ".join(f"w{i}" for i in range(300)).encode()
+    assert nc.set_print(nc.shingle_set(text)) == nc.majority(nc.digests(text, 5)) and nc.set_print(nc.shingle_set(b"")) == 0
