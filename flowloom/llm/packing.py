@@ -27,6 +27,8 @@ from flowloom.session import materialise
 CAPACITY = 1024
 END = 0
 SLACK = 1 / 64
+#: Distinct pieces of text that a worker's encoder stores (about 350 MB of a worker).
+STORE = 600_000
 #: Bytes of ids of a batch that a task hands on.
 _FLUSH = 4 << 20
 
@@ -57,7 +59,7 @@ def _filler(path: str, end: int, capacity: int, slack: float) -> Callable:
     """Function for mapInArrow: cuts documents and fills sequences; ``bin`` is null for pieces of open ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, take, part = encoder(path), takes(capacity, slack), TaskContext.get().partitionId()
+        enc, take, part = encoder(path, store=STORE), takes(capacity, slack), TaskContext.get().partitionId()
         last = end.to_bytes(enc.width, "little")
         open_: dict[int, list] = {}
         rows: list[tuple] = []

@@ -25,7 +25,7 @@ from flowloom.llm.lm import release
 from flowloom.session import materialise
 
 #: Distinct pieces of a store. A worker has the current one and the one before, from which pieces in use move on.
-STORE = 250_000
+STORE = 375_000
 #: Characters of a piece that is still stored, and the mean over a full store at which it starts anew all the same.
 LONG, MEAN = 64, 16
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -70,21 +70,6 @@ class Store:
         self.chars += len(piece)
         return ids
 
-    def missing(self, pieces: list[str]) -> list[str]:
-        """Pieces that have to be encoded; afterwards all others are in ``now``."""
-        new = set(pieces).difference(self.now)
-        if new and (len(self.now) + len(new) > self.size or self.chars > MEAN * self.size):
-            self._turn()
-            new = set(pieces)
-        self.chars += sum(map(len, new))
-        now, before, out = self.now, self.before, []
-        for piece in new:
-            if piece in before:
-                now[piece] = before[piece]
-            else:
-                out.append(piece)
-        return out
-
 
 def _signs() -> dict[int, str]:
     """The sign that stands for each byte in a byte-level vocabulary, as the library spells characters."""
@@ -120,8 +105,9 @@ class Encoder:
             and not split.get("add_prefix_space", False)
         )
         self.model, self.signs = self.tokenizer.model.tokenize, _signs()
-        #: Pieces after a blank, pieces without one, words after a blank.
-        self.tails, self.heads, self.words = Store(store), Store(store // 4), Store(store)
+        #: Pieces after a blank and words after a blank share a store, as most words are pieces too; pieces without a blank.
+        self.tails = self.words = Store(store)
+        self.heads = Store(store // 6)
 
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
@@ -131,6 +117,8 @@ class Encoder:
 
     def _unit(self, text: str) -> bytes:
         """Ids of a text that the pre-tokenizer doesn't divide."""
+        if text.isascii():  # signs of ASCII letters are the letters
+            return self._pack([t.id for t in self.model(text.replace(" ", self.signs[32]))])
         return self._pack([t.id for t in self.model(text.encode().decode("latin-1").translate(self.signs))])
 
     def _head(self, piece: str) -> bytes:
@@ -146,16 +134,18 @@ class Encoder:
         return ids
 
     def _tail(self, piece: str) -> bytes:
-        """Ids of a blank and a piece: of letters and then marks, also on several lines, put together from both."""
+        """Ids of a blank and a piece, from the store or put together: of letters and then marks, also on several lines."""
+        return self.tails.get(piece) or self.tails.put(piece, self._new_tail(piece))
+
+    def _new_tail(self, piece: str) -> bytes:
+        word = piece.rstrip(_MARKS)
+        if word.isalpha():
+            return self._unit(" " + piece) if word == piece else self._tail(word) + self._head(piece[len(word) :])
         if "\n" in piece:
             first, *lines = piece.split("\n")
             if all(lines) and not any(c.isspace() for c in "".join(lines)) and first and not first[-1].isspace():
                 return self._tail(first) + b"".join([self._head("\n") + self._head(x) for x in lines])
-        word = piece.rstrip(_MARKS)
-        if not word.isalpha():
-            return self._whole(" " + piece)
-        ids = self.words.get(word) or self.words.put(word, self._unit(" " + word))
-        return ids + self._head(piece[len(word) :]) if len(word) < len(piece) else ids
+        return self._whole(" " + piece)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -163,14 +153,10 @@ class Encoder:
         if not self.by_piece or any(t in text for t in self.added):
             return self._whole(text)
         first, *rest = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        missing = self.tails.missing(rest)
-        for piece in missing:
-            self.tails.now[piece] = self._tail(piece)
-        ids = self._head(first) + b"".join(map(self.tails.now.__getitem__, rest))
-        for piece in missing:
-            if len(piece) > LONG:
-                del self.tails.now[piece]
-        return ids
+        ids = list(map(self.tails.now.get, rest))
+        if None in ids:
+            ids = [self._tail(piece) if known is None else known for piece, known in zip(rest, ids, strict=True)]
+        return self._head(first) + b"".join(ids)
 
 
 def id_width(vocabulary: int) -> int:
@@ -178,7 +164,7 @@ def id_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
+def encoder(path: str, plain: bool = False, store: int = STORE) -> Encoder:
     """The worker's encoder for a vocabulary; later tasks of the worker go on with its store.
 
     It is kept with the tokenizers module, as this module travels by value and would be new in each task.
@@ -186,9 +172,9 @@ def encoder(path: str, plain: bool = False) -> Encoder:
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if (path, plain) not in kept:
-        kept[path, plain] = Encoder(path, plain=plain)
-    return kept[path, plain]
+    if (path, plain, store) not in kept:
+        kept[path, plain, store] = Encoder(path, store, plain)
+    return kept[path, plain, store]
 
 
 def forget() -> None:

@@ -125,3 +125,14 @@ def test_sequences(messy, ids_of):
 def test_parameters(messy):
     with pytest.raises(ValueError):
         packing.pack(messy, PATH, capacity=0)
+
+
+def test_worker_stores_more_pieces_than_a_plain_encoder():
+    """Words and pieces share the store; 550 000 of them fit the packing worker without dropping one."""
+    enc = tokens.Encoder(PATH, packing.STORE)
+    for i in range(550_000):
+        enc.tails.put(f"{i}", b"")
+    assert len(enc.tails.now) == 550_000 and not enc.tails.before
+    texts = ["an old, old. older!\nOld text", "old old, a older."]
+    assert [enc.encode(t) for t in texts] == [enc._whole(t) for t in texts]
+    assert {"old", "old,", "older"} <= enc.tails.now.keys()
