@@ -27,7 +27,7 @@ from flowloom.session import materialise
 CAPACITY = 1024
 END = 0
 SLACK = 1 / 64
-#: Distinct pieces of text that a worker's encoder stores (about 350 MB of a worker).
+#: Distinct pieces of text that a worker's encoder stores.
 STORE = 600_000
 #: Bytes of ids of a batch that a task hands on.
 _FLUSH = 4 << 20
