@@ -14,6 +14,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: (zones, turns, operator entries) have short, fixed-width rows.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of both sides that a task of ``join_dealt`` sorts.
+TASK_ROWS = 1_500_000
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and the local benchmark; clusters bring their own."""
@@ -87,3 +90,14 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
     skew-join split for heavy keys.
     """
     return big.join(F.broadcast(small) if is_small(small, max_rows) else small, on, how)
+
+
+def join_dealt(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFrame:
+    """Join of two large tables in as many tasks as ``rows``, the rows of both, need.
+
+    With the session's shuffle partitions, fixed or merged up to a size, what a
+    task sorts would grow with the tables. For keys with few rows each: the rows
+    of one key meet in one task, whose sort spills.
+    """
+    n = max(1, -(-rows // TASK_ROWS))
+    return left.repartition(n, on).join(right.repartition(n, on), on)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import is_small, join_dealt
+
 GRID_STEP = 250.0
 GRID_WIDTH = 5
 FIRST_YEAR = 1995
@@ -30,22 +32,31 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _attach(rows: DataFrame, n_rows: int, dimension: DataFrame, on: str) -> DataFrame:
+    """Join with a table of one row per key: broadcast while it is small, else dealt over tasks."""
+    if is_small(dimension):
+        return rows.join(F.broadcast(dimension), on)
+    return join_dealt(rows, dimension, on, n_rows + dimension.count())
+
+
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            ((F.year("o_orderdate") - FIRST_YEAR) * 12 + F.month("o_orderdate") - 1).cast("int").alias("sample_id"),
-            (F.col("s_nationkey") + 1).cast("int").alias("o"),
-            (F.col("c_nationkey") + 1).cast("int").alias("d"),
-            "l_quantity",
-        )
+    """``sample_id, o, d, l_quantity``, one row per line item.
+
+    Orders get their customer's zone first, so line items are sorted once, in
+    tasks of a bounded number of rows.
+    """
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("supplier"), "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order"),
+        F.col("o_custkey").alias("customer"),
+        ((F.year("o_orderdate") - FIRST_YEAR) * 12 + F.month("o_orderdate") - 1).cast("int").alias("sample_id"),
     )
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), (F.col("c_nationkey") + 1).cast("int").alias("d"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), (F.col("s_nationkey") + 1).cast("int").alias("o"))
+    n_items, n_orders = items.count(), orders.count()
+    placed = _attach(orders, n_orders, customers, "customer").select("order", "sample_id", "d")
+    shipped = join_dealt(items, placed, "order", n_items + n_orders)
+    return _attach(shipped, n_items, suppliers, "supplier").select("sample_id", "o", "d", "l_quantity")
 
 
 def raw_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
